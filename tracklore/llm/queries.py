@@ -8,13 +8,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, neardup, quality, tokens
+from . import decontaminate, mixing, neardup, quality, secrets, tokens
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.sample(_read(spark, sf_dir, "documents"))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
     return quality.score(docs, quality.fitted(spark, docs, sf_dir))
@@ -30,6 +34,15 @@ def op5_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.read_back(spark, folder, manifest, docs.schema["doc_id"])
 
 
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(_read(spark, sf_dir, "documents"))
+    base = [r.name for r in secrets.RULES if r.base]
+    text = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    of = lambda *kinds: F.filter("spans", lambda s: s["kind"].isin(*kinds))
+    counts = [F.size(of(k)).cast("long").alias(f"n_{k}") for k in base]
+    return found.select("doc_id", *counts, F.sha2(text(of(*base)).cast("binary"), 256).alias("base_sha256"), text(F.col("spans")).alias("spans"))
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.report(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"), spans=False)
     ids = F.sha2(F.array_join("items", ",").cast("binary"), 256)
@@ -39,7 +52,9 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_neardup": op4_neardup,
     "op5_tokens": op5_tokens,
+    "op7_secrets": op7_secrets,
     "op8_decontaminate": op8_decontaminate,
+    "op9_mixing": op9_mixing,
     "op10_quality": op10_quality,
 }
 ORACLES: dict[str, str] = {}
