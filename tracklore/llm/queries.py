@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, mixing, neardup, quality, secrets, tokens
+from . import decontaminate, html, mixing, neardup, quality, secrets, tokens
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -24,6 +24,10 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, quality.fitted(spark, docs, sf_dir))
 
 
+def op3_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(_read(spark, sf_dir, "pages"))
+
+
 def op4_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_components(_read(spark, sf_dir, "documents"))
 
@@ -50,6 +54,7 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_html": op3_html,
     "op4_neardup": op4_neardup,
     "op5_tokens": op5_tokens,
     "op7_secrets": op7_secrets,
