@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html, mixing, neardup, quality, secrets, substrings, tokens
+from . import decontaminate, html, media, mixing, neardup, quality, secrets, substrings, tokens
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -42,6 +42,11 @@ def op5_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.read_back(spark, folder, manifest, docs.schema["doc_id"])
 
 
+def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder, stored = media.store(_read(spark, sf_dir, "documents"))
+    return media.rebuild(folder, media.recipes(stored))
+
+
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan(_read(spark, sf_dir, "documents"))
     base = [r.name for r in secrets.RULES if r.base]
@@ -62,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_html": op3_html,
     "op4_neardup": op4_neardup,
     "op5_tokens": op5_tokens,
+    "op6_media": op6_media,
     "op7_secrets": op7_secrets,
     "op8_decontaminate": op8_decontaminate,
     "op9_mixing": op9_mixing,
