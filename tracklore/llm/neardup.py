@@ -8,11 +8,14 @@ independent tables. A pair of similarity s meets in some table unless fewer than
 
 Candidates are confirmed on full sets. Texts of the same words are one node. Within a table's group no pairs are listed
 at first: each node is held against the group's lowest node, and groups whose nodes are by then in one component are done.
-Only pairs of nodes that are in different components after those rounds are compared each, so links between
-different texts are not lost. Components are found by alternating large and small stars.
+Nodes of groups that still hold several components are then joined exactly: their shingles are ordered from rare to
+frequent, and two sets of sizes x and y that share at least 3/7 (x + y) shingles have their first common one among the
+first x - 3/7 (x + y) + 1 of the one and y - 3/7 (x + y) + 1 of the other. Only such pairs of different components are
+confirmed, so no link between different texts is lost, and groups that share a frequent passage make few pairs.
+Components are found by alternating large and small stars.
 
 Defined results: null and empty texts and texts without words have no set and no link; fewer than 5 words are one shingle;
-very long texts count whole; rows with the same doc_id are placed by their own text; rows without doc_id have no component
+very long texts count whole; doc_id is a key (repeated rows are one node, and texts that share a lowest id are one too); rows without doc_id have no component
 and are not kept; an empty table gives an empty result; columns beside id and text are carried only by keep_first().
 """
 
@@ -32,7 +35,10 @@ from .common import cut, text_bytes
 
 SIZE, THRESHOLD = 5, 75
 COLLECTIONS, WIDTH = 14, 2
-LEADER_ROUNDS = 3
+LEADER_ROUNDS = 2
+#: The order of shingles is by their number in every SAMPLEth undecided set, known for at most HOT_SHINGLES shingles;
+#: it decides how many pairs are confirmed, never which links are found.
+SAMPLE, HOT_SHINGLES = 4, 1 << 20
 #: A side of ids of at most so many rows (16 bytes each) is broadcast; larger ones are joined by a shuffle.
 BROADCAST_ROWS = 500_000
 _M64 = (1 << 64) - 1
@@ -164,6 +170,53 @@ def _labelled(busy: DataFrame, labels: DataFrame | None) -> DataFrame:
     return rows.join(leads, "key")
 
 
+def undecided_pairs(undecided: DataFrame, sets: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+    """Pairs (a, b), a < b, of undecided(node, comp) in different components that share a shingle early in both orders."""
+    spark = undecided.sparkSession
+
+    def tokens(batches):
+        for b in batches:
+            held = [np.frombuffer(x, np.int64) for x in b.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(held) if held else np.zeros(0, np.int64))], names=["token"])
+
+    some = sets.join(undecided.where(F.pmod(F.xxhash64("node"), F.lit(SAMPLE)) == 0).select("node"), "node", "left_semi").select("hashes")
+    hot = some.mapInArrow(tokens, "token long").groupBy("token").agg(F.count("*").alias("n")).where("n > 1").orderBy(F.desc("n"), "token").limit(HOT_SHINGLES).toPandas()
+    at = np.argsort(hot["token"].to_numpy(np.int64))
+    shared = spark.sparkContext.broadcast((hot["token"].to_numpy(np.int64)[at], hot["n"].to_numpy(np.int64)[at].astype(np.int32)))
+    kind = undecided.schema["node"].dataType
+    schema = T.StructType([T.StructField("token", T.LongType()), T.StructField("node", kind), T.StructField("comp", kind), T.StructField("n", T.IntegerType()), T.StructField("at", T.IntegerType())])
+
+    def early(batches):
+        known, count = shared.value
+        for b in batches:
+            cols = [[], [], [], []]
+            owner = []
+            for k, data in enumerate(b.column(2).to_pylist()):
+                h = np.frombuffer(data, np.int64)
+                freq = np.zeros(len(h), np.int32)
+                if len(known):
+                    i = np.minimum(np.searchsorted(known, h), len(known) - 1)
+                    freq = np.where(known[i] == h, count[i], 0)
+                n = len(h)
+                take = n - -(-threshold * n // 100) + 1
+                first = h[np.lexsort((h, freq))[:take]]
+                cols[0].append(first)
+                owner.append(np.full(len(first), k))
+                cols[2].append(np.full(len(first), n, np.int32))
+                cols[3].append(np.arange(1, len(first) + 1, dtype=np.int32))
+            if owner:
+                who = pa.array(np.concatenate(owner))
+                arrays = [pa.array(np.concatenate(cols[0])), b.column(0).take(who), b.column(1).take(who), pa.array(np.concatenate(cols[2])), pa.array(np.concatenate(cols[3]))]
+                yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
+
+    prefixes = undecided.join(sets, "node").select("node", "comp", "hashes").mapInArrow(early, schema)
+    x = prefixes.select("token", F.col("node").alias("a"), F.col("comp").alias("ca"), F.col("n").alias("na"), F.col("at").alias("pa"))
+    y = prefixes.select("token", F.col("node").alias("b"), F.col("comp").alias("cb"), F.col("n").alias("nb"), F.col("at").alias("pb"))
+    need = f"ceil({threshold} * (na + nb) / {100 + threshold}D)"
+    close = f"a < b and ca <> cb and 100 * least(na, nb) >= {threshold} * greatest(na, nb) and pa <= na - {need} + 1 and pb <= nb - {need} + 1"
+    return x.join(y, "token").where(close).select("a", "b").distinct()
+
+
 def near_components(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of each row."""
     sig = cut(signatures(docs), "neardup-signatures")
@@ -181,22 +234,18 @@ def near_components(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     for turn in range(LEADER_ROUNDS + 1):
         rows = _labelled(busy, labels)
         if turn < LEADER_ROUNDS:
-            # one pair a node: with the lowest node (which leads its component) of its groups that it was not held against
+            # one pair a node: with the lowest leader of its groups that it was not held against
             pairs = rows.where("comp <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()
-        else:
-            left = rows.select("key", F.col("node").alias("a"), F.col("comp").alias("ca"))
-            pairs = left.join(rows.select("key", F.col("node").alias("b"), F.col("comp").alias("cb")), "key").where("a < b and ca <> cb").select("a", "b").distinct()
-        if checked is not None:
-            pairs = pairs.join(checked, ["a", "b"], "left_anti")
-        if turn < LEADER_ROUNDS:
+            if checked is not None:
+                pairs = pairs.join(checked, ["a", "b"], "left_anti")
             pairs = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+        else:
+            pairs = undecided_pairs(cut(rows.select("node", "comp").distinct(), "neardup-undecided"), sets, threshold)
+            if checked is not None:
+                pairs = pairs.join(checked, ["a", "b"], "left_anti")
         found = cut(confirm(pairs, sets, threshold), "neardup-pairs")
         checked = found.select("a", "b") if checked is None else checked.unionByName(found.select("a", "b"))
         new = found.where("linked").select("a", "b")
-        if found.isEmpty():
-            if turn >= LEADER_ROUNDS:
-                break
-            continue
         if not new.isEmpty():
             links = new if links is None else links.unionByName(new)
             labels = cut(components(links), "neardup-labels")
