@@ -18,10 +18,12 @@ from __future__ import annotations
 import re
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -35,7 +37,8 @@ END_ID = 0
 #: beyond ASCII, other texts are encoded by the library in one piece.
 _PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
 _PLAIN = re.compile(r"[\x00-\x1b!-~\x20À-ÖØ-öø-ʯͰ-ͳΆΈ-ϿЀ-ҁҊ-ԯ]*")
-_CACHED = 400_000
+#: Parts that a process keeps, some 200 bytes each; bytes of text that are encoded at a time.
+_CACHED, _AT_ONCE = 900_000, 2 << 20
 
 
 class Encoder:
@@ -47,6 +50,7 @@ class Encoder:
         self.library = Tokenizer.from_file(path)
         self.wide = self.library.get_vocab_size() > 1 << 16
         self.dtype = np.uint32 if self.wide else np.uint16
+        self.code = "I" if self.wide else "H"
         self.cache: dict[str, bytes] = {}
         state = self.library.pre_tokenizer.__getstate__() if self.library.pre_tokenizer else b""
         self.by_parts = self.library.normalizer is None and b'"ByteLevel"' in state and b'"add_prefix_space":false' in state and b'"use_regex":true' in state
@@ -59,13 +63,17 @@ class Encoder:
         if not self.by_parts:
             return [self._whole(t) for t in texts]
         parts = [None if any(s in t for s in self.special) or not _PLAIN.fullmatch(t) else _PARTS.findall(t) for t in texts]
-        if len(self.cache) > _CACHED:
-            self.cache.clear()
-        new = [w for w in {w for p in parts if p for w in p} if w not in self.cache]
-        for w, e in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False)):
-            self.cache[w] = np.array(e.ids, self.dtype).tobytes()
+        # the cache is filled by the words that come first, the frequent ones among them; later ones last for one call
+        new = list(set().union(*(p for p in parts if p)).difference(self.cache))
+        coded = {w: array(self.code, e.ids).tobytes() for w, e in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False))}
+        full = len(self.cache) >= _CACHED
+        self.cache |= coded
         get = self.cache.__getitem__
-        return [self._whole(t) if p is None else b"".join(map(get, p)) for t, p in zip(texts, parts)]
+        out = [self._whole(t) if p is None else b"".join(map(get, p)) for t, p in zip(texts, parts)]
+        if full:
+            for w in coded:
+                del self.cache[w]
+        return out
 
 
 _encoders: dict[str, Encoder] = {}
@@ -128,6 +136,16 @@ class _Shard:
         return {"name": self.name, "n_docs": len(ids), "n_tokens": self.total, "n_rows": self.rows}
 
 
+def _portions(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Consecutive rows of about _AT_ONCE bytes of text, one row at least."""
+    size = np.cumsum([0, *(n or 0 for n in pc.binary_length(b.column(1)).to_pylist())])
+    at = 0
+    while at < b.num_rows:
+        to = max(at + 1, int(np.searchsorted(size, size[at] + _AT_ONCE, "right")) - 1)
+        yield b.slice(at, to - at)
+        at = to
+
+
 MANIFEST = "shard int, name string, n_docs long, n_tokens long, n_rows long"
 
 
@@ -145,9 +163,8 @@ def write(docs: DataFrame, tokenizer: str, folder: str | None = None, length: in
         end = np.array([END_ID], encoder.dtype).tobytes()
         for b in batches:
             kind = b.column(0).type
-            for at in range(0, b.num_rows, 128):
-                part = b.slice(at, 128)
-                shard = shard or _Shard(folder, encoder.dtype, length)
+            shard = shard or _Shard(folder, encoder.dtype, length) if b.num_rows else shard
+            for part in _portions(b):
                 for doc_id, ids in zip(part.column(0).to_pylist(), encoder.many([t or "" for t in part.column(1).to_pylist()])):
                     shard.add(doc_id, ids + end)
         if shard:
