@@ -35,10 +35,9 @@ from pyspark.sql import types as T
 from .common import cut, text_bytes
 
 LENGTH, KGRAM = 200, 32
-INDEX_BYTES = 2 << 20
+#: An index takes segments up to so many bytes; places then have 21 bits, so three ranks fit into one key.
+INDEX_BYTES = 1_800_000
 GROUP_BYTES = 8 << 20
-#: Places of texts whose repeats fill at most so many bytes are broadcast; beyond, they are joined by a shuffle.
-BROADCAST_BYTES = 48 << 20
 _GRAM = np.random.default_rng(7).integers(0, 1 << 63, 256, dtype=np.uint64)
 _STEP = 0x9E3779B97F4A7C15
 
@@ -86,6 +85,9 @@ class RunLengthIndex:
     ends: np.ndarray
     rows: int
     depth: int
+    #: Ranks of the runs' first rows, made when the index is first read.
+    run_of: np.ndarray | None = None
+    shift: np.ndarray | None = None
 
     @classmethod
     def build(cls, texts: list[bytes], depth: int = LENGTH) -> RunLengthIndex:
@@ -127,18 +129,27 @@ class RunLengthIndex:
             return out
 
         rank = ranked(key)
+        # three ranks in a key where they fit, so that each round triples what is compared; else two
+        times = 3 if 3 * n.bit_length() <= 63 else 2
+        width = n.bit_length() if times == 3 else 31
         while reach < longest:
-            if at_depth is None and 2 * reach >= depth:
-                # classes of `depth` bytes: of the first and of the last `reach` of them
-                at_depth = (rank, shifted(rank, depth - reach))
-            rank = ranked((rank << 32) | shifted(rank, reach))
-            reach *= 2
+            if at_depth is None and times * reach >= depth:
+                # classes of `depth` bytes: of their first, middle and last `reach` bytes
+                at_depth = [rank, *(shifted(rank, k) for k in sorted({min(reach, depth - reach), depth - reach}))]
+            key = rank
+            for k in range(1, times):
+                key = (key << width) | shifted(rank, k * reach)
+            rank = ranked(key)
+            reach *= times
         if at_depth is None:
-            at_depth = (rank, rank)
+            at_depth = [rank]
         # suffixes alike up to their texts' ends, by place
         order = np.sort((rank << 31) | places) & ((1 << 31) - 1)
-        a, b = at_depth[0][order], at_depth[1][order]
-        border = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
+        border = np.ones(n, bool)
+        border[1:] = False
+        for x in at_depth:
+            x = x[order]
+            border[1:] |= x[1:] != x[:-1]
         # the first byte before each suffix
         begin = np.concatenate([[0], stop[:-1]])
         last = flat[np.maximum(order - 1, 0)]
@@ -160,32 +171,35 @@ class RunLengthIndex:
 
     def step(self, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """LF: the byte + 1 before each row's suffix, and the row of the suffix one byte longer."""
-        run = np.searchsorted(self.heads, row, "right") - 1
-        c = self.chars[run]
-        return c, self.first[c] + self.before[run] + row - self.heads[run]
+        if self.run_of is None:
+            starts = np.zeros(self.rows, np.int32)
+            starts[self.heads[1:]] = 1
+            self.run_of = np.cumsum(starts, dtype=np.int32)
+            self.shift = self.first[self.chars] + self.before - self.heads
+        run = self.run_of[row]
+        return self.chars[run], self.shift[run] + row
 
     def repeated(self, weights: np.ndarray, owners_end: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
         """For each text, whether the `depth` bytes at each of its places occur at least twice, an occurrence in text k
         counting weights[k] times. All texts are streamed at once, from their ends; owners_end: their last rows."""
-        group_weight = np.zeros(len(self.groups), np.int64)
-        alive, row = np.arange(len(sizes)), owners_end.copy()
-        steps = []
         order = np.argsort(-sizes, kind="stable")
-        alive, row = order, row[order]
-        left = sizes[order]
+        row, left = owners_end[order], sizes[order]
+        steps = []
         for k in range(1, int(sizes.max(initial=0)) + 1):
             live = int(np.searchsorted(-left, -k, "right"))
-            _, new = self.step(row[:live])
-            row = new
+            _, row = self.step(row[:live])
             if k >= self.depth:
-                group = np.searchsorted(self.groups, row, "right") - 1
-                np.add.at(group_weight, group, weights[alive[:live]])
-                steps.append((k, alive[:live], group))
+                steps.append(row)
         n = np.maximum(sizes - self.depth + 1, 0)
         base = np.concatenate([[0], np.cumsum(n)])
         found = np.zeros(int(base[-1]), bool)
-        for k, who, group in steps:
-            found[base[who] + n[who] - 1 - (k - self.depth)] = group_weight[group] > 1
+        if steps:
+            lives = [len(r) for r in steps]
+            group = np.searchsorted(self.groups, np.concatenate(steps), "right") - 1
+            who = np.concatenate([order[:m] for m in lives])
+            weight = np.bincount(group, weights[who], len(self.groups))
+            place = base[who] + n[who] - 1 - np.repeat(np.arange(len(steps)), lives)
+            found[place] = weight[group] > 1
         return np.split(found, base[1:-1])
 
 
@@ -231,19 +245,21 @@ def places(docs: DataFrame) -> DataFrame:
 def _fetched(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """seed, weight and bytes of the wanted(seed, segment, weight, text, size, start, length), each from one text."""
     by_text = wanted.groupBy("text", "size").agg(F.collect_list(F.struct("seed", "segment", "weight", "start", "length")).alias("list"))
-    by_text = cut(by_text, "substrings-wanted")
-    small = (by_text.select(F.sum(F.size("list") * 40 + 64)).first()[0] or 0) <= BROADCAST_BYTES
     texts = docs.select(F.coalesce("text", F.lit("")).cast("binary").alias("data"))
     keyed = texts.mapInArrow(_with_key, "data binary, text long, size int")
-    met = keyed.join(F.broadcast(by_text) if small else by_text, ["text", "size"]).dropDuplicates(["text", "size"]) if not small else keyed.join(F.broadcast(by_text), ["text", "size"])
+    met = keyed.join(by_text, ["text", "size"])
 
     def run(batches):
+        done: set[tuple[int, int]] = set()
         for b in batches:
-            for data, items in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            for data, items, key in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), zip(b.column(2).to_pylist(), b.column(3).to_pylist())):
+                if key in done:  # a copy of a text that this task has had
+                    continue
+                done.add(key)
                 rows = [(x["seed"], x["segment"], x["weight"], data[x["start"] : x["start"] + x["length"]]) for x in items]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names=["seed", "segment", "weight", "data"]).cast(pa.schema([("seed", pa.int64()), ("segment", pa.int64()), ("weight", pa.int64()), ("data", pa.binary())]))
 
-    return met.select("data", "list").mapInArrow(run, "seed long, segment long, weight long, data binary")
+    return met.select("data", "list", "text", "size").mapInArrow(run, "seed long, segment long, weight long, data binary")
 
 
 def _with_key(batches):
@@ -321,11 +337,10 @@ def removals(docs: DataFrame) -> DataFrame:
 def dedup(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and the spans (start, end) removed, of each row."""
     gone = cut(removals(docs), "substrings-removals")
-    small = (gone.select(F.sum(F.size("spans") * 24 + 64)).first()[0] or 0) <= BROADCAST_BYTES
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("data"))
     id_kind = docs.schema["doc_id"]
     keyed = rows.mapInArrow(_row_keys, T.StructType([id_kind, T.StructField("data", T.BinaryType()), T.StructField("text", T.LongType()), T.StructField("size", T.IntegerType())]))
-    met = keyed.join(F.broadcast(gone) if small else gone, ["text", "size"], "left").select("doc_id", "data", "spans")
+    met = keyed.join(gone, ["text", "size"], "left").select("doc_id", "data", "spans")
     span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
     def run(batches):
