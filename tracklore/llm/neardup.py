@@ -180,9 +180,9 @@ def undecided_pairs(undecided: DataFrame, sets: DataFrame, threshold: int = THRE
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(held) if held else np.zeros(0, np.int64))], names=["token"])
 
     some = sets.join(undecided.where(F.pmod(F.xxhash64("node"), F.lit(SAMPLE)) == 0).select("node"), "node", "left_semi").select("hashes")
-    hot = some.mapInArrow(tokens, "token long").groupBy("token").agg(F.count("*").alias("n")).where("n > 1").orderBy(F.desc("n"), "token").limit(HOT_SHINGLES).toPandas()
-    at = np.argsort(hot["token"].to_numpy(np.int64))
-    shared = spark.sparkContext.broadcast((hot["token"].to_numpy(np.int64)[at], hot["n"].to_numpy(np.int64)[at].astype(np.int32)))
+    hot = some.mapInArrow(tokens, "token long").groupBy("token").agg(F.count("*").alias("n")).where("n > 1").orderBy(F.desc("n"), "token").limit(HOT_SHINGLES).toArrow()
+    at = np.argsort(hot["token"].to_numpy())
+    shared = spark.sparkContext.broadcast((hot["token"].to_numpy()[at], hot["n"].to_numpy()[at].astype(np.int32)))
     kind = undecided.schema["node"].dataType
     schema = T.StructType([T.StructField("token", T.LongType()), T.StructField("node", kind), T.StructField("comp", kind), T.StructField("n", T.IntegerType()), T.StructField("at", T.IntegerType())])
 
