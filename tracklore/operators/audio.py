@@ -109,9 +109,9 @@ def cue_scores(samples: DataFrame, windows: DataFrame, baselines: DataFrame, buc
     """How much each face moves its mouth in each line and with the sound: min(motion, 1) * (0.5 + 0.5 * correlation)."""
     inside = interval_join(samples.select("track_id", "face", "t", "value", "level"), windows.select("track_id", "cue", "start_s", "end_s"), bucket)
     moves = detrended(inside, "value", "t", "cue", "face")
-    stats = moves.groupBy("track_id", "cue", "face").agg(F.count("*").alias("n"), F.stddev_pop("detrended").alias("sd"), F.corr("value", "level").alias("r")).where(F.col("n") >= least)
+    stats = moves.groupBy("track_id", "cue", "face").agg(F.count("*").alias("n"), F.stddev_pop("detrended").alias("sd"), F.try_divide(F.covar_pop("value", "level"), F.stddev_pop("value") * F.stddev_pop("level")).alias("r")).where(F.col("n") >= least)
     motion = F.col("sd") / (F.lit(3.0) * F.col("baseline"))
-    together = F.greatest(F.coalesce(F.nanvl("r", F.lit(0.0)), F.lit(0.0)), F.lit(0.0))
+    together = F.greatest(F.coalesce("r", F.lit(0.0)), F.lit(0.0))
     return stats.join(baselines.select("track_id", "baseline"), "track_id").select("track_id", "cue", "face", "n", (F.least(motion, F.lit(1.0)) * (F.lit(0.5) + F.lit(0.5) * together)).alias("score"))
 
 
