@@ -528,7 +528,18 @@ def nearest_label_fill(spark, d):
     return intervals.nearest_filled(rows)
 
 
-@query()
+@query(
+    f"""WITH {B.VECTORS},
+anc AS (SELECT track_id, idx, CASE WHEN idx % 4 = 0 THEN label END AS anchor, v FROM vec),
+aflat AS (SELECT track_id, anchor, unnest(v) AS x, generate_subscripts(v, 1) AS pos FROM anc WHERE anchor IS NOT NULL), amean AS (SELECT track_id, anchor, pos, avg(x) AS m FROM aflat GROUP BY ALL),
+ac0 AS (SELECT track_id, anchor, list(m ORDER BY pos) AS c FROM amean GROUP BY ALL), ac AS (SELECT track_id, anchor AS to_label, list_transform(c, lambda x: x / (sqrt(list_dot_product(c, c)) + 1e-9::DOUBLE)) AS c FROM ac0),
+asim AS (SELECT u.track_id, u.idx, ac.to_label, list_dot_product(u.u, ac.c) AS sim FROM unit u JOIN ac USING (track_id)),
+near AS (SELECT track_id, idx, to_label, sim, row_number() OVER w AS k, sim - coalesce(lead(sim) OVER w, -1) AS ahead FROM asim WINDOW w AS (PARTITION BY track_id, idx ORDER BY sim DESC, to_label)),
+named AS (SELECT a.track_id, a.idx, coalesce(a.anchor, n.to_label) AS label FROM anc a LEFT JOIN near n ON n.track_id = a.track_id AND n.idx = a.idx AND n.k = 1 AND n.ahead >= 0.05::DOUBLE),
+held AS (SELECT *, CASE WHEN label IS NOT NULL THEN idx END AS at_idx FROM named),
+w AS (SELECT *, max(at_idx) OVER (PARTITION BY track_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS i0, min(at_idx) OVER (PARTITION BY track_id ORDER BY idx ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS i1 FROM held)
+SELECT w.track_id, w.idx, CASE WHEN i1 IS NULL OR w.idx - i0 <= i1 - w.idx THEN coalesce(x.label, y.label) ELSE y.label END AS label FROM w LEFT JOIN held x ON x.track_id = w.track_id AND x.idx = i0 LEFT JOIN held y ON y.track_id = w.track_id AND y.idx = i1"""
+)
 def anchors_assign(spark, d):
     rows = B.vectors(spark, d).withColumn("anchor", F.when(F.expr("idx % 4 = 0"), F.col("label")))
     return speakers.anchored(rows).select("track_id", "idx", "label")
