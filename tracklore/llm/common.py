@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
+import sys
 import tempfile
 import uuid
 
@@ -12,6 +16,34 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+_caches: dict[str, dict] = {}
+
+
+def own_cache(name: str) -> dict:
+    """The cache of an operator in this process. Workers are used again: those of other operators are emptied, and what
+    they held goes back to the machine."""
+    others = [held for other, held in _caches.items() if other != name and held]
+    for held in others:
+        held.clear()
+    if others:
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        if sys.platform == "linux":
+            ctypes.CDLL(None).malloc_trim(0)
+    return _caches.setdefault(name, {})
+
+
+#: Rows of texts that go to a Python worker at a time; Spark's own default is five times as many.
+BATCH_ROWS = 2000
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Arrow batches of the session have BATCH_ROWS rows at most, so that a worker holds a few MB of text at a time."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new folder's URI below spark.checkpoint.dir; below a local temporary folder where that is unset (local runs)."""
     base = spark.conf.get("spark.checkpoint.dir", None)
@@ -21,12 +53,42 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+#: Folders written within each open scratch(), the innermost last.
+_open: list[list[str]] = []
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """df written as Parquet to the shared folder and read again: lineage ends here, and a lost executor loses nothing."""
     spark = df.sparkSession
     path = shared_dir(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._cut_path = path
+    if _open:
+        _open[-1].append(path)
+    return out
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession):
+    """Tables that cut() writes inside are deleted at the end, but for those given to the function that this yields."""
+    held: list[str] = []
+    kept: list[str] = []
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.append(df._cut_path)
+        return df
+
+    _open.append(held)
+    try:
+        yield keep
+    finally:
+        _open.remove(held)
+        for path in held:
+            if path not in kept:
+                drop_dir(spark, path)
+        if _open:  # what is kept here may go where the caller ends
+            _open[-1].extend(kept)
 
 
 def drop_dir(spark: SparkSession, uri: str) -> None:
@@ -35,11 +97,6 @@ def drop_dir(spark: SparkSession, uri: str) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def table_dir(df: DataFrame) -> str:
-    """The folder that cut() wrote."""
-    return df.inputFiles()[0].rsplit("/", 1)[0] if df.inputFiles() else ""
-
-
 def local_fs(uri: str):
     """(pyarrow file system, path) for a shared folder's URI; file:, hdfs: and object stores that pyarrow knows."""
     from pyarrow import fs

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, text_bytes
+from .common import bound_batches, cut, text_bytes
 
 WINDOW = 10
 BLOCK_BYTES = 64 << 20
@@ -99,6 +99,7 @@ def blocks(benchmark: DataFrame, limit: int = BLOCK_BYTES, id_col: str = "item_i
 
 
 def _reports(docs: DataFrame, items: list[tuple[object, bytes]], size: int, spans: bool) -> DataFrame:
+    bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(items)
     key = uuid.uuid4().hex
     fields = [docs.schema["doc_id"], T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("items", T.ArrayType(T.StringType()))]
@@ -157,6 +158,7 @@ def _in_blocks(docs: DataFrame, items: Iterator[list[tuple[object, bytes]]], siz
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
     """docs without the rows that hold any window, all columns as they are; a pass for each block of the benchmark."""
+    bound_batches(docs.sparkSession)
     names, at = docs.columns, docs.columns.index("text")
     for block in blocks(benchmark):
         shared = docs.sparkSession.sparkContext.broadcast(block)

@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from .common import bound_batches
+
 KEEP = 0.08
 SIGMA, REACH = 1.5, 4
 #: Fixed values of HTML: elements whose content is no text, without content, inline, and that close an open paragraph.
@@ -161,6 +163,7 @@ def main_text(page: str) -> str:
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars of each page, in one pass without a shuffle."""
+    bound_batches(pages.sparkSession)
     schema = T.StructType([pages.schema["page_id"], pages.schema["url"], T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
 
     def run(batches):

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, local_fs, shared_dir, text_bytes
+from .common import bound_batches, cut, local_fs, shared_dir, text_bytes
 
 BLOCK, FILL, TAIL = 576, 255, 32
 LEAST, MASK_BITS, MOST = 256, 10, 8192
@@ -92,6 +92,7 @@ class _Pack:
 def store(docs: DataFrame, folder: str | None = None) -> tuple[str, DataFrame]:
     """Writes packs and returns their folder and, for each row: row (unique), doc_id, n_bytes, pack, payload digest and
     the chunks (digest, length; frame, size and at where this row's chunk was stored, else null)."""
+    bound_batches(docs.sparkSession)
     folder = folder or shared_dir(docs.sparkSession, "media-packs")
     schema = T.StructType([T.StructField("row", T.LongType()), docs.schema["doc_id"], T.StructField("n_bytes", T.LongType()), T.StructField("pack", T.StringType()), T.StructField("whole", T.BinaryType()), T.StructField("chunks", T.ArrayType(_CHUNK))])
 

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import doc_bucket, text_bytes
+from .common import bound_batches, doc_bucket, own_cache, text_bytes
 
 #: Bound of the fitting sample: so many labelled rows at most, those of the smallest hash.
 MAX_TRAIN_ROWS = 8000
@@ -38,11 +38,13 @@ _UPPER, _DIGIT, _SPACE = np.zeros(256, bool), np.zeros(256, bool), np.zeros(256,
 _UPPER[65:91] = _DIGIT[48:58] = True
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _SYMBOL = np.array([33 <= b < 127 and not chr(b).isalnum() and chr(b) not in ".,;:'\"-" for b in range(256)])
-_buckets: dict[bytes, int] = {}
+#: Words that a process keeps.
+_KEPT = 150_000
+_buckets: dict[bytes, int] = own_cache("quality")
 
 
 def _bucket_of(word: bytes) -> int:
-    if len(_buckets) > 400_000:
+    if len(_buckets) > _KEPT:
         _buckets.clear()
     b = _buckets[word] = xxhash.xxh32_intdigest(word) & (OFFSET_STATS - 1)
     return b
@@ -139,11 +141,13 @@ def fit(docs: list[tuple[int, np.ndarray, np.ndarray]], factors: int = 8, epochs
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN_ROWS, label: str = "quality") -> FactorisationMachine:
     """Fits on at most max_rows labelled documents whose crc32(doc_id) mod 4 is not 2. Several labels of a document: the
     larger. Only ids and labels of the sample (bounded by max_rows) are broadcast, only its features come to the driver."""
+    bound_batches(docs.sparkSession)
     usable = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & (doc_bucket(F.col("doc_id"), 4) != 2))
     sample = usable.groupBy("doc_id").agg(F.max(F.when(F.col(label) > 0, 1).otherwise(0)).alias("_y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
     rows = docs.select("doc_id", "text", _length(docs).alias("_n")).join(F.broadcast(sample), "doc_id").select("_y", "text", "_n")
 
     def featurize(batches):
+        own_cache("quality")
         for b in batches:
             got = [features(t, n) for t, n in zip(text_bytes(b.column(1)), b.column(2).to_pylist())]
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int32()), pa.array([i.tobytes() for i, _ in got], pa.binary()), pa.array([v.tobytes() for _, v in got], pa.binary())], names=["y", "i", "v"])
@@ -168,9 +172,11 @@ def _scores(model: FactorisationMachine, texts: list[bytes], lengths: list) -> n
 
 def score(docs: DataFrame, model: FactorisationMachine, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, held_out, score and predicted (score >= threshold) of each row, in one pass without a shuffle."""
+    bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
+        own_cache("quality")
         for b in batches:
             s = _scores(shared.value, text_bytes(b.column(2)), b.column(3).to_pylist())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(s, pa.float64()), pa.array((s >= threshold).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
@@ -181,10 +187,12 @@ def score(docs: DataFrame, model: FactorisationMachine, threshold: float = THRES
 
 def keep_good(docs: DataFrame, model: FactorisationMachine, threshold: float = THRESHOLD) -> DataFrame:
     """docs without the rows that score below the threshold, all columns as they are."""
+    bound_batches(docs.sparkSession)
     shared, names = docs.sparkSession.sparkContext.broadcast(model), docs.columns
     at = names.index("text")
 
     def run(batches):
+        own_cache("quality")
         for b in batches:
             s = _scores(shared.value, text_bytes(b.column(at)), b.column(len(names)).to_pylist())
             yield pa.RecordBatch.from_arrays(b.columns[: len(names)], names=names).filter(pa.array(s >= threshold))

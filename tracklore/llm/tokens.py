@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, input_partitions, local_fs, shared_dir
+from .common import bound_batches, cut, input_partitions, local_fs, own_cache, shared_dir
 
 LENGTH = 2048
 ROWS_PER_BATCH = 256
@@ -37,8 +37,8 @@ END_ID = 0
 #: beyond ASCII, other texts are encoded by the library in one piece.
 _PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
 _PLAIN = re.compile(r"[\x00-\x1b!-~\x20À-ÖØ-öø-ʯͰ-ͳΆΈ-ϿЀ-ҁҊ-ԯ]*")
-#: Parts that a process keeps, some 200 bytes each; bytes of text that are encoded at a time.
-_CACHED, _AT_ONCE = 900_000, 2 << 20
+#: Parts that a process keeps, some 150 bytes each, and their longest. Bytes of text encoded at a time.
+_KEPT, _SHORT, _AT_ONCE = 600_000, 12, 1 << 20
 
 
 class Encoder:
@@ -63,23 +63,20 @@ class Encoder:
         if not self.by_parts:
             return [self._whole(t) for t in texts]
         parts = [None if any(s in t for s in self.special) or not _PLAIN.fullmatch(t) else _PARTS.findall(t) for t in texts]
-        # the cache is filled by the words that come first, the frequent ones among them; later ones last for one call
+        # short parts stay, as they come again; long ones and those beyond the bound last for this call
         new = list(set().union(*(p for p in parts if p)).difference(self.cache))
-        coded = {w: array(self.code, e.ids).tobytes() for w, e in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False))}
-        full = len(self.cache) >= _CACHED
-        self.cache |= coded
+        self.cache.update((w, array(self.code, e.ids).tobytes()) for w, e in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False)))
         get = self.cache.__getitem__
         out = [self._whole(t) if p is None else b"".join(map(get, p)) for t, p in zip(texts, parts)]
-        if full:
-            for w in coded:
+        full = len(self.cache) - len(new) >= _KEPT
+        for w in new:
+            if full or len(w) > _SHORT:
                 del self.cache[w]
         return out
 
 
-_encoders: dict[str, Encoder] = {}
-
-
 def _encoder(path: str) -> Encoder:
+    _encoders = own_cache("tokens")
     if path not in _encoders:
         _encoders[path] = Encoder(path)
     return _encoders[path]
@@ -152,6 +149,7 @@ MANIFEST = "shard int, name string, n_docs long, n_tokens long, n_rows long"
 def write(docs: DataFrame, tokenizer: str, folder: str | None = None, length: int = LENGTH, partitions: int | None = None) -> tuple[str, DataFrame]:
     """Writes the shards below folder (a new shared one by default) and returns it with the manifest: one row a shard,
     numbered in the order of doc_ids. tokenizer: a file of the tokenizers library, at the same path on all machines."""
+    bound_batches(docs.sparkSession)
     folder = folder or shared_dir(docs.sparkSession, "tokens")
     id_type = docs.schema["doc_id"].dataType
     dealt = docs.select("doc_id", "text").repartitionByRange(partitions or input_partitions(docs), "doc_id").sortWithinPartitions("doc_id", "text")
