@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tracklore.llm import decontaminate, mixing, neardup, quality, tokens
-from tracklore.llm.common import cut
+from tracklore.llm.common import cut, scratch
 
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,6 +41,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        docs = cut(stage(spark, docs, sf_dir), f"pipeline-{name}")
-    return cut(STAGES[-1][1](spark, docs, sf_dir), "pipeline-tokens")
+    with scratch(spark) as keep:
+        for name, stage in STAGES:
+            docs = cut(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        return keep(docs)

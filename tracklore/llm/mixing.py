@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, cut
+from .common import WORD, cut, scratch
 
 DIMS = ("source", "lang", "topic")
 #: Power of a value's share of tokens in its default target; 1 keeps the share.
@@ -82,10 +82,11 @@ def rake(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None) -
 
 def _decided(docs: DataFrame, targets: dict[str, dict[str, float]] | None) -> DataFrame:
     rows = measured(docs)
-    cells = cut(rows.groupBy(F.col("_source").alias("source"), F.col("_lang").alias("lang"), F.col("_topic").alias("topic")).agg(F.sum("_tokens").alias("tokens")), "mixing-counts")
-    raked = rake(cells, targets)
-    top = raked.agg(F.max("weight").alias("_top"))
-    raked = cut(raked.join(F.broadcast(top)).select(*[F.col(d).alias(f"_{d}") for d in DIMS], F.col("weight").alias("_weight"), (F.col("weight") / F.col("_top")).alias("_p")), "mixing-weights")
+    with scratch(docs.sparkSession) as keep:
+        cells = cut(rows.groupBy(F.col("_source").alias("source"), F.col("_lang").alias("lang"), F.col("_topic").alias("topic")).agg(F.sum("_tokens").alias("tokens")), "mixing-counts")
+        raked = rake(cells, targets)
+        top = raked.agg(F.max("weight").alias("_top"))
+        raked = keep(cut(raked.join(F.broadcast(top)).select(*[F.col(d).alias(f"_{d}") for d in DIMS], F.col("weight").alias("_weight"), (F.col("weight") / F.col("_top")).alias("_p")), "mixing-weights"))
     small = raked.limit(SMALL_CELLS + 1).count() <= SMALL_CELLS
     rows = rows.join(F.broadcast(raked) if small else raked, [f"_{d}" for d in DIMS])
     # a number in [0, 1) that depends on the doc_id alone

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, text_bytes
+from .common import bound_batches, cut, own_cache, scratch, text_bytes
 
 SIZE, THRESHOLD = 5, 75
 COLLECTIONS, WIDTH = 14, 2
@@ -46,11 +46,13 @@ _rng = np.random.default_rng(20240607)
 _A = (_rng.integers(1, 1 << 63, COLLECTIONS * WIDTH, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
 _B = _rng.integers(0, 1 << 63, COLLECTIONS * WIDTH, dtype=np.uint64)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
-_hashes: dict[bytes, int] = {}
+#: Words that a process keeps.
+_KEPT = 150_000
+_hashes: dict[bytes, int] = own_cache("neardup")
 
 
 def _hash_of(word: bytes) -> int:
-    if len(_hashes) > 400_000:
+    if len(_hashes) > _KEPT:
         _hashes.clear()
     h = _hashes[word] = xxhash.xxh3_64_intdigest(word)
     return h
@@ -91,6 +93,7 @@ def signatures(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         np.seterr(over="ignore")
+        own_cache("neardup")
         for b in batches:
             n, keys, sk = [], [], []
             for data in text_bytes(b.column(1)):
@@ -111,6 +114,7 @@ def shingle_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
     def run(batches):
         np.seterr(over="ignore")
+        own_cache("neardup")
         for b in batches:
             nodes, sets = [], []
             for node, data, key in zip(b.column(0).to_pylist(), text_bytes(b.column(1)), b.column(2).to_pylist()):
@@ -219,9 +223,15 @@ def undecided_pairs(undecided: DataFrame, sets: DataFrame, threshold: int = THRE
 
 def near_components(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of each row."""
-    sig = cut(signatures(docs), "neardup-signatures")
+    with scratch(docs.sparkSession) as keep:
+        return _near_components(docs, threshold, keep)
+
+
+def _near_components(docs: DataFrame, threshold: int, keep) -> DataFrame:
+    bound_batches(docs.sparkSession)
+    sig = keep(cut(signatures(docs), "neardup-signatures"))
     with_id = sig.where("doc_id is not null and words_key is not null")
-    nodes = cut(with_id.groupBy("words_key").agg(F.min("doc_id").alias("node"), F.min("n_shingles").alias("n"), F.min("sketch").alias("sketch")), "neardup-nodes")
+    nodes = keep(cut(with_id.groupBy("words_key").agg(F.min("doc_id").alias("node"), F.min("n_shingles").alias("n"), F.min("sketch").alias("sketch")), "neardup-nodes"))
     # two texts may share the lowest id where ids repeat: such nodes are one
     keys = F.explode(F.array(*[F.xxhash64(F.lit(k), F.col("sketch")[i], F.col("sketch")[j]) for k, (i, j) in enumerate(combinations(range(COLLECTIONS), 2))]))
     met = nodes.select(keys.alias("key"), "node").repartition("key")
@@ -248,7 +258,7 @@ def near_components(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
         new = found.where("linked").select("a", "b")
         if not new.isEmpty():
             links = new if links is None else links.unionByName(new)
-            labels = cut(components(links), "neardup-labels")
+            labels = keep(cut(components(links), "neardup-labels"))
     placed = nodes.select("words_key", "node") if labels is None else nodes.select("words_key", "node").join(labels, "node", "left")
     comp = F.col("node") if labels is None else F.coalesce("comp", "node")
     placed = placed.select("words_key", comp.alias("component"))
@@ -260,6 +270,7 @@ def near_components(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
 def keep_first(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """docs with one document of each component, all columns as they are. The ids that go are few beside the rest; they
     are broadcast up to BROADCAST_ROWS rows and else joined by a shuffle."""
-    gone = cut(near_components(docs, threshold).where("not kept and doc_id is not null").select("doc_id").distinct(), "neardup-gone")
+    with scratch(docs.sparkSession) as keep:
+        gone = keep(cut(near_components(docs, threshold).where("not kept and doc_id is not null").select("doc_id").distinct(), "neardup-gone"))
     small = gone.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     return docs.join(F.broadcast(gone) if small else gone, "doc_id", "left_anti").select(*docs.columns)

@@ -22,7 +22,7 @@ from itertools import product
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, scratch
 
 #: Candidates of at most so many documents are broadcast (some 60 bytes each); beyond, they are joined by a shuffle.
 BROADCAST_ROWS = 200_000
@@ -136,8 +136,9 @@ def _spans(rule: Rule, text: Column) -> Column:
 
 def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """doc_id and spans (start, end, kind; by start, then the rules' order) of each row."""
-    index = cut(build_index(docs, rules), "secrets-postings")
-    found = cut(candidates(index, rules), "secrets-candidates")
+    with scratch(docs.sparkSession) as keep:
+        index = cut(build_index(docs, rules), "secrets-postings")
+        found = keep(cut(candidates(index, rules), "secrets-candidates"))
     small = found.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     found = found.withColumnRenamed("doc_id", "_doc")
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(found) if small else found, F.col("doc_id") == F.col("_doc"), "left")

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, text_bytes
+from .common import bound_batches, cut, scratch, text_bytes
 
 LENGTH, KGRAM = 200, 32
 #: An index takes segments up to so many bytes; places then have 21 bits, so three ranks fit into one key.
@@ -94,14 +94,15 @@ class RunLengthIndex:
         """Suffixes are ordered by prefix doubling; those alike up to their texts' ends by the texts' order. depth: 7 at least."""
         sizes = np.array([len(t) + 1 for t in texts])
         stop = np.cumsum(sizes)
-        flat = np.zeros(stop[-1], np.int64)
+        # 32 bits where they do: an index of GROUP_BYTES is the most that a task holds
+        flat = np.zeros(stop[-1], np.int16)
         joined = np.frombuffer(b"".join(texts), np.uint8)
         inside = np.ones(stop[-1], bool)
         inside[stop - 1] = False
-        flat[inside] = joined.astype(np.int64) + 1
+        flat[inside] = joined.astype(np.int16) + 1
         n = len(flat)
-        limit = np.repeat(stop, sizes)  # where the text of a place ends
-        places = np.arange(n)
+        limit = np.repeat(stop.astype(np.int32), sizes)  # where the text of a place ends
+        places = np.arange(n, dtype=np.int32)
         # seven bytes at first (9 bits each), then twice as many each time
         key = np.zeros(n, np.int64)
         for k in range(7):
@@ -117,15 +118,14 @@ class RunLengthIndex:
             new[0] = True
             sorted_key = key[order]
             np.not_equal(sorted_key[1:], sorted_key[:-1], out=new[1:])
-            rank = np.empty(n, np.int64)
-            rank[order] = np.cumsum(new)
+            rank = np.empty(n, np.int32)
+            rank[order] = np.cumsum(new, dtype=np.int32)
             return rank
 
         def shifted(rank, by):
-            out = np.zeros(n, np.int64)
-            p = places[: max(0, n - by)]
-            ok = p + by < limit[: len(p)]
-            out[p[ok]] = rank[p[ok] + by]
+            out = np.zeros(n, np.int32)
+            m = max(0, n - by)
+            np.multiply(rank[by:], places[:m] + np.int32(by) < limit[:m], out=out[:m])
             return out
 
         rank = ranked(key)
@@ -136,7 +136,7 @@ class RunLengthIndex:
             if at_depth is None and times * reach >= depth:
                 # classes of `depth` bytes: of their first, middle and last `reach` bytes
                 at_depth = [rank, *(shifted(rank, k) for k in sorted({min(reach, depth - reach), depth - reach}))]
-            key = rank
+            key = rank.astype(np.int64)
             for k in range(1, times):
                 key = (key << width) | shifted(rank, k * reach)
             rank = ranked(key)
@@ -144,7 +144,7 @@ class RunLengthIndex:
         if at_depth is None:
             at_depth = [rank]
         # suffixes alike up to their texts' ends, by place
-        order = np.sort((rank << 31) | places) & ((1 << 31) - 1)
+        order = np.sort((rank.astype(np.int64) << 31) | places) & ((1 << 31) - 1)
         border = np.ones(n, bool)
         border[1:] = False
         for x in at_depth:
@@ -152,7 +152,7 @@ class RunLengthIndex:
             border[1:] |= x[1:] != x[:-1]
         # the first byte before each suffix
         begin = np.concatenate([[0], stop[:-1]])
-        last = flat[np.maximum(order - 1, 0)]
+        last = flat[np.maximum(order - 1, 0)].astype(np.int64)
         starts = np.zeros(n, bool)
         starts[begin] = True
         last[starts[order]] = 0
@@ -336,7 +336,9 @@ def removals(docs: DataFrame) -> DataFrame:
 
 def dedup(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and the spans (start, end) removed, of each row."""
-    gone = cut(removals(docs), "substrings-removals")
+    bound_batches(docs.sparkSession)
+    with scratch(docs.sparkSession) as keep:
+        gone = keep(cut(removals(docs), "substrings-removals"))
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("data"))
     id_kind = docs.schema["doc_id"]
     keyed = rows.mapInArrow(_row_keys, T.StructType([id_kind, T.StructField("data", T.BinaryType()), T.StructField("text", T.LongType()), T.StructField("size", T.IntegerType())]))
