@@ -15,6 +15,7 @@ doc_id stand by text (null first); rows without doc_id come first; an empty tabl
 
 from __future__ import annotations
 
+import os
 import re
 import uuid
 import zlib
@@ -38,13 +39,15 @@ END_ID = 0
 _PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
 _PLAIN = re.compile(r"[\x00-\x1b!-~\x20À-ÖØ-öø-ʯͰ-ͳΆΈ-ϿЀ-ҁҊ-ԯ]*")
 #: Parts that a process keeps, some 150 bytes each, and their longest. Bytes of text encoded at a time.
-_KEPT, _SHORT, _AT_ONCE = 600_000, 12, 1 << 20
+_KEPT, _SHORT, _AT_ONCE = 450_000, 12, 1 << 20
 
 
 class Encoder:
     """Ids of texts as bytes. Parts that occur again are looked up; the library encodes each part once."""
 
     def __init__(self, path: str):
+        # one thread a task: the library's own threads would each hold memory beyond the cores that Spark gave
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
