@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,6 +12,7 @@ from ..functions import text as X
 from ..schema import EVENTS, OK, UNRELIABLE, WEAK
 
 MEMORY, OVERLAP = 40, 12
+_NO_TRACK = object()
 REMEDY = "supply an authored subtitle track"
 
 
@@ -75,26 +78,30 @@ def _overlap(seen: list[str], cur: list[str]) -> int:
     return n
 
 
-def _roll(track: pd.DataFrame) -> pd.DataFrame:
-    seen: list[str] = []
-    last = None
-    out = []
-    for r in track.sort_values("seq").itertuples(index=False):
-        plain = (r.text or "").split()
-        cur = [x.lower() for x in plain]
-        n = _overlap(seen, cur)
-        seen = (seen + cur[n:])[-MEMORY:]
-        if plain[n:]:
-            start = r.start_s if last is None else max(r.start_s, last)
-            out.append((r.track_id, r.seq, min(start, r.end_s - 0.05), r.end_s, " ".join(plain[n:])))
-            last = r.end_s
-    return pd.DataFrame(out, columns=EVENTS.names)
+def _roll(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come by track and seq; only the current track's last words are held."""
+    track, seen, last = _NO_TRACK, [], None
+    for b in batches:
+        out: list[tuple] = []
+        for row in zip(*(c.to_pylist() for c in b.columns)):
+            track_id, seq, start, end, text = row
+            if track_id != track:
+                track, seen, last = track_id, [], None
+            plain = (text or "").split()
+            cur = [x.lower() for x in plain]
+            n = _overlap(seen, cur)
+            seen = (seen + cur[n:])[-MEMORY:]
+            if plain[n:]:
+                out.append((track_id, seq, min(start if last is None else max(start, last), end - 0.05), end, " ".join(plain[n:])))
+                last = end
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), b.schema)], names=EVENTS.names)
 
 
 def dedupe_rolling(events: DataFrame) -> DataFrame:
-    """Only the words that each line adds to the last 40. A line's words depend on all before, so each track is read in
-    order by one function; tracks are independent, a track's lines are held together."""
-    return events.select(*EVENTS.names).groupBy("track_id").applyInPandas(_roll, EVENTS)
+    """Only the words that each line adds to the last 40. A line's words depend on all before, so the rows of a track are
+    read in order by one function; tracks are dealt out, and the state of one is 40 words."""
+    return events.select(*EVENTS.names).repartition("track_id").sortWithinPartitions("track_id", "seq").mapInArrow(_roll, EVENTS)
 
 
 def normalize(events: DataFrame) -> DataFrame:
