@@ -315,3 +315,42 @@ def test_quality_learns(spark):
     df = spark.createDataFrame(rows, DOCS)
     got = quality.score(df, quality.train(df, df.selectExpr("doc_id", "cast(doc_id % 2 as int) as quality"))).where("held_out").collect()
     assert sum(r.predicted == r.doc_id % 2 for r in got) >= 0.97 * len(got)
+
+
+def test_language_model_counts_every_context():
+    """More contexts than any table of a fixed size, each counted by itself, down to the last bit of a code."""
+    code = lm.Code.huffman([2**k for k in range(9)])
+    assert code.length.max() == 8 and not code.tail.any()
+    rng = np.random.default_rng(0)
+    context = np.repeat(np.arange(200_000), 2)
+    symbol, taught = rng.integers(0, 9, 400_000), rng.integers(0, 2, 400_000)
+    ones, seen = lm.path_counts(code, context, symbol, taught)
+    want = Counter()
+    bits = [(c, code.node[s, d], code.bit[s, d], t) for c, s, t in zip(context[:20_000].tolist(), symbol, taught.tolist()) for d in range(code.length[s])]
+    for c, n, b, t in bits:
+        want[c, n] += t
+        want[c, n, "one"] += t * b
+    assert [*seen[: len(bits)]] == [want[c, n] for c, n, *_ in bits] and [*ones[: len(bits)]] == [want[c, n, "one"] for c, n, *_ in bits]
+
+
+def test_language_model_mixes_every_bit_in_order(monkeypatch):
+    """A block put together from parts costs as much as its bits mixed at once; no bit of a code is left to a share."""
+    rng = np.random.default_rng(1)
+    coder = lm.Coder([b"w%d" % k for k in range(300)] + [b""], [*range(400, 100, -1), 90], 90_000, 301)
+    assert coder.tokens.length.max() > 7 and not coder.tokens.tail.any() and not coder.bytes.tail.any()
+    symbol = rng.integers(0, 300, 2000)
+    symbol[[500, 501, 1999]] = coder.end
+    begin = np.array([0, 501, 502])
+    before, second, third = coder.contexts(symbol, begin)
+    whole = lm.predictions(coder, before, second, third, symbol, np.ones(2000, int))
+    length = coder.tokens.length[symbol]
+    blobs = []
+    for k in range(3):
+        at = np.flatnonzero(before % 3 == k)
+        got = lm.predictions(coder, before[at], second[at], third[at], symbol[at], np.ones(len(at), int))
+        assert (got == whole[:, np.repeat(before % 3 == k, length)]).all()
+        blobs.append(lm.pack_given(at, symbol[at], got))
+    x = np.concatenate([whole[:3].T.astype(np.float32) / np.float32(lm.STEPS), np.full((whole.shape[1], 1), 0.3, np.float32)], 1)
+    of_doc = np.add.reduceat(length, begin)
+    want = np.add.reduceat(lm.mixed(x, whole[3], coder.token_bits(symbol)[1], of_doc, lm.FIRST_WEIGHTS), np.cumsum(of_doc) - of_doc)
+    assert lm.block_bits(coder, blobs[::-1]) == pytest.approx(want)
