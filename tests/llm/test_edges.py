@@ -354,3 +354,15 @@ def test_language_model_mixes_every_bit_in_order(monkeypatch):
     of_doc = np.add.reduceat(length, begin)
     want = np.add.reduceat(lm.mixed(x, whole[3], coder.token_bits(symbol)[1], of_doc, lm.FIRST_WEIGHTS), np.cumsum(of_doc) - of_doc)
     assert lm.block_bits(coder, blobs[::-1]) == pytest.approx(want)
+
+
+def test_mixing_is_not_thinned_by_a_stray_source(spark):
+    text = " ".join(["word"] * 100)
+    rows = [(i, text, "en", "ab"[i % 2]) for i in range(2000)]
+    plain = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    stray = spark.createDataFrame([*rows, (9999, "one two three", None, None)], plain.schema)
+    kept = lambda docs: {r.doc_id for r in mixing.keep_sample(docs).collect()}
+    assert kept(plain) == set(range(2000)) and len(kept(stray)) > 1990 and 9999 in kept(stray)
+    # a cell that is not negligible sets the rate, so that targets hold
+    even = mixing.sample(plain.where("source = 'a' or doc_id < 1000"), {"source": {"a": 1.0, "b": 1.0}}).groupBy("source").agg(F.max("probability").alias("p")).collect()
+    assert {r.source: r.p for r in even} == {"a": 0.5, "b": 1.0}

@@ -2,7 +2,9 @@
 
 Documents fall into cells (source, language, topic). The cells' token weights are raked in turn to the target shares of
 each marginal until all hold; a document's weight is the factor of its cell, and documents are sampled with probabilities
-in proportion to it, the largest being 1, so the sample's expected tokens have the target shares and no row is repeated.
+in proportion to it. Probability 1 is that of the largest weight that binds: the cells of still larger weights, which
+together hold at most NEGLIGIBLE of the target tokens, are kept whole and fall short of their targets. So no row is
+repeated, the other cells' expected tokens have their target shares to each other, and a few stray rows do not thin out the rest.
 
 Targets: {column: {value: weight}}; values without a weight, and columns without targets, get their share of tokens to
 the power TEMPER of the column. Weights of values that no document has are ignored, the rest is scaled to 1.
@@ -23,6 +25,8 @@ DIMS = ("source", "lang", "topic")
 #: Power of a value's share of tokens in its default target; 1 keeps the share.
 TEMPER = {"source": 0.8, "lang": 0.9, "topic": 1.0}
 MAX_ROUNDS, ROUNDS_PER_CUT, TOLERANCE = 40, 5, 1e-9
+#: Share of the target tokens that cells may hold together without setting the rate of the sample.
+NEGLIGIBLE = 0.001
 #: Cells up to so many are raked in one task and broadcast; beyond, both are dealt out.
 SMALL_CELLS = 20_000
 
@@ -80,13 +84,24 @@ def rake(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None) -
     return state.join(F.broadcast(total)).select(*DIMS, "tokens", weight.alias("weight"))
 
 
+def binding(raked: DataFrame) -> DataFrame:
+    """_top: the largest weight whose cells, with those of larger weights, hold more than NEGLIGIBLE of the target tokens;
+    the largest of all where no cell has tokens."""
+    goal = F.col("tokens") * F.col("weight")
+    above = F.sum(goal).over(Window.orderBy(F.desc("weight")).rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    # by distinct weight, so that the one task of the window gets no more than that
+    held = raked.groupBy("weight").agg(F.sum("tokens").alias("tokens")).select("weight", above.alias("above"))
+    total = raked.agg(F.sum(goal).alias("total"))
+    return held.join(F.broadcast(total)).agg(F.coalesce(F.max(F.when(F.col("above") > F.lit(NEGLIGIBLE) * F.col("total"), F.col("weight"))), F.max("weight")).alias("_top"))
+
+
 def _decided(docs: DataFrame, targets: dict[str, dict[str, float]] | None) -> DataFrame:
     rows = measured(docs)
     with scratch(docs.sparkSession) as keep:
         cells = cut(rows.groupBy(F.col("_source").alias("source"), F.col("_lang").alias("lang"), F.col("_topic").alias("topic")).agg(F.sum("_tokens").alias("tokens")), "mixing-counts")
         raked = rake(cells, targets)
-        top = raked.agg(F.max("weight").alias("_top"))
-        raked = keep(cut(raked.join(F.broadcast(top)).select(*[F.col(d).alias(f"_{d}") for d in DIMS], F.col("weight").alias("_weight"), (F.col("weight") / F.col("_top")).alias("_p")), "mixing-weights"))
+        top = binding(raked)
+        raked = keep(cut(raked.join(F.broadcast(top)).select(*[F.col(d).alias(f"_{d}") for d in DIMS], F.col("weight").alias("_weight"), F.least(F.lit(1.0), F.col("weight") / F.col("_top")).alias("_p")), "mixing-weights"))
     small = raked.limit(SMALL_CELLS + 1).count() <= SMALL_CELLS
     rows = rows.join(F.broadcast(raked) if small else raked, [f"_{d}" for d in DIMS])
     # a number in [0, 1) that depends on the doc_id alone
