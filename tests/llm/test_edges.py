@@ -101,18 +101,19 @@ def test_language_model(spark, docs, none):
         w, r = tok(t), got[i]
         base = sum(math.log10((count[x] + 0.1) / (n + 0.1 * (v + 1))) for x in w)
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held(i), len(w), sum(count[x] > 0 for x in w), n)
-        assert r.base_score == pytest.approx(base) and r.score < 0
+        assert r.base_score == pytest.approx(base) and r.score < 0 and r.bits_per_byte == (pytest.approx(-r.score / math.log10(2) / len((t or '').encode())) if t else None)
     assert lm.score(none).count() == 0
 
 
 def test_model_is_a_distribution():
-    """Codes part the line of probability: shares of all symbols sum to 1."""
-    code = lm.Code.huffman([5, 1, 1, 9, 3, 2], 3)
+    """Codes part the line of probability: chances of all symbols sum to 1."""
+    code = lm.Code.huffman([5, 1, 1, 9, 3, 2])
     p = np.array([1 - code.one, code.one])
-    total = 0.0
-    for k in range(6):
-        total += 2 ** code.tail[k] * np.prod([p[b, n] for n, b in zip(code.node[k, : code.length[k]], code.bit[k, : code.length[k]])])
-    assert total == pytest.approx(1.0)
+    assert sum(np.prod([p[b, n] for n, b in zip(code.node[k, : code.length[k]], code.bit[k, : code.length[k]])]) for k in range(6)) == pytest.approx(1.0)
+    # the places of a node's symbols lie side by side
+    for n in range(5):
+        places = sorted(code.rank[k] for k in range(6) if n in code.node[k, : code.length[k]])
+        assert places == list(range(places[0], places[-1] + 1))
 
 
 def test_html(spark):
@@ -320,11 +321,15 @@ def test_quality_learns(spark):
 def test_language_model_counts_every_context():
     """More contexts than any table of a fixed size, each counted by itself, down to the last bit of a code."""
     code = lm.Code.huffman([2**k for k in range(9)])
-    assert code.length.max() == 8 and not code.tail.any()
+    assert code.length.max() == 8
+    code.lay_out()
     rng = np.random.default_rng(0)
     context = np.repeat(np.arange(200_000), 2)
-    symbol, taught = rng.integers(0, 9, 400_000), rng.integers(0, 2, 400_000)
-    ones, seen = lm.path_counts(code, context, symbol, taught)
+    symbol, taught = rng.integers(0, 9, 400_000), rng.integers(0, 3, 400_000).astype(np.int32)
+    length = code.length[symbol]
+    seen = np.repeat(taught.astype(np.float32), length)
+    ones = seen * np.concatenate([code.bit[s, :n] for s, n in zip(symbol, length)])
+    lm.path_counts(code, context, symbol, taught, ones, seen, np.cumsum(length) - length)
     want = Counter()
     bits = [(c, code.node[s, d], code.bit[s, d], t) for c, s, t in zip(context[:20_000].tolist(), symbol, taught.tolist()) for d in range(code.length[s])]
     for c, n, b, t in bits:
@@ -333,27 +338,79 @@ def test_language_model_counts_every_context():
     assert [*seen[: len(bits)]] == [want[c, n] for c, n, *_ in bits] and [*ones[: len(bits)]] == [want[c, n, "one"] for c, n, *_ in bits]
 
 
-def test_language_model_mixes_every_bit_in_order(monkeypatch):
-    """A block put together from parts costs as much as its bits mixed at once; no bit of a code is left to a share."""
+def brute_token_costs(coder, before, second, third, kind, symbol, taught, weights, order):
+    """Costs of tokens one bit at a time, all in one step of the mixer, so by the given weights."""
+    code, seen = coder.tokens, Counter()
+    keys = list(zip(zip(kind, before), zip(kind, before, second), zip(kind, before, third)))
+    path = lambda s: [(code.node[s, d], code.bit[s, d]) for d in range(code.length[s])]
+    for ks, s, t in zip(keys, symbol, taught):
+        for j, k in enumerate(ks):
+            for n, b in path(s):
+                seen[j, k, n, b] += t
+    level = lambda n: sum(n > x for x in (0, 1, 2, 8, 64))
+    for ks, s, t in zip(keys, symbol, taught):
+        cost = 0.0
+        for n, b in path(s):
+            p, x, levels = code.one[n], [], []
+            for j, k in enumerate(ks):
+                one, zero = seen[j, k, n, 1] - t * b, seen[j, k, n, 0] - t * (1 - b)
+                got = (one + lm.BACKOFF[j] * p) / (one + zero + lm.BACKOFF[j])
+                x.append(math.log(got / (1 - got)))
+                levels.append(level(one + zero))
+                p = got if j == 0 else p
+            w = weights[levels[0] * 6 + levels[1]]
+            one = 1 / (1 + math.exp(-sum(a * v for a, v in zip(w, [*x, lm.BIAS]))))
+            cost -= math.log2(one if b else 1 - one)
+        yield cost
+
+
+def test_language_model_costs_against_brute_force(monkeypatch):
     rng = np.random.default_rng(1)
-    coder = lm.Coder([b"w%d" % k for k in range(300)] + [b""], [*range(400, 100, -1), 90], 90_000, 301)
-    assert coder.tokens.length.max() > 7 and not coder.tokens.tail.any() and not coder.bytes.tail.any()
-    symbol = rng.integers(0, 300, 2000)
-    symbol[[500, 501, 1999]] = coder.end
-    begin = np.array([0, 501, 502])
-    before, second, third = coder.contexts(symbol, begin)
-    whole = lm.predictions(coder, before, second, third, symbol, np.ones(2000, int))
-    length = coder.tokens.length[symbol]
-    blobs = []
-    for k in range(3):
-        at = np.flatnonzero(before % 3 == k)
-        got = lm.predictions(coder, before[at], second[at], third[at], symbol[at], np.ones(len(at), int))
-        assert (got == whole[:, np.repeat(before % 3 == k, length)]).all()
-        blobs.append(lm.pack_given(at, symbol[at], got))
-    x = np.concatenate([whole[:3].T.astype(np.float32) / np.float32(lm.STEPS), np.full((whole.shape[1], 1), 0.3, np.float32)], 1)
-    of_doc = np.add.reduceat(length, begin)
-    want = np.add.reduceat(lm.mixed(x, whole[3], coder.token_bits(symbol)[1], of_doc, lm.FIRST_WEIGHTS), np.cumsum(of_doc) - of_doc)
-    assert lm.block_bits(coder, blobs[::-1]) == pytest.approx(want)
+    coder = lm.Coder([b"w%d" % k for k in range(30)] + [b""], [*range(400, 370, -1), 90], 13_000, 60)
+    symbol = rng.integers(0, 12, 500)
+    symbol[[300, 301, 499]] = coder.end
+    before, second, third = coder.contexts(symbol, np.array([0, 301, 302]))
+    kind, taught = rng.integers(0, 2, 500), rng.integers(0, 2, 500)
+    weights = rng.normal(0.4, 0.1, (36, 4)).astype(np.float32)
+    monkeypatch.setattr(lm, "STEP_BITS", 1 << 30)
+    got, new = lm.token_costs(coder, before, second, third, kind, symbol, taught, weights)
+    assert got == pytest.approx([*brute_token_costs(coder, before, second, third, kind, symbol, taught, weights, None)], rel=1e-4)
+    assert (new != weights).any()
+    # in steps the weights go along; repeated tokens cost the same, and what isn't learned from changes nothing
+    monkeypatch.setattr(lm, "STEP_BITS", 64)
+    got, new = lm.token_costs(coder, before, second, third, kind, symbol, taught, weights)
+    cost = {}
+    assert all(cost.setdefault(k, c) == c for k, c in zip(zip(before, second, third, kind, symbol, taught), got))
+    assert (lm.token_costs(coder, before, second, third, kind, symbol, taught * 0, weights)[1] == weights).all()
+    # a bit's cost and the weights after it, bit by bit
+    monkeypatch.setattr(lm, "STEP_BITS", 1)
+    x, gate, bit = [rng.normal(0, 1, 50).astype(np.float32) for _ in range(3)], rng.integers(0, 36, 50), rng.integers(0, 2, 50)
+    cost, end = lm.refined(x, gate, bit, weights)
+    w = weights.astype(float)
+    for k in range(50):
+        v = np.array([*(a[k] for a in x), lm.BIAS])
+        p = 1 / (1 + math.exp(-v @ w[gate[k]]))
+        assert cost[k] == pytest.approx(-math.log2(p if bit[k] else 1 - p), rel=1e-3)
+        w[gate[k]] += lm.RATE / (1 + lm.STEADY) * (bit[k] - p) * v
+    assert end == pytest.approx(w, rel=1e-3)
+
+
+def test_language_model_does_not_depend_on_parts(spark, monkeypatch):
+    """Frequent tokens are dealt out by classes; blocks and partitions change no score, and copies are known."""
+    rng = random.Random(4)
+    vocabulary = [f"w{k}" for k in range(200)]
+    rows = [(k, " ".join(rng.choice(vocabulary) for _ in range(rng.randint(1, 80)))) for k in range(300)]
+    rows += [(300 + k, rows[k][1]) for k in range(0, 300, 10)] + [(900, "the " * 3000), (901, "w1 unseen" + "x" * 50), (902, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    score = lambda d: {r.doc_id: r.score for r in lm.score(d).collect()}
+    one = score(df.repartition(1))
+    assert one == pytest.approx(score(df.repartition(5)), abs=1e-6)
+    assert all(one[300 + k] == pytest.approx(one[k]) for k in range(0, 300, 10) if (zlib.crc32(str(k).encode()) % 10 == 0) == (zlib.crc32(str(300 + k).encode()) % 10 == 0))
+    words_of = dict(rows)
+    each = lambda ids: sum(one[k] for k in ids) / sum(len(words_of[k].split()) + 1 for k in ids)
+    assert each([k for k in range(300) if k % 10 == 0]) > each([k for k in range(300) if k % 10]) + 0.5
+    monkeypatch.setattr(lm, "PART_TOKENS", 500)
+    assert all(math.isfinite(v) and v < 0 for v in score(df).values())
 
 
 def test_mixing_is_not_thinned_by_a_stray_source(spark):
