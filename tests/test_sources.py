@@ -33,15 +33,37 @@ def test_sheets(spark, tmp_path):
     back = {r.start_ms: r.new_text for r in sheets.read_texts(spark, str(tmp_path / "o"), "text").collect()}
     assert back == {120: "a\tb", 1000: 'say "x"', 2670: "c"}
     (tmp_path / "cast.tsv").write_text("idx\tstart\tspeaker\tvoice\ttext\n0\t1.00\tS01\taf\tx\n1\t1.00\tS02\t\tx\n2\tbad\tS03\t\tx\n")
-    assert [tuple(r) for r in sheets.read_cast(spark, str(tmp_path / "cast.tsv")).collect()] == [(1000, "S02", "")]
+    assert [tuple(r)[:3] for r in sheets.read_cast(spark, str(tmp_path / "cast.tsv")).collect()] == [(1000, "S02", "")]
     (tmp_path / "bad.tsv").write_text("idx\tstart\tspeaker\tvoice\ttext\n0\t1.00\t-x\taf\tx\n")
     with pytest.raises(Exception, match="bad speaker label"):
         sheets.read_cast(spark, str(tmp_path / "bad.tsv")).collect()
 
 
 def test_records(spark, tmp_path):
-    (tmp_path / "r.json").write_text("\n".join([json.dumps({"start_s": 1.0, "text": "a"}), json.dumps({"text": "b"}), "{broken", json.dumps({"start_s": 2.0, "text": ""}), json.dumps({"start_s": 1.0, "text": "c"})]))
-    assert [tuple(r) for r in sheets.read_previous(spark, str(tmp_path / "r.json")).collect()] == [(1000, "c")]
+    (tmp_path / "r.json").write_text("\n".join([json.dumps({"start_s": 1.0, "text": "a"}), json.dumps({"text": "b"}), "{broken", json.dumps({"start_s": 2.0, "text": ""}), json.dumps({"start": 1.001, "text": "c"})]))
+    assert [tuple(r) for r in sheets.read_previous(spark, str(tmp_path / "r.json")).collect()] == [("1.00", "c")]
+    # an array, as a run writes it
+    (tmp_path / "render.json").write_text(json.dumps([{"start": 1.005, "end": 2.0, "text": "x"}, {"start": 2.675, "text": "y"}, {"start": None, "text": "z"}, {"start": 9.0, "text": None}], indent=1))
+    assert {tuple(r) for r in sheets.read_previous(spark, str(tmp_path / "render.json")).collect()} == {("1.00", "x"), ("2.67", "y")}
+    (tmp_path / "broken.json").write_text("[{")
+    assert sheets.read_previous(spark, str(tmp_path / "broken.json")).count() == sheets.read_previous(spark, str(tmp_path / "none.json")).count() == 0
+
+
+def test_round_trip_of_an_earlier_run(spark, tmp_path):
+    rows = [(k, i, i + 0.005, i + 0.9, f"line {k} {i}\nnext") for k in (1, 2) for i in range(5)]
+    cues = spark.createDataFrame(rows, "track_id long, idx long, start_s double, end_s double, text string").withColumn("audio", F.lit("big"))
+    sheets.write_records(cues, str(tmp_path / "runs"))
+    assert "big" not in "".join(f.read_text() for f in (tmp_path / "runs").rglob("*.txt"))
+    now = cues.drop("audio").withColumn("text", F.lit("?")).unionByName(spark.createDataFrame([(1, 9, 77.0, 78.0, "new")], "track_id long, idx long, start_s double, end_s double, text string"))
+    got = {(r.track_id, r.idx): (r.text, r.matched, r.changed) for r in sheets.apply_previous(now, sheets.read_previous(spark, str(tmp_path / "runs"))).collect()}
+    assert got == {(k, i): (t, True, True) for k, i, _, _, t in rows} | {(1, 9): ("new", False, False)}
+
+
+def test_sheets_of_several_tracks(spark, tmp_path):
+    for k in "ab":
+        (tmp_path / f"{k}.tsv").write_text(f"start\ttext\n1.00\told\n1.00\t{k}\n")
+    got = {(r.file[-5:], r.new_text) for r in sheets.read_texts(spark, str(tmp_path), "text").collect()}
+    assert got == {("a.tsv", "a"), ("b.tsv", "b")}
 
 
 def test_engines(spark):

@@ -56,7 +56,9 @@ def collapse_marks(c: Column) -> Column:
         dots = F.when(F.char_length(x) >= 3, "...").otherwise(".")
         return F.when(F.char_length(x) < 2, x).when(x.rlike(r"^\.+$"), dots).when(x.rlike("^[.,!?;:]"), strongest).otherwise(x)
 
-    return F.array_join(F.transform(F.regexp_extract_all(c, F.lit("([.,!?;:]+|[^.,!?;:]+)"), F.lit(1)), mark), "")
+    # most lines have no two marks in a row and are not taken apart
+    whole = F.array_join(F.transform(F.regexp_extract_all(c, F.lit("([.,!?;:]+|[^.,!?;:]+)"), F.lit(1)), mark), "")
+    return F.when(c.rlike("[.,!?;:]{2}"), whole).otherwise(c)
 
 
 def speakable(c: Column) -> Column:

@@ -24,16 +24,30 @@ def cut_samples(samples: Column, start: Column, end: Column, rate: int) -> Colum
     return F.slice(samples, first + 1, F.greatest((end * rate).cast("int") - first, F.lit(0)))
 
 
-def speech_seconds(frames: DataFrame, step: float = STEP) -> DataFrame:
-    """Seconds of frames above 6 % of the track's peak and a floor."""
-    peak = F.max("energy").over(Window.partitionBy("track_id"))
-    return frames.withColumn("_loud", F.col("energy") > F.greatest(F.lit(0.004), peak * 0.06)).groupBy("track_id").agg((F.count_if("_loud") * step).alias("speech_s"))
+def _cue_frames(frames: DataFrame, cues: DataFrame, start: Column, end: Column, step: float, bucket: float) -> DataFrame:
+    """Whole frames of each cue's stretch, with the stretch's peak; frames begin at frame_no * step."""
+    windows = cues.select("track_id", "cue", start.alias("start_s"), end.alias("end_s"), F.col("start_s").alias("cue_s"))
+    at = frames.withColumn("t", F.col("frame_no") * step)
+    inside = interval_join(at, windows, bucket).where(F.col("t") + step <= F.col("end_s") + step / 2)
+    return inside.withColumn("_peak", F.max("energy").over(Window.partitionBy("track_id", "cue")))
 
 
-def onset(frames: DataFrame, step: float = STEP) -> DataFrame:
-    """Time of the first frame above 10 % of the track's peak and a floor."""
-    peak = F.max("energy").over(Window.partitionBy("track_id"))
-    return frames.withColumn("_loud", F.col("energy") > F.greatest(F.lit(0.006), peak * 0.10)).groupBy("track_id").agg((F.min(F.when(F.col("_loud"), F.col("frame_no"))) * step).alias("onset_s"))
+def speech_seconds(frames: DataFrame, cues: DataFrame, step: float = STEP, bucket: float = 5.0) -> DataFrame:
+    """Seconds of each cue (track_id, cue, start_s, end_s) whose frames are above 6 % of the cue's peak and a floor; 0
+    where it has no frame or no sound."""
+    inside = _cue_frames(frames, cues, F.col("start_s"), F.col("end_s"), step, bucket)
+    loud = F.count_if((F.col("_peak") > 0) & (F.col("energy") > F.greatest(F.lit(0.004), F.col("_peak") * 0.06)))
+    found = inside.groupBy("track_id", "cue").agg((loud * step).alias("speech_s"))
+    return cues.select("track_id", "cue").join(found, ["track_id", "cue"], "left").withColumn("speech_s", F.coalesce("speech_s", F.lit(0.0)))
+
+
+def onset(frames: DataFrame, cues: DataFrame, step: float = STEP, back: float = 0.35, reach: float = 4.0, bucket: float = 5.0) -> DataFrame:
+    """Seconds from each cue's start to the first frame above 10 % of the peak and a floor, looked for from `back` seconds
+    before the cue to its end, `reach` seconds at most; 0 with fewer than three frames, or none that loud."""
+    inside = _cue_frames(frames, cues, F.greatest(F.lit(0.0), F.col("start_s") - back), F.least(F.col("end_s"), F.col("start_s") + reach), step, bucket)
+    loud = (F.col("_peak") > 0) & (F.col("energy") > F.greatest(F.lit(0.006), F.col("_peak") * 0.10))
+    found = inside.groupBy("track_id", "cue").agg(F.count("*").alias("_n"), (F.min(F.when(loud, F.col("t"))) - F.first("cue_s")).alias("onset_s"))
+    return cues.select("track_id", "cue").join(found, ["track_id", "cue"], "left").select("track_id", "cue", F.when(F.col("_n") >= 3, F.coalesce("onset_s", F.lit(0.0))).otherwise(0.0).alias("onset_s"))
 
 
 def quiet_runs(frames: DataFrame, level: float, longer: float, step: float = STEP) -> DataFrame:
@@ -91,28 +105,35 @@ def terminal_slope(tail: DataFrame, *keys: str, least: int = 6) -> DataFrame:
     return tail.groupBy(*keys).agg(F.when(F.count("f0") >= least, F.regr_slope(F.lit(12.0) * F.log2("f0"), F.col("t"))).otherwise(0.0).alias("f0_end_slope"))
 
 
-def intensity(levels: DataFrame, *keys: str, least: int = 3) -> DataFrame:
-    """Level of each cue (rms) in dB against the median of its speaker; 0 where the speaker has fewer than `least`."""
+def intensity(levels: DataFrame, *keys: str, least: int = 3, shortest: float = 0.15, floor: float = 1e-5) -> DataFrame:
+    """Level of each cue (rms, dur_s) in dB against the median of its speaker; 0 where the speaker has fewer than `least`,
+    and of cues that are too short or below the floor, which count for no median."""
     w = Window.partitionBy(*keys)
-    rows = levels.withColumn("_db", F.when(F.col("rms") > 0, decibels(F.col("rms"))))
+    rows = levels.withColumn("_db", F.when((F.col("rms") > floor) & (F.col("dur_s") >= shortest), decibels(F.col("rms"))))
     return rows.withColumn("intensity", F.when((F.count("_db").over(w) >= least) & F.col("_db").isNotNull(), F.col("_db") - F.percentile("_db", F.lit(0.5)).over(w)).otherwise(0.0)).drop("_db")
 
 
 def mouth_baselines(samples: DataFrame, windows: DataFrame, bucket: float, least: int = 4) -> DataFrame:
-    """Spread of detrended mouth movement outside of lines, by track; a floor, and a default for few samples."""
-    moves = detrended(interval_anti(samples, windows, bucket))
-    stats = moves.groupBy("track_id").agg(F.count("*").alias("n"), F.stddev_pop("detrended").alias("sd"))
-    return samples.select("track_id").distinct().join(stats, "track_id", "left").select("track_id", F.coalesce("n", F.lit(0)).alias("n"), F.when(F.col("n") >= least, F.greatest(F.lit(0.02), F.col("sd"))).otherwise(0.05).alias("baseline"))
-
-
-def cue_scores(samples: DataFrame, windows: DataFrame, baselines: DataFrame, bucket: float, least: int = 3) -> DataFrame:
-    """How much each face moves its mouth in each line and with the sound: min(motion, 1) * (0.5 + 0.5 * correlation)."""
-    inside = interval_join(samples.select("track_id", "face", "t", "value", "level"), windows.select("track_id", "cue", "start_s", "end_s"), bucket)
+    """Spread of each face's detrended mouth movement outside of all lines of its track; a floor, and a default for few
+    samples. samples(track_id, face, t, value)"""
+    moves = detrended(interval_anti(samples, windows, bucket), "value", "t", "face")
+    stats = moves.groupBy("track_id", "face").agg(F.count("*").alias("n"), F.stddev_pop("detrended").alias("sd"))
+    faces = samples.select("track_id", "face").distinct().join(stats, ["track_id", "face"], "left")
+    return faces.select("track_id", "face", F.coalesce("n", F.lit(0)).alias("n"), F.when(F.col("n") >= least, F.greatest(F.lit(0.02), F.col("sd"))).otherwise(0.05).alias("baseline"))
+
+
+def cue_scores(samples: DataFrame, windows: DataFrame, baselines: DataFrame, bucket: float, least: int = 3, smallest: float = 0.03) -> DataFrame:
+    """How much each face moves its mouth in each line, against its own baseline, and with the sound: min(motion, 1) *
+    (0.5 + 0.5 * correlation). Faces of few frames or a small mean size are left out; a correlation needs three samples
+    and some spread of both. samples(track_id, face, t, value, level, size)"""
+    inside = interval_join(samples.select("track_id", "face", "t", "value", "level", "size"), windows.select("track_id", "cue", "start_s", "end_s"), bucket)
     moves = detrended(inside, "value", "t", "cue", "face")
-    stats = moves.groupBy("track_id", "cue", "face").agg(F.count("*").alias("n"), F.stddev_pop("detrended").alias("sd"), F.try_divide(F.covar_pop("value", "level"), F.stddev_pop("value") * F.stddev_pop("level")).alias("r")).where(F.col("n") >= least)
-    motion = F.col("sd") / (F.lit(3.0) * F.col("baseline"))
+    spread = F.least(F.stddev_pop("value"), F.stddev_pop("level"))
+    r = F.when((F.count("*") >= 3) & (spread > 1e-6), F.try_divide(F.covar_pop("value", "level"), F.stddev_pop("value") * F.stddev_pop("level")))
+    stats = moves.groupBy("track_id", "cue", "face").agg(F.count("*").alias("n"), F.stddev_pop("detrended").alias("sd"), F.avg("size").alias("_size"), r.alias("r")).where((F.col("n") >= least) & (F.col("_size") >= smallest))
+    motion = F.col("sd") / (F.lit(3.0) * F.col("baseline") + 1e-6)
     together = F.greatest(F.coalesce("r", F.lit(0.0)), F.lit(0.0))
-    return stats.join(baselines.select("track_id", "baseline"), "track_id").select("track_id", "cue", "face", "n", (F.least(motion, F.lit(1.0)) * (F.lit(0.5) + F.lit(0.5) * together)).alias("score"))
+    return stats.join(baselines.select("track_id", "face", "baseline"), ["track_id", "face"]).select("track_id", "cue", "face", "n", (F.least(motion, F.lit(1.0)) * (F.lit(0.5) + F.lit(0.5) * together)).alias("score"))
 
 
 def cue_winners(scores: DataFrame, least: float = 0.35, lead: float = 0.15) -> DataFrame:

@@ -38,17 +38,31 @@ def common_voice(cues: DataFrame) -> DataFrame:
     return by.groupBy("track_id", "speaker").agg(F.max(F.struct("n", (-F.col("i")).alias("i"), "voice"))["voice"].alias("voice"), F.count("voice").alias("voices"))
 
 
-def pick_references(cues: DataFrame, seconds: float = 12.0) -> DataFrame:
-    """The best lines of each speaker (rms * min(dur, 6)) until they last `seconds`; the one that crosses counts."""
+def pick_references(cues: DataFrame, seconds: float = 12.0, shortest: float = 1.0, floor: float = 1e-4, least: float = 4.0) -> DataFrame:
+    """The best lines of each speaker (rms * min(dur, 6)) until they last `seconds`; the one that crosses counts. Lines
+    that are short or silent don't, nor do speakers whose lines last less than `least` together."""
     score = F.col("rms") * F.least(F.col("dur_s"), F.lit(6.0))
     w = Window.partitionBy("track_id", "speaker").orderBy(F.desc("score"), "idx")
-    rows = cues.withColumn("score", score).withColumn("rank", F.row_number().over(w)).withColumn("_before", F.coalesce(F.sum("dur_ms").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return rows.where(F.col("_before") < seconds * 1000).drop("_before")
+    good = cues.where((F.col("speaker") != "") & (F.col("dur_s") >= shortest) & (F.col("rms") >= floor))
+    rows = good.withColumn("score", score).withColumn("rank", F.row_number().over(w)).withColumn("_before", F.coalesce(F.sum("dur_ms").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    rows = rows.where(F.col("_before") < seconds * 1000)
+    return rows.withColumn("_all", F.sum("dur_ms").over(Window.partitionBy("track_id", "speaker"))).where(F.col("_all") >= least * 1000).drop("_before", "_all")
 
 
 def transcripts(references: DataFrame) -> DataFrame:
-    """Text of each speaker's reference, in the order of the lines."""
-    return references.groupBy("track_id", "speaker").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", "text"))), lambda x: x["text"]), " ").alias("transcript"))
+    """Text of each speaker's reference, in the order in which its lines are joined: by rank. The original text where a
+    line has one."""
+    said = F.coalesce(F.nullif(F.col("source_text"), F.lit("")), F.col("text")) if "source_text" in references.columns else F.col("text")
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("rank", said.alias("said")))), lambda x: x["said"])
+    return references.groupBy("track_id", "speaker").agg(F.trim(F.array_join(F.filter(lines, lambda x: x != ""), " ")).alias("transcript"))
+
+
+def reference_for(cues: DataFrame, references: DataFrame) -> DataFrame:
+    """cues with the reference of their speaker; of the lead, the speaker of most lines among those with a reference, where
+    theirs has none. references(track_id, speaker, reference)"""
+    ref = references.select("track_id", "speaker", "reference")
+    lead = speaker_lines(cues.join(ref, ["track_id", "speaker"], "left_semi")).where("rank = 1").select("track_id", "speaker").join(ref, ["track_id", "speaker"]).select("track_id", F.col("reference").alias("_lead"))
+    return cues.join(ref, ["track_id", "speaker"], "left").join(lead, "track_id", "left").withColumn("reference", F.coalesce("reference", "_lead")).drop("_lead")
 
 
 def voiced_fraction(frames: DataFrame, *keys: str) -> DataFrame:

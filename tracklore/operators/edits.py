@@ -36,6 +36,13 @@ def apply_cast(cues: DataFrame, cast: DataFrame, *keys: str) -> DataFrame:
     return rows.withColumn("speaker", filled("new_speaker", "speaker")).withColumn("voice", filled("new_voice", "voice")).withColumn("matched", F.coalesce("_hit", F.lit(False))).drop("_hit", "new_speaker", "new_voice")
 
 
+def require_matches(applied: DataFrame, name: str) -> DataFrame:
+    """applied, with an error where not one of its rows was matched: the sheet is of other cues."""
+    if applied.limit(1).count() and not applied.where("matched").limit(1).count():
+        raise ValueError(f"{name} matches none of the cues: rows are matched by start, so it must come from a run over the same subtitles")
+    return applied
+
+
 def unknown_voices(cues: DataFrame, voices: DataFrame) -> DataFrame:
     """Voices that cues ask for and no engine has."""
     return cues.where("voice is not null and voice <> ''").select("voice").distinct().join(voices.select(F.col("name").alias("voice")), "voice", "left_anti")
@@ -61,7 +68,9 @@ def overruns(fitted: DataFrame, cps: float = SHEET_CPS) -> DataFrame:
 def chars_per_second(cues: DataFrame, *keys: str, least: int = 20) -> DataFrame:
     """Upper median of measured rates; the fallback where fewer than `least` lines are measured."""
     rate = F.when((F.col("rendered_dur") > 0.5) & (F.col("engine_speed") == 1), F.char_length("text") / F.col("rendered_dur"))
-    return cues.groupBy(*keys).agg(F.array_sort(F.collect_list(rate)).alias("_r")).select(*keys, F.when(F.size("_r") < least, F.lit(FALLBACK_CPS)).otherwise(F.try_element_at("_r", F.floor(F.size("_r") / 2).cast("int") + 1)).alias("cps"))
+    # the first value that more than half of the values do not pass; counts of values are combined before the shuffle
+    upper = F.expr("percentile_disc(0.500000001) within group (order by _rate)")
+    return cues.withColumn("_rate", rate).groupBy(*keys).agg(F.when(F.count("_rate") < least, F.lit(FALLBACK_CPS)).otherwise(upper).alias("cps"))
 
 
 def best_translation(replies: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import speakable
 from ..schema import SPOKEN_CPS, Fit
 from .cues import in_order
 
@@ -12,7 +13,8 @@ SLACK = 1e-9
 
 
 def _spoken(text: Column) -> Column:
-    return F.char_length(text) / F.lit(SPOKEN_CPS)
+    """Seconds of a line as it is spoken, without what an engine isn't given."""
+    return F.char_length(speakable(text)) / F.lit(SPOKEN_CPS)
 
 
 def fit(cues: DataFrame, config: Fit = Fit()) -> DataFrame:
@@ -62,10 +64,11 @@ def report(fitted: DataFrame, *keys: str) -> DataFrame:
 
 
 def layout(fitted: DataFrame, config: Fit = Fit()) -> DataFrame:
-    """placed_s, truncated and overlapped: a line may run into the pause, and a little over the next line of another speaker."""
+    """placed_s, truncated and overlapped: a line may run into the pause, and a little over the next line if that has a
+    speaker and another one (a line without a speaker differs from any)."""
     free = F.col("window_s") + F.col("gap_s") - config.keep_gap
     after = F.lead("speaker").over(in_order())
-    rows = fitted.withColumn("_free", free).withColumn("_room", F.col("_free") + F.when(after.isNotNull() & F.col("speaker").isNotNull() & (after != F.col("speaker")), config.overlap_other).otherwise(0.0))
+    rows = fitted.withColumn("_free", free).withColumn("_room", F.col("_free") + F.when((after != "") & ~after.eqNullSafe(F.col("speaker")), config.overlap_other).otherwise(0.0))
     rows = rows.withColumn("truncated", F.greatest(F.lit(0.0), F.col("final_dur") - F.col("_room"))).withColumn("_kept", F.col("final_dur") - F.col("truncated"))
     over = F.col("_kept") - F.col("_free")
     rows = rows.withColumn("overlapped", F.when((F.col("_free") > 0) & (over > SLACK), over).otherwise(0.0))

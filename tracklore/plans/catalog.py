@@ -203,14 +203,7 @@ def dropped_lines(spark, d):
     return B.caption_lines(spark, d).where(X.is_dropped(F.col("text"))).select("track_id", "seq", "text")
 
 
-_SPEAKABLE = rf"""WITH {B.LINES},
-s1 AS (SELECT track_id, seq, regexp_replace(text, '^\s*[-–—]+\s*', '') AS t FROM lines),
-s2 AS (SELECT track_id, seq, replace(regexp_replace(t, '["“”«»‘’`]', '', 'g'), '…', '...') AS t FROM s1),
-s3 AS (SELECT track_id, seq, regexp_replace(regexp_replace(regexp_replace(t, '\s*(?:--+|[–—]+)\s*', ', ', 'g'), '^\s*:\s*', ''), '\s+([,.!?;:])', '\1', 'g') AS t FROM s2),
-s4 AS (SELECT track_id, seq, array_to_string(list_transform(regexp_extract_all(t, '([.,!?;:]+|[^.,!?;:]+)'), lambda x: CASE WHEN length(x) < 2 THEN x WHEN regexp_full_match(x, '\.+') THEN CASE WHEN length(x) >= 3 THEN '...' ELSE '.' END
-  WHEN NOT regexp_matches(x, '^[.,!?;:]') THEN x WHEN contains(x, '?') THEN '?' WHEN contains(x, '!') THEN '!' WHEN contains(x, '.') THEN '.' WHEN regexp_extract(x, '[;:]') <> '' THEN regexp_extract(x, '[;:]') ELSE ',' END), '') AS t FROM s3),
-s5 AS (SELECT track_id, seq, regexp_replace(regexp_replace(regexp_replace(t, '\s+', ' ', 'g'), '^[ \-–—:;,]+', ''), '[ \-–—:;,]+$', '') AS t FROM s4)
-SELECT track_id, seq, CASE WHEN t <> '' AND NOT regexp_matches(t, '[.!?]$') THEN t || '.' ELSE t END AS said FROM s5"""
+_SPEAKABLE = f"WITH {B.LINES},\n{B.said('lines')}\nSELECT track_id, seq, said FROM said"
 
 
 @query(_SPEAKABLE)
@@ -404,18 +397,41 @@ def voice_assignment(spark, d):
     return casting.assign_voices(known, voices, "af_heart").select("track_id", "speaker", "gender", "voice")
 
 
+_REFERENCES = B.CUE + """,
+s AS (SELECT *, CASE WHEN idx % 17 = 0 THEN 0.00005::DOUBLE ELSE (100 + (track_id * 13 + idx * 7) % 50) / 1000::DOUBLE END AS rms, end_ms - start_ms AS dur_ms FROM cue),
+r AS (SELECT *, rms * least(dur_ms / 1000::DOUBLE, 6::DOUBLE) AS score FROM s WHERE speaker <> '' AND dur_ms >= 1000 AND rms >= 0.0001::DOUBLE),
+k AS (SELECT *, row_number() OVER w AS rank, coalesce(sum(dur_ms) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM r WINDOW w AS (PARTITION BY track_id, speaker ORDER BY score DESC, idx)),
+picked AS (SELECT * FROM (SELECT *, sum(dur_ms) OVER (PARTITION BY track_id, speaker) AS total FROM k WHERE before < 12000) WHERE total >= 4000)"""
+
+
+def _references(spark, d):
+    rows = B.cue_track(spark, d).selectExpr("*", "if(idx % 17 = 0, 0.00005D, (100 + (track_id * 13 + idx * 7) % 50) / 1000D) as rms", "end_ms - start_ms as dur_ms", "(end_ms - start_ms) / 1000D as dur_s")
+    return casting.pick_references(rows)
+
+
+@query(f"WITH {_REFERENCES} SELECT track_id, speaker, idx, rank, round(score, 6) AS score FROM picked")
+def reference_pick(spark, d):
+    return _rounded(_references(spark, d), "score", digits=6).selectExpr("track_id", "speaker", "idx", "cast(rank as bigint) as rank", "score")
+
+
+@query(f"WITH {_REFERENCES} SELECT track_id, speaker, trim(string_agg(text, ' ' ORDER BY rank) FILTER (text <> '')) AS transcript FROM picked GROUP BY ALL")
+def reference_transcripts(spark, d):
+    return casting.transcripts(_references(spark, d))
+
+
 @query(
-    f"""WITH {B.CUE}, s AS (SELECT *, (100 + (track_id * 13 + idx * 7) % 50) / 1000::DOUBLE AS rms, end_ms - start_ms AS dur_ms FROM cue), r AS (SELECT *, rms * least(dur_ms / 1000::DOUBLE, 6::DOUBLE) AS score FROM s),
-k AS (SELECT *, row_number() OVER w AS rank, coalesce(sum(dur_ms) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM r WINDOW w AS (PARTITION BY track_id, speaker ORDER BY score DESC, idx))
-SELECT track_id, speaker, idx, rank, round(score, 6) AS score FROM k WHERE before < 12000"""
+    f"""WITH {_REFERENCES}, refs AS (SELECT DISTINCT track_id, speaker, speaker || '.wav' AS reference FROM picked WHERE (track_id + length(speaker)) % 2 = 0),
+n AS (SELECT c.track_id, c.speaker, count(*) AS lines, min(idx) AS first_idx FROM cue c JOIN refs USING (track_id, speaker) GROUP BY ALL),
+lead AS (SELECT track_id, arg_min(speaker, (-lines, first_idx)) AS speaker FROM n GROUP BY track_id)
+SELECT c.track_id, c.idx, coalesce(r.reference, l.reference) AS reference FROM cue c LEFT JOIN refs r USING (track_id, speaker) LEFT JOIN (SELECT lead.track_id, reference FROM lead JOIN refs USING (track_id, speaker)) l ON l.track_id = c.track_id"""
 )
-def reference_pick(spark, d):
-    rows = B.cue_track(spark, d).selectExpr("*", "(100 + (track_id * 13 + idx * 7) % 50) / 1000D as rms", "end_ms - start_ms as dur_ms", "(end_ms - start_ms) / 1000D as dur_s")
-    return _rounded(casting.pick_references(rows), "score", digits=6).selectExpr("track_id", "speaker", "idx", "cast(rank as bigint) as rank", "score")
+def reference_for_cues(spark, d):
+    refs = _references(spark, d).where("(track_id + char_length(speaker)) % 2 = 0").select("track_id", "speaker", F.concat("speaker", F.lit(".wav")).alias("reference")).distinct()
+    return casting.reference_for(B.cue_track(spark, d), refs).select("track_id", "idx", "reference")
 
 
 @query(
-    f"""WITH {B.PITCHES}, ok AS (SELECT *, row_number() OVER (PARTITION BY track_id, speaker ORDER BY idx) AS n FROM pitch WHERE f0 BETWEEN 80 AND 360)
+    f"""WITH {B.PITCHES}, ok AS (SELECT *, row_number() OVER (PARTITION BY track_id, speaker ORDER BY idx) AS n FROM pitch WHERE f0 BETWEEN 75 AND 400)
 SELECT track_id, speaker, round(quantile_cont(f0, 0.5), 4) AS speaker_f0, count(*) AS n FROM ok WHERE n <= 15 GROUP BY ALL"""
 )
 def speaker_median_f0(spark, d):
@@ -431,13 +447,13 @@ def pitch_range(spark, d):
 
 
 _LOUD = B.PITCHES + """,
-db AS (SELECT track_id, idx, speaker, CASE WHEN f0 > 60 THEN 20::DOUBLE * log10(f0 / 1000::DOUBLE) END AS db FROM pitch),
+db AS (SELECT track_id, idx, speaker, CASE WHEN f0 > 60.02::DOUBLE AND idx % 10 > 0 THEN 20::DOUBLE * log10((f0 - 60) / 2000::DOUBLE) END AS db FROM pitch),
 lv AS (SELECT d.*, m.c, m.med FROM db d JOIN (SELECT track_id, speaker, count(db) AS c, quantile_cont(db, 0.5) AS med FROM db GROUP BY ALL) m USING (track_id, speaker)),
 loud AS (SELECT track_id, idx, speaker, CASE WHEN c >= 3 AND db IS NOT NULL THEN db - med ELSE 0::DOUBLE END AS intensity FROM lv)"""
 
 
 def _loud(spark, d):
-    rows = B.pitches(spark, d).withColumn("rms", F.when(F.col("f0") > 60, F.col("f0") / F.lit(1000.0)).otherwise(F.lit(0.0)))
+    rows = B.pitches(spark, d).selectExpr("*", "(f0 - 60) / 2000D as rms", "(idx % 10) * 0.15D as dur_s")
     return audio.intensity(rows, "track_id", "speaker")
 
 
@@ -465,14 +481,20 @@ def split_by_pitch(spark, d):
     return speakers.split_by_pitch(B.pitches(spark, d)).selectExpr("track_id", "cast(idx as bigint) as idx", "label")
 
 
+# tracks of a low and a high voice: pitches above 90 are raised
+_APART = B.PITCHES + """,
+apart AS (SELECT track_id, idx, label, CASE WHEN idx % 7 = 0 THEN NULL WHEN track_id % 3 = 0 THEN f0 WHEN f0 > 90 THEN 150 + f0 / 4 ELSE f0 END AS f0 FROM pitch)"""
+
+
 @query(
-    f"""WITH {B.PITCHES}, s AS (SELECT track_id, list(f0 ORDER BY f0) AS fs FROM pitch GROUP BY track_id HAVING count(*) >= 6), k AS (SELECT track_id, fs, unnest(range(2, len(fs) - 1)) AS k FROM s),
-c AS (SELECT track_id, k, fs[k + 1] AS cut_f0, list_median(fs[k + 1:]) - list_median(fs[1:k]) AS gap, list_stddev_pop(fs[1:k]) + list_stddev_pop(fs[k + 1:]) AS spread FROM k),
-b AS (SELECT track_id, cut_f0, gap / (spread + 1e-9::DOUBLE) AS score, row_number() OVER (PARTITION BY track_id ORDER BY gap / (spread + 1e-9::DOUBLE) DESC, k) AS n FROM c WHERE gap >= 90 AND gap / (spread + 1e-9::DOUBLE) >= 1.2::DOUBLE)
-SELECT track_id, round(cut_f0, 4) AS cut_f0, round(score, 4) AS score FROM b WHERE n = 1"""
+    f"""WITH {_APART}, s AS (SELECT track_id, list(f0 ORDER BY f0) AS fs FROM apart WHERE f0 IS NOT NULL GROUP BY track_id HAVING count(*) >= 6), k AS (SELECT track_id, fs, unnest(range(2, len(fs) - 1)) AS k FROM s),
+c AS (SELECT track_id, k, (fs[k] + fs[k + 1]) / 2 AS cut, list_median(fs[k + 1:]) - list_median(fs[1:k]) AS gap, greatest((list_stddev_pop(fs[1:k]) + list_stddev_pop(fs[k + 1:])) / 2, 15::DOUBLE) AS spread FROM k),
+b AS (SELECT track_id, cut, gap / spread AS score, row_number() OVER (PARTITION BY track_id ORDER BY gap / spread DESC, k) AS n FROM c WHERE gap >= 90)
+SELECT a.track_id, a.idx, (CASE WHEN cut IS NULL OR f0 IS NULL THEN label WHEN f0 > cut THEN 1 ELSE 0 END)::INT AS label FROM apart a LEFT JOIN (SELECT * FROM b WHERE n = 1 AND score >= 1.2::DOUBLE) b USING (track_id)"""
 )
 def cluster_by_pitch(spark, d):
-    return _rounded(speakers.cluster_by_pitch(B.pitches(spark, d)), "cut_f0", "score")
+    rows = B.pitches(spark, d).selectExpr("track_id", "idx", "label", "case when idx % 7 = 0 then null when track_id % 3 = 0 then f0 when f0 > 90 then 150 + f0 / 4 else f0 end as f0")
+    return speakers.cluster_by_pitch(rows)
 
 
 @query(f"WITH {B.VECTORS} SELECT track_id, label, n, round(list_sum(centroid), 6) AS total, round(centroid[1], 6) AS first FROM cent")
@@ -530,18 +552,19 @@ def nearest_label_fill(spark, d):
 
 @query(
     f"""WITH {B.VECTORS},
-anc AS (SELECT track_id, idx, CASE WHEN idx % 4 = 0 THEN label END AS anchor, v FROM vec),
+anc AS (SELECT track_id, idx, CASE WHEN idx % 4 = 0 AND track_id > 0 THEN label END AS anchor, v FROM vec),
 aflat AS (SELECT track_id, anchor, unnest(v) AS x, generate_subscripts(v, 1) AS pos FROM anc WHERE anchor IS NOT NULL), amean AS (SELECT track_id, anchor, pos, avg(x) AS m FROM aflat GROUP BY ALL),
 ac0 AS (SELECT track_id, anchor, list(m ORDER BY pos) AS c FROM amean GROUP BY ALL), ac AS (SELECT track_id, anchor AS to_label, list_transform(c, lambda x: x / (sqrt(list_dot_product(c, c)) + 1e-9::DOUBLE)) AS c FROM ac0),
 asim AS (SELECT u.track_id, u.idx, ac.to_label, list_dot_product(u.u, ac.c) AS sim FROM unit u JOIN ac USING (track_id)),
-near AS (SELECT track_id, idx, to_label, sim, row_number() OVER w AS k, sim - coalesce(lead(sim) OVER w, -1) AS ahead FROM asim WINDOW w AS (PARTITION BY track_id, idx ORDER BY sim DESC, to_label)),
-named AS (SELECT a.track_id, a.idx, coalesce(a.anchor, n.to_label) AS label FROM anc a LEFT JOIN near n ON n.track_id = a.track_id AND n.idx = a.idx AND n.k = 1 AND n.ahead >= 0.05::DOUBLE),
+near AS (SELECT track_id, idx, to_label, sim, row_number() OVER w AS k, sim - coalesce(lead(sim) OVER w, -1) AS ahead, count(*) OVER (PARTITION BY track_id, idx) AS of FROM asim WINDOW w AS (PARTITION BY track_id, idx ORDER BY sim DESC, to_label)),
+named AS (SELECT a.track_id, a.idx, coalesce(a.anchor, n.to_label) AS label FROM anc a LEFT JOIN near n ON n.track_id = a.track_id AND n.idx = a.idx AND n.k = 1 AND (n.ahead >= 0.05::DOUBLE OR n.of = 1)),
 held AS (SELECT *, CASE WHEN label IS NOT NULL THEN idx END AS at_idx FROM named),
-w AS (SELECT *, max(at_idx) OVER (PARTITION BY track_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS i0, min(at_idx) OVER (PARTITION BY track_id ORDER BY idx ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS i1 FROM held)
-SELECT w.track_id, w.idx, CASE WHEN i1 IS NULL OR w.idx - i0 <= i1 - w.idx THEN coalesce(x.label, y.label) ELSE y.label END AS label FROM w LEFT JOIN held x ON x.track_id = w.track_id AND x.idx = i0 LEFT JOIN held y ON y.track_id = w.track_id AND y.idx = i1"""
+w AS (SELECT *, max(at_idx) OVER (PARTITION BY track_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS i0, min(at_idx) OVER (PARTITION BY track_id ORDER BY idx ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS i1 FROM held),
+lab AS (SELECT w.track_id, w.idx, coalesce(CASE WHEN i1 IS NULL OR w.idx - i0 <= i1 - w.idx THEN coalesce(x.label, y.label) ELSE y.label END, 0) AS label FROM w LEFT JOIN held x ON x.track_id = w.track_id AND x.idx = i0 LEFT JOIN held y ON y.track_id = w.track_id AND y.idx = i1)
+SELECT track_id, idx, (dense_rank() OVER (PARTITION BY track_id ORDER BY label) - 1)::INT AS label FROM lab"""
 )
 def anchors_assign(spark, d):
-    rows = B.vectors(spark, d).withColumn("anchor", F.when(F.expr("idx % 4 = 0"), F.col("label")))
+    rows = B.vectors(spark, d).withColumn("anchor", F.when(F.expr("idx % 4 = 0 and track_id > 0"), F.col("label")))
     return speakers.anchored(rows).select("track_id", "idx", "label")
 
 
@@ -557,7 +580,27 @@ def character_clusters(spark, d):
 
 @query()
 def cluster_speakers(spark, d):
-    return speakers.cluster_speakers(B.vectors(spark, d), target=4).select("track_id", "idx", "label", "speaker")
+    return speakers.cluster_speakers(B.vectors(spark, d)).select("track_id", "idx", "label", "speaker")
+
+
+@query()
+def diarized_speakers(spark, d):
+    rows = B.vectors(spark, d).selectExpr("track_id", "idx", "if(idx % 5 = 0, null, vec) as vec", "if(idx % 6 = 0, null, 90D + 150D * (label % 2) + idx % 13) as f0")
+    return speakers.diarized(rows)
+
+
+@query()
+def merge_to_characters(spark, d):
+    return speakers.merge_to(B.vectors(spark, d), 3)
+
+
+@query(
+    f"""WITH {B.VECTORS}, m AS (SELECT track_id, label AS face, pos, quantile_cont(x, 0.5) AS m, count(*) AS n FROM flat GROUP BY ALL), c AS (SELECT track_id, face, max(n) AS n, list(m ORDER BY pos) AS c FROM m GROUP BY ALL HAVING max(n) >= 3),
+u AS (SELECT track_id, face, n, list_transform(c, lambda x: x / (sqrt(list_dot_product(c, c)) + 1e-9::DOUBLE)) AS c FROM c) SELECT track_id, face, n, round(list_sum(c), 6) AS total, round(c[1], 6) AS first FROM u"""
+)
+def face_vectors(spark, d):
+    rows = speakers.face_vectors(B.vectors(spark, d).withColumnRenamed("label", "face"))
+    return rows.select("track_id", "face", "n", F.round(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x), 6).alias("total"), F.round(F.col("vec")[0], 6).alias("first"))
 
 
 @query()
@@ -598,29 +641,33 @@ def detrend(spark, d):
 
 
 _BASE = B.WINDOWS + """,
-outside AS (SELECT * FROM samples s WHERE NOT EXISTS (SELECT 1 FROM win w WHERE w.track_id = s.track_id AND s.t BETWEEN w.start_s AND w.end_s)),
-moves AS (SELECT track_id, value - median(value) OVER (PARTITION BY track_id ORDER BY t ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING) AS x FROM outside),
-sd AS (SELECT track_id, count(*) AS n, stddev_pop(x) AS sd FROM moves GROUP BY track_id),
-base AS (SELECT t.track_id, coalesce(n, 0) AS n, CASE WHEN n >= 4 THEN greatest(0.02::DOUBLE, sd) ELSE 0.05::DOUBLE END AS baseline FROM (SELECT DISTINCT track_id FROM samples) t LEFT JOIN sd USING (track_id))"""
+seen AS (SELECT *, event_id % 2 AS face, (event_id * 7 % 100) / 100::DOUBLE AS level, (event_id % 9) / 100::DOUBLE AS size FROM samples),
+outside AS (SELECT * FROM seen s WHERE NOT EXISTS (SELECT 1 FROM win w WHERE w.track_id = s.track_id AND s.t BETWEEN w.start_s AND w.end_s)),
+moves AS (SELECT track_id, face, value - median(value) OVER (PARTITION BY track_id, face ORDER BY t ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING) AS x FROM outside),
+sd AS (SELECT track_id, face, count(*) AS n, stddev_pop(x) AS sd FROM moves GROUP BY ALL),
+base AS (SELECT t.track_id, t.face, coalesce(n, 0) AS n, CASE WHEN n >= 4 THEN greatest(0.02::DOUBLE, sd) ELSE 0.05::DOUBLE END AS baseline FROM (SELECT DISTINCT track_id, face FROM seen) t LEFT JOIN sd USING (track_id, face))"""
+
 
+def _faces(spark, d):
+    return B.samples(spark, d).selectExpr("track_id", "event_id % 2 as face", "t", "value", "(event_id * 7 % 100) / 100D as level", "(event_id % 9) / 100D as size")
 
-@query(f"WITH {_BASE} SELECT track_id, n, round(baseline, 4) AS baseline FROM base")
+
+@query(f"WITH {_BASE} SELECT track_id, face, n, round(baseline, 4) AS baseline FROM base")
 def track_baselines(spark, d):
-    return _rounded(audio.mouth_baselines(B.samples(spark, d), B.windows(spark, d), 3600.0), "baseline")
+    return _rounded(audio.mouth_baselines(_faces(spark, d), B.windows(spark, d), 3600.0), "baseline")
 
 
 _SCORES = _BASE + """,
 wide AS (SELECT track_id, cue, start_s, start_s + 43200::DOUBLE AS end_s FROM win),
-inside AS (SELECT w.track_id, w.cue, s.event_id % 2 AS face, s.t, s.value, (s.event_id * 7 % 100) / 100::DOUBLE AS level FROM samples s JOIN wide w ON s.track_id = w.track_id AND s.t BETWEEN w.start_s AND w.end_s),
+inside AS (SELECT w.track_id, w.cue, s.face, s.t, s.value, s.level, s.size FROM seen s JOIN wide w ON s.track_id = w.track_id AND s.t BETWEEN w.start_s AND w.end_s),
 det AS (SELECT *, value - median(value) OVER (PARTITION BY track_id, cue, face ORDER BY t ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING) AS x FROM inside),
-stat AS (SELECT track_id, cue, face, count(*) AS n, stddev_pop(x) AS sd, corr(value, level) AS r FROM det GROUP BY ALL HAVING count(*) >= 3),
-scored AS (SELECT s.track_id, cue, face, s.n, least(sd / (3 * baseline), 1::DOUBLE) * (0.5::DOUBLE + 0.5::DOUBLE * greatest(coalesce(CASE WHEN isnan(r) THEN 0::DOUBLE ELSE r END, 0::DOUBLE), 0::DOUBLE)) AS score FROM stat s JOIN base USING (track_id))"""
+stat AS (SELECT track_id, cue, face, count(*) AS n, stddev_pop(x) AS sd, CASE WHEN stddev_pop(value) > 1e-6::DOUBLE AND stddev_pop(level) > 1e-6::DOUBLE THEN corr(value, level) ELSE 0 END AS r FROM det GROUP BY ALL HAVING count(*) >= 3 AND avg(size) >= 0.03::DOUBLE),
+scored AS (SELECT s.track_id, cue, s.face, s.n, least(sd / (baseline * 3 + 1e-6::DOUBLE), 1::DOUBLE) * (0.5::DOUBLE + 0.5::DOUBLE * greatest(coalesce(CASE WHEN isnan(r) THEN 0::DOUBLE ELSE r END, 0::DOUBLE), 0::DOUBLE)) AS score FROM stat s JOIN base USING (track_id, face))"""
 
 
 def _scores(spark, d):
-    rows = B.samples(spark, d)
     wide = B.windows(spark, d).withColumn("end_s", F.col("start_s") + 43200.0)
-    return audio.cue_scores(rows.selectExpr("track_id", "event_id % 2 as face", "t", "value", "(event_id * 7 % 100) / 100D as level"), wide, audio.mouth_baselines(rows, B.windows(spark, d), 3600.0), 43200.0)
+    return audio.cue_scores(_faces(spark, d), wide, audio.mouth_baselines(_faces(spark, d), B.windows(spark, d), 3600.0), 43200.0)
 
 
 @query(f"WITH {_SCORES} SELECT track_id, cue, face, n, round(score, 4) AS score FROM scored")
@@ -664,14 +711,34 @@ def shortened_pauses(spark, d):
     return audio.shortened_pauses(B.frames(spark, d), 0.03, 1).selectExpr("track_id", "cast(frame_no as bigint) as frame_no")
 
 
-@query(f"WITH {B.FRAMES}, p AS (SELECT *, max(energy) OVER (PARTITION BY track_id) AS peak FROM frames) SELECT track_id, round(count(*) FILTER (energy > greatest(0.004::DOUBLE, peak * 0.06::DOUBLE)) * 0.02::DOUBLE, 4) AS speech_s FROM p GROUP BY track_id")
+# cues over the frames of a track: every third frame begins one of 7 to 10 frames
+_CUED = B.FRAMES + """,
+cued AS (SELECT track_id, frame_no AS cue, frame_no * 0.02::DOUBLE AS start_s, (frame_no + 7 + frame_no % 4) * 0.02::DOUBLE AS end_s FROM frames WHERE frame_no % 3 = 0)"""
+
+
+def _cued(spark, d):
+    return B.frames(spark, d).where("frame_no % 3 = 0").selectExpr("track_id", "cast(frame_no as bigint) as cue", "frame_no * 0.02D as start_s", "(frame_no + 7 + frame_no % 4) * 0.02D as end_s")
+
+
+def _in_frames(back: int) -> str:
+    return f"""{_CUED}, x AS (SELECT c.track_id, c.cue, c.start_s, f.frame_no, f.energy, max(f.energy) OVER (PARTITION BY c.track_id, c.cue) AS peak FROM cued c JOIN frames f ON f.track_id = c.track_id
+  AND f.frame_no * 0.02::DOUBLE >= greatest(0::DOUBLE, c.start_s - {back} * 0.01::DOUBLE) - 1e-9::DOUBLE AND f.frame_no * 0.02::DOUBLE + 0.02::DOUBLE <= c.end_s + 0.01::DOUBLE)"""
+
+
+@query(
+    f"""WITH {_in_frames(0)}, g AS (SELECT track_id, cue, count(*) FILTER (peak > 0 AND energy > greatest(0.004::DOUBLE, peak * 0.06::DOUBLE)) * 0.02::DOUBLE AS s FROM x GROUP BY ALL)
+SELECT c.track_id, c.cue, round(coalesce(s, 0), 4) AS speech_s FROM cued c LEFT JOIN g USING (track_id, cue)"""
+)
 def speech_seconds(spark, d):
-    return _rounded(audio.speech_seconds(B.frames(spark, d)), "speech_s")
+    return _rounded(audio.speech_seconds(B.frames(spark, d), _cued(spark, d)), "speech_s")
 
 
-@query(f"WITH {B.FRAMES}, p AS (SELECT *, max(energy) OVER (PARTITION BY track_id) AS peak FROM frames) SELECT track_id, round(min(frame_no) FILTER (energy > greatest(0.006::DOUBLE, peak * 0.10::DOUBLE)) * 0.02::DOUBLE, 4) AS onset_s FROM p GROUP BY track_id")
+@query(
+    f"""WITH {_in_frames(35)}, g AS (SELECT track_id, cue, count(*) AS n, min(frame_no * 0.02::DOUBLE) FILTER (peak > 0 AND energy > greatest(0.006::DOUBLE, peak * 0.10::DOUBLE)) - min(start_s) AS s FROM x GROUP BY ALL)
+SELECT c.track_id, c.cue, round(CASE WHEN n >= 3 THEN coalesce(s, 0) ELSE 0 END, 4) AS onset_s FROM cued c LEFT JOIN g USING (track_id, cue)"""
+)
 def onset(spark, d):
-    return _rounded(audio.onset(B.frames(spark, d)), "onset_s")
+    return _rounded(audio.onset(B.frames(spark, d), _cued(spark, d)), "onset_s")
 
 
 @query(f"WITH {B.FRAMES} SELECT track_id, frame_no, round(sum(energy) OVER (PARTITION BY track_id ORDER BY frame_no ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) / 5, 6) AS mean FROM frames")
