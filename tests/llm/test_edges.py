@@ -6,14 +6,16 @@ import random
 import re
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracklore.llm import decontaminate, html, lm, media, mixing, neardup, quality, secrets, substrings, tokens
+from tracklore.llm import common, decontaminate, html, lm, media, mixing, neardup, quality, secrets, substrings, tokens
 
 DOCS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("lang", T.StringType()), T.StructField("source", T.StringType()), T.StructField("n_chars", T.LongType()), T.StructField("score", T.StringType()), T.StructField("spans", T.StringType())])
 
@@ -199,24 +201,56 @@ def test_tokens(spark, docs, none):
     assert tokens.read_back(spark, folder, manifest, none.schema["doc_id"]).count() == 0
 
 
+def naive_chunks(p):
+    """Chunks byte by byte: a cut where the gear hash has its mask bits zero, LEAST bytes after the last one at least."""
+    h, at, out = 0, 0, []
+    for k, b in enumerate(p):
+        h = ((h << 1) + int(media._GEAR[b])) & 0xFFFFFFFF
+        n = k + 1 - at
+        if n >= media.LEAST and (h & int(media._MASK)) == 0 and k + 1 < len(p) or n == media.MOST and k + 1 < len(p):
+            out.append(p[at : k + 1])
+            at = k + 1
+    return [*out, p[at:]]
+
+
 def test_media(spark, docs, none):
-    folder, stored = media.store(docs)
-    got = by_id(media.rebuild(folder, media.recipes(stored)))
+    got = by_id(media.stored_and_read(docs))
     for i, t, *_ in ROWS:
         data = (t or "").encode()
         p = data + b"\xff" * (576 * max(1, -(-len(data) // 576)) - len(data))
         r = got[i]
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(data), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-32:]))
+        pieces = naive_chunks(p)
+        form = b"".join(len(c).to_bytes(4, "little") + c for c in pieces)
+        assert (r.n_chunks, r.media_bytes, r.media_sha256) == (len(pieces), len(form), hashlib.sha256(form).hexdigest())
+        mean = sum(p) / len(p)
+        want = {"mean": mean, "std": (sum((x - mean) ** 2 for x in p) / len(p)) ** 0.5, "step": sum(abs(x - y) for x, y in zip(p, p[1:])) / (len(p) - 1), "fill": p.count(255) / len(p)}
+        assert {k: float(v) for k, v in (x.split("=") for x in r.feature.split(";"))} == pytest.approx(want, abs=1e-4)
     assert tuple(got[0])[1:] == tuple(got[1])[1:]
-    target, table = media.compact(folder, stored)
-    reader = media.PackReader(target)
-    lengths = {bytes(r.digest): r.length for r in stored.select(F.explode("chunks").alias("c")).select("c.*").collect()}
+    assert media.stored_and_read(none).count() == 0
+
+
+def test_media_stores_each_chunk_once(spark, docs, monkeypatch):
+    """Every task writes its own copies; after compact() the packs hold each chunk once, and hot chunks are dealt out."""
+    monkeypatch.setattr(common, "HOT_ROWS", 2)
+    first, stored = media.store(docs.unionByName(docs).repartition(4))
+    packs, table = media.compact(first, media.chunk_table(stored))
     rows = table.collect()
-    assert len(rows) == len(lengths)
+    want = Counter(c for _, t, *_ in ROWS for c in naive_chunks(media.payload_of((t or "").encode())))
+    assert {bytes(r.digest): r.n for r in rows} == {hashlib.sha256(c).digest(): 2 * n for c, n in want.items()}
+    reader, held = media.PackReader(packs), 0
     for r in rows:
-        assert hashlib.sha256(reader.chunk(r.place.asDict(), lengths[bytes(r.digest)])).digest() == bytes(r.digest)
-    folder, stored = media.store(none)
-    assert media.rebuild(folder, media.recipes(stored)).count() == 0
+        record = reader.record(r.place.asDict(), r.length)
+        assert hashlib.sha256(record[4:]).digest() == bytes(r.digest)
+        held += len(record)
+    files = [f for f in Path(packs.removeprefix("file://")).iterdir() if f.suffix == ".pack"]
+    assert sum(len(zstandard.ZstdDecompressor().stream_reader(f.read_bytes(), read_across_frames=True).read()) for f in files) == held
+    assert media.rebuild(packs, media.recipes(stored, table)).count() == 2 * len(ROWS)
+    # a damaged record is an error
+    for f in files:
+        f.write_bytes(f.read_bytes()[:-9])
+    with pytest.raises(Exception):
+        media.rebuild(packs, media.recipes(stored, table)).collect()
 
 
 def test_media_cuts_follow_content():

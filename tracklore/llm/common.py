@@ -45,11 +45,12 @@ def bound_batches(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder's URI below spark.checkpoint.dir; below a local temporary folder where that is unset (local runs)."""
+    """A new folder's URI below spark.checkpoint.dir; in local runs without one below the temporary folder."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = f"file://{tempfile.gettempdir()}/tracklore"
-        spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
@@ -91,6 +92,22 @@ def scratch(spark: SparkSession):
             _open[-1].extend(kept)
 
 
+#: A key of more than this share of the rows, and of more than so many, is dealt out; so hot keys are bounded in number.
+HOT_SHARE, HOT_ROWS = 4096, 1000
+
+
+def join_salted(many: DataFrame, one: DataFrame, keys: list[str], counts: DataFrame, spread: Column) -> DataFrame:
+    """many joined to one (keys: unique there), where a few keys may hold most rows of many. counts: keys and n, the rows
+    of many. Rows of hot keys are dealt out by spread, and one's rows of these keys are repeated for each share; there are
+    at most HOT_SHARE hot keys, which are broadcast."""
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    limit = max(HOT_ROWS, total // HOT_SHARE)
+    hot = F.broadcast(counts.where(F.col("n") > limit).select(*keys, F.ceil(F.col("n") / limit).cast("int").alias("__shares")))
+    left = many.join(hot, keys, "left").withColumn("__salt", F.coalesce(F.pmod(spread, F.col("__shares")), F.lit(0))).drop("__shares")
+    right = one.join(hot, keys, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), F.coalesce("__shares", F.lit(1)) - 1))).drop("__shares")
+    return left.join(right, [*keys, "__salt"]).drop("__salt")
+
+
 def drop_dir(spark: SparkSession, uri: str) -> None:
     """Deletes a folder of intermediate files through Spark's file system layer."""
     path = spark._jvm.org.apache.hadoop.fs.Path(uri)

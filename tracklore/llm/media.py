@@ -2,12 +2,12 @@
 
 A payload (the text's UTF-8 bytes, filled with bytes 255 to a positive multiple of BLOCK, as 8-bit samples) is cut where
 a gear hash of its last 32 bytes has its mask bits zero. Chunks are known by their SHA-256. Each task appends the chunks
-it has not seen to a pack file, a compressed frame for each payload; the chunk table has the digest and the place of
-every stored copy. A Spark aggregation and join of digests give every chunk one place, the lowest, so a chunk that many
-payloads share is read from one copy; recipes, the ordered chunk lists, rebuild the payloads, which are verified against
-the digests of their chunks and of the whole. compact() rewrites packs without the copies that the join left out.
+it has not seen to a pack file; a Spark aggregation of digests gives every chunk one place, the lowest, and compact()
+rewrites the packs by it, so that each chunk is stored once. Recipes, the ordered chunk lists, are joined to the places
+by digest and rebuild the payloads, which are verified against the digests of their chunks and of the whole.
 
-The stored form of a payload is its chunk records in order: each chunk's length (4 bytes, little-endian) and samples.
+A pack is a row of compressed frames of about FRAME bytes of chunk records. A record is the chunk's length (4 bytes,
+little-endian) and its samples; a payload's stored form is its records in order, as they are read back.
 
 Defined results: null and empty texts are one block of bytes 255; very long texts are cut as any other; equal texts have
 equal values in every column; repeated rows are each rebuilt; an empty table gives an empty result; other columns are
@@ -29,15 +29,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bound_batches, cut, local_fs, shared_dir, text_bytes
+from .common import bound_batches, cut, drop_dir, join_salted, local_fs, scratch, shared_dir, text_bytes
 
 BLOCK, FILL, TAIL = 576, 255, 32
 LEAST, MASK_BITS, MOST = 256, 10, 8192
 _GEAR = np.random.default_rng(11).integers(0, 1 << 32, 256, dtype=np.uint32)
 #: The mask takes the upper bits, which all of the last 32 bytes reach.
 _MASK = np.uint32(((1 << MASK_BITS) - 1) << (32 - MASK_BITS))
-#: Digests that a task remembers to store a chunk once; beyond, the oldest go and the join finds the copies.
+#: Digests that a task remembers so as not to write a chunk twice; beyond, the oldest go and compact() drops the copies.
 SEEN = 200_000
+FRAME = 1 << 16
 
 
 def payload_of(data: bytes) -> bytes:
@@ -69,22 +70,43 @@ _CHUNK = T.StructType([T.StructField("digest", T.BinaryType()), T.StructField("l
 _ARROW_CHUNK = pa.struct([("digest", pa.binary()), ("length", pa.int32()), ("frame", pa.int64()), ("size", pa.int32()), ("at", pa.int32())])
 
 
+def record_of(chunk: bytes) -> bytes:
+    return struct.pack("<I", len(chunk)) + chunk
+
+
 class _Pack:
+    """A pack that is written: records are held until they make a frame, then their places get its offset and size."""
+
     def __init__(self, folder: str):
         self.fs, self.path = local_fs(folder)
         self.fs.create_dir(self.path, recursive=True)
         self.name = uuid.uuid4().hex
         self.out = self.fs.open_output_stream(f"{self.path}/.{self.name}")
-        self.size = 0
+        self.size = self.fill = 0
+        self.held: list[bytes] = []
+        self.places: list[dict] = []
         self.press = zstandard.ZstdCompressor(level=6)
 
-    def add(self, data: bytes) -> tuple[int, int]:
-        frame = self.press.compress(data)
-        at, self.size = self.size, self.size + len(frame)
+    def add(self, record: bytes, place: dict) -> None:
+        place["at"] = self.fill
+        self.held.append(record)
+        self.places.append(place)
+        self.fill += len(record)
+        if self.fill >= FRAME:
+            self.flush()
+
+    def flush(self) -> None:
+        if not self.held:
+            return
+        frame = self.press.compress(b"".join(self.held))
+        for p in self.places:
+            p["frame"], p["size"] = self.size, len(frame)
         self.out.write(frame)
-        return at, len(frame)
+        self.size += len(frame)
+        self.held, self.places, self.fill = [], [], 0
 
     def close(self) -> None:
+        self.flush()
         self.out.close()
         self.fs.move(f"{self.path}/.{self.name}", f"{self.path}/{self.name}.pack")
 
@@ -105,28 +127,23 @@ def store(docs: DataFrame, folder: str | None = None) -> tuple[str, DataFrame]:
             cols = [[], [], [], []]
             for data in text_bytes(b.column(1)):
                 payload = payload_of(data)
-                chunks, new, fill, at = [], [], 0, 0
+                chunks, at = [], 0
                 for end in cuts(payload):
                     piece, at = payload[at:end], end
                     digest = hashlib.sha256(piece).digest()
                     chunk = {"digest": digest, "length": len(piece), "frame": None, "size": None, "at": None}
                     if digest not in seen:
                         seen[digest] = None
-                        chunk["at"], fill = fill, fill + len(piece)
-                        new.append(piece)
+                        pack.add(record_of(piece), chunk)
                         if len(seen) > SEEN:
                             seen.popitem(last=False)
                     chunks.append(chunk)
-                if new:
-                    frame, size = pack.add(b"".join(new))
-                    for c in chunks:
-                        if c["at"] is not None:
-                            c["frame"], c["size"] = frame, size
                 cols[0].append(row)
                 cols[1].append(len(data))
                 cols[2].append(hashlib.sha256(payload).digest())
                 cols[3].append(chunks)
                 row += 1
+            pack.flush()
             yield pa.RecordBatch.from_arrays(
                 [pa.array(cols[0], pa.int64()), b.column(0), pa.array(cols[1], pa.int64()), pa.array([pack.name] * b.num_rows, pa.string()), pa.array(cols[2], pa.binary()), pa.array(cols[3], pa.list_(_ARROW_CHUNK))],
                 names=schema.names,
@@ -138,16 +155,18 @@ def store(docs: DataFrame, folder: str | None = None) -> tuple[str, DataFrame]:
 
 
 def chunk_table(stored: DataFrame) -> DataFrame:
-    """digest and the one place (pack, frame, size, at) from which each distinct chunk is read."""
-    chunks = stored.select("pack", F.explode("chunks").alias("c")).where("c.at is not null")
-    return chunks.groupBy("c.digest").agg(F.min(F.struct("pack", "c.frame", "c.size", "c.at")).alias("place"))
+    """digest, length, n (how often it occurs) and the one place (pack, frame, size, at) of each distinct chunk."""
+    chunks = stored.select("pack", F.explode("chunks").alias("c"))
+    place = F.when(F.col("c.at").isNotNull(), F.struct("pack", "c.frame", "c.size", "c.at"))
+    return chunks.groupBy("c.digest").agg(F.first("c.length").alias("length"), F.count("*").alias("n"), F.min(place).alias("place"))
 
 
-def recipes(stored: DataFrame) -> DataFrame:
-    """row, doc_id, n_bytes, whole and the ordered chunks, each with its place in the packs."""
-    table = chunk_table(stored)
+def recipes(stored: DataFrame, table: DataFrame) -> DataFrame:
+    """row, doc_id, n_bytes, whole and the ordered chunks, each with its place in the packs. Chunks that many payloads
+    share are dealt out."""
     steps = stored.select("row", F.posexplode("chunks").alias("seq", "c")).select("row", "seq", "c.digest", "c.length")
-    lists = steps.join(table, "digest").groupBy("row").agg(F.array_sort(F.collect_list(F.struct("seq", "digest", "length", "place"))).alias("list"))
+    met = join_salted(steps, table.select("digest", "place"), ["digest"], table.select("digest", "n"), F.xxhash64("row", "seq"))
+    lists = met.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("seq", "digest", "length", "place"))).alias("list"))
     return stored.select("row", "doc_id", "n_bytes", "whole").join(lists, "row")
 
 
@@ -166,15 +185,21 @@ class PackReader:
                 self.files.popitem(last=False)[1].close()
         return self.files[pack]
 
-    def chunk(self, place: dict, length: int) -> bytes:
+    def record(self, place: dict, length: int) -> bytes:
+        """The record of a chunk as it is stored: its length and samples."""
         key = (place["pack"], place["frame"])
-        if key not in self.frames:
+        if key in self.frames:
+            self.frames.move_to_end(key)
+        else:
             f = self._file(place["pack"])
             f.seek(place["frame"])
             self.frames[key] = self.open.decompress(f.read(place["size"]))
             if len(self.frames) > self.most[1]:
                 self.frames.popitem(last=False)
-        return self.frames[key][place["at"] : place["at"] + length]
+        found = self.frames[key][place["at"] : place["at"] + 4 + length]
+        if struct.unpack("<I", found[:4])[0] != length:
+            raise ValueError(f"a record in pack {place['pack']} is damaged")
+        return found
 
 
 def feature(samples: np.ndarray) -> str:
@@ -197,13 +222,13 @@ def rebuild(folder: str, listed: DataFrame) -> DataFrame:
             for whole, steps in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
                 pieces, media, size = [], hashlib.sha256(), 0
                 for s in steps:
-                    piece = reader.chunk(s["place"], s["length"])
+                    record = reader.record(s["place"], s["length"])
+                    piece = record[4:]
                     if hashlib.sha256(piece).digest() != s["digest"]:
                         raise ValueError(f"a chunk in pack {s['place']['pack']} is damaged")
                     pieces.append(piece)
-                    media.update(struct.pack("<I", len(piece)))
-                    media.update(piece)
-                    size += 4 + len(piece)
+                    media.update(record)
+                    size += len(record)
                 payload = b"".join(pieces)
                 digest = hashlib.sha256(payload)
                 if digest.digest() != whole:
@@ -217,24 +242,36 @@ def rebuild(folder: str, listed: DataFrame) -> DataFrame:
     return near.select("doc_id", "n_bytes", "whole", "list").mapInArrow(run, schema)
 
 
-def compact(folder: str, stored: DataFrame) -> tuple[str, DataFrame]:
-    """Packs in a new folder that hold each distinct chunk once, and the chunk table with the new places."""
-    spark = stored.sparkSession
-    target = shared_dir(spark, "media-compact")
-    lengths = stored.select(F.explode("chunks").alias("c")).select("c.digest", "c.length").distinct()
-    table = chunk_table(stored).join(lengths, "digest").select("digest", "length", "place").repartition("place.pack").sortWithinPartitions("place.pack", "place.frame", "place.at")
-    schema = T.StructType([T.StructField("digest", T.BinaryType()), T.StructField("place", T.StructType([T.StructField("pack", T.StringType()), T.StructField("frame", T.LongType()), T.StructField("size", T.IntegerType()), T.StructField("at", T.IntegerType())]))])
+def compact(folder: str, table: DataFrame) -> tuple[str, DataFrame]:
+    """Packs in a new folder that hold each distinct chunk once, in the order of the old ones, and the chunk table with
+    the new places. The old packs are as they were."""
+    target = shared_dir(table.sparkSession, "media-compact")
+    rows = table.select("digest", "length", "n", "place").repartition("place.pack").sortWithinPartitions("place.pack", "place.frame", "place.at")
 
     def run(batches):
         reader, pack = PackReader(folder), None
         for b in batches:
             pack = pack or _Pack(target)
             places = []
-            for length, place in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
-                frame, size = pack.add(reader.chunk(place, length))
-                places.append({"pack": pack.name, "frame": frame, "size": size, "at": 0})
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(places, pa.struct([("pack", pa.string()), ("frame", pa.int64()), ("size", pa.int32()), ("at", pa.int32())]))], names=["digest", "place"])
+            for length, place in zip(b.column(1).to_pylist(), b.column(3).to_pylist()):
+                new = {"pack": pack.name}
+                pack.add(reader.record(place, length), new)
+                places.append(new)
+            pack.flush()
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(places, pa.struct([("pack", pa.string()), ("frame", pa.int64()), ("size", pa.int32()), ("at", pa.int32())]))], names=["digest", "length", "n", "place"])
         if pack:
             pack.close()
 
-    return target, cut(table.mapInArrow(run, schema), "media-chunks")
+    return target, cut(rows.mapInArrow(run, rows.schema), "media-chunks")
+
+
+def stored_and_read(docs: DataFrame) -> DataFrame:
+    """rebuild() of docs whose chunks are stored once each. The first packs and all tables but the result are deleted."""
+    spark = docs.sparkSession
+    with scratch(spark) as keep:
+        first, stored = store(docs)
+        packs, table = compact(first, chunk_table(stored))
+        drop_dir(spark, first)
+        out = keep(cut(rebuild(packs, recipes(stored, table)), "media-result"))
+        drop_dir(spark, packs)
+        return out

@@ -47,8 +47,7 @@ def op5_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder, stored = media.store(_read(spark, sf_dir, "documents"))
-    return media.rebuild(folder, media.recipes(stored))
+    return media.stored_and_read(_read(spark, sf_dir, "documents"))
 
 
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
