@@ -280,10 +280,29 @@ def test_secrets(spark, docs, none):
 def test_trigram_queries():
     assert secrets.trigram_query("[0-9a-f]{24,}") is None
     assert secrets.trigram_query("AKIA[A-Z0-9]+") == [["aki", "kia"]]
-    assert secrets.trigram_query("api_?key") == [["_ke", "api", "i_k", "key", "pi_"], ["api", "ike", "key", "pik"]]
+    assert secrets.trigram_query("api_?key") == [["api", "key"]]
+    assert secrets.trigram_query("password|token") == [["ken", "tok"], ["ord", "pas"]]
     assert secrets.trigram_query("ab|abcd") is None
 
 
+def test_postings_are_intersected(spark, monkeypatch):
+    """Posting lists by blocks, many or one, give the documents that hold all trigrams of an alternative."""
+    texts = ["pas ord", "pas", "PASSWORD", "tok", "tok ken", "AKI", "akia", None, "", "key api", "ghp_ x", "-----begin y PRIVATE KEY-----"]
+    rows = [(k, t, None, None, None, None, None) for k, t in enumerate(texts * 3)] + [(None, "akia", None, None, None, None, None), (2, "PASSWORD", None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, DOCS)
+    held = lambda t, alt: t is not None and all(g in t.lower() for g in alt)
+    want = {}
+    for k, t, *_ in rows:
+        for r in secrets.RULES:
+            if k is not None and any(held(t, alt) for alt in secrets.trigram_query(r.pattern) or []):
+                want.setdefault(k, set()).add(r.name)
+    for most in (1, 7, 1 << 16):
+        monkeypatch.setattr(secrets, "BLOCK_POSTINGS", most)
+        index = secrets.build_index(docs)
+        assert {r.doc_id: set(r.rules) for r in secrets.candidates(index).collect()} == want
+        assert most > 7 or index.select("block").distinct().count() > 1
+
+
 def test_decontamination(spark, docs, none):
     bench = spark.createDataFrame([(1, ROWS[0][1][30:200]), (2, "ONE, two!"), (3, None), (4, ""), (11, "solo"), (None, "x1")], "item_id long, text string")
     items = [(i, t) for i, t in ((r.item_id, r.text) for r in bench.collect()) if i is not None]
@@ -293,8 +312,8 @@ def test_decontamination(spark, docs, none):
         w = fold(t)
         for x in [tuple(w[k : k + 10]) for k in range(len(w) - 9)] if len(w) >= 10 else [tuple(w)] if w else []:
             windows.setdefault(x, set()).add(str(i))
-    for block in (decontaminate.BLOCK_BYTES, 100):
-        got = by_id(decontaminate.report(docs, bench, block_bytes=block))
+    for block in (decontaminate.BLOCK_WINDOWS, 7, 1):
+        got = by_id(decontaminate.report(docs, bench, block_windows=block))
         for i, t, *_ in ROWS:
             w, hit, met = fold(t), set(), set()
             for size in {len(x) for x in windows}:
@@ -312,12 +331,22 @@ def test_decontamination(spark, docs, none):
 
 
 def test_mixing(spark, docs, none):
-    raked = mixing.rake(spark.createDataFrame([("a", "x", "p", 60), ("a", "y", "q", 20), ("b", "x", "q", 15), ("b", "y", "p", 5), ("c", "y", "p", 0)], "source string, lang string, topic string, tokens long"), {"source": {"a": 1.0, "b": 1.0}}).collect()
+    raked, off = mixing.rake(spark.createDataFrame([("a", "x", "p", 60), ("a", "y", "q", 20), ("b", "x", "q", 15), ("b", "y", "p", 5), ("c", "y", "p", 0)], "source string, lang string, topic string, tokens long"), {"source": {"a": 1.0, "b": 1.0}})
+    raked = raked.collect()
     share = Counter()
     for r in raked:
         share[r.source] += r.tokens * r.weight / 100
-    assert share["a"] == pytest.approx(0.5, abs=1e-6) and share["b"] == pytest.approx(0.5, abs=1e-6)
+    assert share["a"] == pytest.approx(0.5, abs=1e-6) and share["b"] == pytest.approx(0.5, abs=1e-6) and off < 1e-9
+    # a language that only one source has can't have another share: raking ends and says by how much it failed
+    two = spark.createDataFrame([("a", "x", "p", 60), ("b", "y", "p", 40)], "source string, lang string, topic string, tokens long")
+    _, off = mixing.rake(two, {"source": {"a": 0.5, "b": 0.5}, "lang": {"x": 0.9, "y": 0.1}})
+    assert off == pytest.approx(0.4, abs=1e-6)
+    clash = docs.selectExpr("*", "1 as _source", "2 as _weight", "3 as _p", "4 as __mix_tokens", "5 as __MIX_p", "6 as weight")
+    kept = mixing.keep_sample(clash)
+    assert kept.columns == clash.columns and {r.doc_id for r in kept.collect()} == {r.doc_id for r in mixing.keep_sample(docs).collect()}
+    assert {tuple(r[7:]) for r in kept.collect()} == {(1, 2, 3, 4, 5, 6)}
     got = mixing.sample(docs).collect()
+    assert {r.marginal_error for r in got} != {None}
     assert len(got) == len(ROWS) and all(0 <= r.probability <= 1 and r.weight >= 0 for r in got)
     assert all((r.n_tokens or 0) == len((dict((x[0], x[1]) for x in ROWS)[r.doc_id] or "").encode().split()) for r in got)
     assert mixing.sample(none).count() == 0 and mixing.keep_sample(docs).columns == docs.columns

@@ -46,8 +46,12 @@ dw AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}
 at AS (SELECT doc_id, n, w, unnest(range(1, len(w) - n + 2)) AS k FROM dw, (SELECT DISTINCT n FROM win) WHERE len(w) >= n),
 hits AS (SELECT a.doc_id, a.k, a.n, win.item_id FROM at a JOIN win ON win.n = a.n AND win.g = array_to_string(a.w[a.k:a.k + a.n - 1], ' ')),
 pos AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(k, k + n)) AS p FROM hits) GROUP BY doc_id),
-items AS (SELECT doc_id, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS ids FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS i FROM hits) GROUP BY doc_id)
-SELECT dw.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated FROM dw LEFT JOIN pos USING (doc_id) LEFT JOIN items USING (doc_id)""".replace("at AS (", "places AS (").replace("FROM at a", "FROM places a")
+items AS (SELECT doc_id, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS ids FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS i FROM hits) GROUP BY doc_id),
+hit_words AS (SELECT DISTINCT doc_id, unnest(range(k, k + n)) AS p FROM hits),
+runs AS (SELECT doc_id, min(p) AS a, max(p) AS b FROM (SELECT doc_id, p, p - row_number() OVER (PARTITION BY doc_id ORDER BY p) AS g FROM hit_words) GROUP BY doc_id, g),
+lens AS (SELECT doc_id, list_transform(string_split_regex(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '{word}'), lambda x: length(x)) AS gap, list_transform(regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '{word}'), lambda x: length(x)) AS wl FROM documents WHERE doc_id IN (SELECT doc_id FROM runs)),
+spans AS (SELECT doc_id, string_agg(s || ':' || e, ',' ORDER BY s) AS spans FROM (SELECT doc_id, (list_sum(gap[1:a]) + coalesce(list_sum(wl[1:a - 1]), 0))::BIGINT AS s, (list_sum(gap[1:b]) + list_sum(wl[1:b]))::BIGINT AS e FROM runs JOIN lens USING (doc_id)) GROUP BY doc_id)
+SELECT dw.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, coalesce(spans, '') AS spans FROM dw LEFT JOIN pos USING (doc_id) LEFT JOIN items USING (doc_id) LEFT JOIN spans USING (doc_id)""".replace("at AS (", "places AS (").replace("FROM at a", "FROM places a")
 
 
 def mixture(rounds: int = 40) -> str:
@@ -62,8 +66,9 @@ rec AS (SELECT 0 AS k, *, tokens::DOUBLE AS w FROM start
   UNION ALL
   SELECT k + 1, source, lang, topic, tokens, goal_source, goal_lang, goal_topic, w3 FROM (SELECT *, {step("topic", "w2", "w3")} FROM (SELECT *, {step("lang", "w1", "w2")} FROM (SELECT *, {step("source", "w", "w1")} FROM rec WHERE k < {rounds})))),
 raked AS (SELECT source, lang, topic, CASE WHEN tokens > 0 THEN w * (SELECT sum(tokens) FROM cells)::DOUBLE / tokens ELSE 1::DOUBLE END AS weight FROM rec WHERE k = {rounds}),
-p AS (SELECT *, weight / (SELECT max(weight) FROM raked) AS p FROM raked)
-SELECT doc_id, source, lang, topic, n_tokens, round(weight, 5) AS weight, round(p, 5) AS probability, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT / 4294967296::DOUBLE < p AS kept FROM docs JOIN p USING (source, lang, topic)"""
+p AS (SELECT *, weight / (SELECT max(weight) FROM raked) AS p FROM raked),
+off AS (SELECT max(abs(s - g)) AS off FROM (SELECT sum(w) AS s, any_value(goal_source) AS g FROM rec WHERE k = {rounds} GROUP BY source UNION ALL SELECT sum(w), any_value(goal_lang) FROM rec WHERE k = {rounds} GROUP BY lang UNION ALL SELECT sum(w), any_value(goal_topic) FROM rec WHERE k = {rounds} GROUP BY topic))
+SELECT doc_id, source, lang, topic, n_tokens, round(weight, 5) AS weight, round(p, 5) AS probability, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT / 4294967296::DOUBLE < p AS kept, round(coalesce((SELECT off FROM off), 0), 5) AS marginal_error FROM docs JOIN p USING (source, lang, topic)"""
 
 
 ORACLES = {"op4_neardup": near_duplicates(), "op7_secrets": secrets(), "op8_decontaminate": contamination(), "op9_mixing": mixture()}

@@ -1,9 +1,11 @@
 """Secret scans through a trigram inverted index; DataFrame functions only.
 
 From each rule's regular expression a Boolean trigram query is derived: a disjunction of conjunctions of trigrams that
-every match must hold in lower case. The index has a posting (trigram, doc_id) for each trigram that some query names and
-each document that holds it. Queries are answered by intersecting postings; the candidates are verified by the regular
-expression itself, with positions. Rules without mandatory trigrams are verified on every text.
+every match must hold in lower case. Of a conjunction the first and the last trigram are asked for: the ones between
+add little, and each costs a pass over all texts. The index has a posting list for each trigram that some query names,
+in blocks of documents, so that no list is gathered whole. Queries are answered by intersecting the lists of a block;
+the candidates are verified by the regular expression itself, with positions. Rules without mandatory trigrams are
+verified on every text.
 
 Positions come from the pieces between matches: regular expressions split the text and extract the matches, and running
 sums of lengths give the offsets in characters.
@@ -17,6 +19,7 @@ from __future__ import annotations
 
 import re._parser as grammar
 from dataclasses import dataclass
+from functools import reduce
 from itertools import product
 
 from pyspark.sql import Column, DataFrame
@@ -27,6 +30,8 @@ from .common import cut, scratch
 #: Candidates of at most so many documents are broadcast (some 60 bytes each); beyond, they are joined by a shuffle.
 BROADCAST_ROWS = 200_000
 MAX_ALTERNATIVES = 64
+#: Postings of a block of documents, about.
+BLOCK_POSTINGS = 1 << 16
 
 
 @dataclass(frozen=True)
@@ -89,31 +94,38 @@ def trigram_query(pattern: str) -> list[list[str]] | None:
     alternatives = set()
     for letters in _runs(grammar.parse(pattern.replace("(?i)", ""))):
         text = "".join("\0" if x is None else x for x in letters)
-        grams = {text[i : i + 3] for i in range(len(text) - 2)}
-        alternatives.add(frozenset(g for g in grams if "\0" not in g and g.isascii()))
+        grams = [g for g in (text[i : i + 3] for i in range(len(text) - 2)) if "\0" not in g and g.isascii()]
+        alternatives.add(frozenset((grams[0], grams[-1])) if grams else frozenset())
     # an alternative that asks for more than another adds nothing
     least = [a for a in alternatives if not any(b < a for b in alternatives)]
     return None if not all(least) else sorted(sorted(a) for a in least)
 
 
 def build_index(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """Postings (trigram, doc_id) of the trigrams in the rules' queries, without a shuffle."""
+    """block, trigram and docs: the posting lists of the trigrams in the rules' queries. Blocks are by hash of doc_id and as
+    many as the postings ask for; only postings are shuffled."""
     grams = sorted({g for r in rules for alt in trigram_query(r.pattern) or [] for g in alt})
     low = F.lower("text")
     held = F.filter(F.array(*[F.when(F.contains("low", F.lit(g)), F.lit(g)) for g in grams]), lambda g: g.isNotNull())
-    return docs.where("doc_id is not null and text is not null").select("doc_id", low.alias("low")).select("doc_id", F.explode(held).alias("trigram"))
+    found = docs.where("doc_id is not null and text is not null").select("doc_id", low.alias("low")).select("doc_id", F.explode(held).alias("trigram"))
+    found = cut(found, "secrets-found")
+    blocks = found.count() // BLOCK_POSTINGS + 1
+    return found.groupBy(F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).alias("block"), "trigram").agg(F.collect_set("doc_id").alias("docs"))
 
 
 def candidates(index: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """doc_id and the rules that its text may match: for some alternative of the query, a posting of every trigram."""
-    def may(rule: Rule) -> Column:
-        whole = [F.size(F.array_intersect("grams", F.array(*map(F.lit, alt)))) == len(alt) for alt in trigram_query(rule.pattern) or []]
-        return F.when(F.exists(F.array(*whole), lambda x: x), F.lit(rule.name))
-
-    # a document has at most as many postings as the queries have trigrams
-    held = index.groupBy("doc_id").agg(F.collect_set("trigram").alias("grams"))
-    rules_met = F.filter(F.array(*[may(r) for r in rules if trigram_query(r.pattern)]), lambda r: r.isNotNull())
-    return held.select("doc_id", rules_met.alias("rules")).where(F.size("rules") > 0)
+    """doc_id and the rules that its text may match: of some alternative of the query all posting lists hold it."""
+    none = F.array().cast(index.schema["docs"].dataType)
+    posting = lambda g: F.coalesce(F.try_element_at("lists", F.lit(g)), none)
+
+    def met(rule: Rule) -> Column:
+        name = F.lit(rule.name)
+        alternatives = [reduce(F.array_intersect, map(posting, alt)) for alt in trigram_query(rule.pattern) or []]
+        return F.transform(F.array_distinct(F.flatten(F.array(*alternatives))), lambda d: F.struct(d.alias("doc_id"), name.alias("rule")))
+
+    lists = index.groupBy("block").agg(F.map_from_entries(F.collect_list(F.struct("trigram", "docs"))).alias("lists"))
+    found = lists.select(F.explode(F.flatten(F.array(*[met(r) for r in rules if trigram_query(r.pattern)]))).alias("c")).select("c.*")
+    return found.groupBy("doc_id").agg(F.collect_set("rule").alias("rules"))
 
 
 def _spans(rule: Rule, text: Column) -> Column:
