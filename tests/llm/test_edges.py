@@ -390,9 +390,10 @@ def test_language_model_counts_every_context():
     context = np.repeat(np.arange(200_000), 2)
     symbol, taught = rng.integers(0, 9, 400_000), rng.integers(0, 3, 400_000).astype(np.int32)
     length = code.length[symbol]
-    seen = np.repeat(taught.astype(np.float32), length)
-    ones = seen * np.concatenate([code.bit[s, :n] for s, n in zip(symbol, length)])
-    lm.path_counts(code, context, symbol, taught, ones, seen, np.cumsum(length) - length)
+    counts = np.repeat(taught.astype(np.int64), length)
+    counts += (counts * np.concatenate([code.bit[s, :n] for s, n in zip(symbol, length)])) << lm.ALL
+    lm.path_counts(code, context, symbol, taught, counts, np.cumsum(length) - length)
+    ones, seen = counts >> lm.ALL, counts & ((1 << lm.ALL) - 1)
     want = Counter()
     bits = [(c, code.node[s, d], code.bit[s, d], t) for c, s, t in zip(context[:20_000].tolist(), symbol, taught.tolist()) for d in range(code.length[s])]
     for c, n, b, t in bits:
