@@ -52,37 +52,65 @@ def by_id(df):
     return {r.doc_id: r for r in df.collect()}
 
 
-def test_substrings(spark, docs, none):
-    data = [(i, (t or "").encode()) for i, t, *_ in ROWS]
-    seen = Counter(t[k : k + 200] for _, t in data for k in range(len(t) - 199))
-    got = by_id(substrings.dedup(docs))
-    for i, t in data:
+def brute_removals(data, length=200):
+    """n_bytes, n_removed, n_spans and the hash of what is left, by a table of all windows."""
+    seen = Counter(t[k : k + length] for t in data for k in range(len(t) - length + 1))
+    for t in data:
         gone = bytearray(len(t))
-        for k in range(len(t) - 199):
-            if seen[t[k : k + 200]] > 1:
-                gone[k : k + 200] = b"\1" * 200
+        for k in range(len(t) - length + 1):
+            if seen[t[k : k + length]] > 1:
+                gone[k : k + length] = b"\1" * length
         kept = bytes(b for b, g in zip(t, gone) if not g)
-        assert (got[i].n_bytes, got[i].n_removed, got[i].kept_sha256) == (len(t), sum(gone), hashlib.sha256(kept).hexdigest()), i
+        yield len(t), sum(gone), len(re.findall(b"\1+", bytes(gone))), hashlib.sha256(kept).hexdigest()
+
+
+def removed(df):
+    return {i: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for i, r in by_id(substrings.dedup(df)).items()}
+
+
+def test_substrings(spark, docs, none):
+    want = dict(zip((i for i, *_ in ROWS), brute_removals([(t or "").encode() for _, t, *_ in ROWS])))
+    assert removed(docs) == want and any(n > 1 for _, _, n, _ in want.values())
     assert substrings.dedup(none).count() == 0
 
 
-def test_large_seed_groups_are_counted_by_windows(spark, monkeypatch):
+def test_large_seeds_are_taken_apart_by_longer_grams(spark, monkeypatch):
+    """A common passage in different surroundings, a run of one byte, copies: at every size of the groups, dealt out or not."""
     rng = random.Random(1)
-    common = words(rng, 60)[:230]
-    rows = [(i, words(rng, 40) + common + words(rng, 40), None, None, None, None, None) for i in range(40)] + [(99, words(rng, 100), None, None, None, None, None)]
-    df = spark.createDataFrame(rows, DOCS)
-    want = {i: (r.n_removed, r.n_spans) for i, r in by_id(substrings.dedup(df)).items()}
-    monkeypatch.setattr(substrings, "GROUP_BYTES", 100)
-    assert {i: (r.n_removed, r.n_spans) for i, r in by_id(substrings.dedup(df)).items()} == want
-    assert want[99] == (0, 0) and all(n >= 230 for i, (n, _) in want.items() if i != 99)
+    common_ = words(rng, 60)[:230]
+    texts = [words(rng, 40) + common_ + words(rng, 40) for _ in range(30)] + [words(rng, 100)] + [words(rng, 30) + "=" * rng.randint(190, 500) + words(rng, 30) for _ in range(8)] + [words(rng, 90)] * 6
+    df = spark.createDataFrame([(i, t, None, None, None, None, None) for i, t in enumerate(texts)], DOCS)
+    want = dict(enumerate(brute_removals([t.encode() for t in texts])))
+    assert want[30][1:3] == (0, 0) and all(want[i][1] >= 230 for i in range(30))
+    for most in (100, 3000, 8 << 20):
+        monkeypatch.setattr(substrings, "GROUP_BYTES", most)
+        monkeypatch.setattr(common, "HOT_ROWS", 2 if most == 3000 else 1000)
+        assert removed(df) == want
+
+
+def test_segments_of_equal_windows_have_equal_seeds():
+    np.seterr(over="ignore")
+    rng = random.Random(2)
+    t = bytes(rng.choice(b"abc") for _ in range(700))
+    for gram in substrings.GRAMS:
+        seeds = lambda data: [(s, data[i:j]) for s, i, j in zip(*(x.tolist() for x in substrings.segments(data, 200, gram)))]
+        whole = seeds(t)
+        windows = {}
+        for s, piece in whole:
+            for k in range(len(piece) - 199):
+                windows[piece[k : k + 200]] = s
+        assert set(windows) == {t[k : k + 200] for k in range(501)}
+        assert all(seeds(w) == [(s, w)] for w, s in list(windows.items())[::7])
 
 
 def test_run_length_index():
     np.seterr(over="ignore")
-    rng = random.Random(3)
-    for _ in range(20):
-        depth = rng.choice([7, 9, 20, 40])
-        texts = list(dict.fromkeys(bytes(rng.choice(b"ab") for _ in range(rng.randint(depth, depth * 4))) for _ in range(8)))
+    rng, lost = random.Random(3), []
+    for turn in range(30):
+        depth = rng.choice([1, 7, 9, 20, 40])
+        texts = list(dict.fromkeys(bytes(rng.choice(b"ab" if turn % 2 else b"\0a\xff") for _ in range(rng.randint(depth, depth * 4 + 9))) for _ in range(8)))
+        if turn % 3 == 0:  # a repetitive collection: few runs
+            texts = list(dict.fromkeys([b"abcabd" * k for k in range(7, 15)] + [t[:30] for t in texts]))
         weights = [rng.choice([1, 2]) for _ in texts]
         count = Counter()
         for t, w in zip(texts, weights):
@@ -91,6 +119,22 @@ def test_run_length_index():
         for t, ranges in zip(texts, substrings.repeats_in(texts, weights, depth)):
             found = {k for a, b in ranges for k in range(a, b)}
             assert found == {i for i in range(len(t) - depth + 1) if count[t[i : i + depth]] > 1}
+        # the index holds runs only, and its samples are the places that sorted suffixes have there
+        index = substrings.RunLengthIndex.build(texts, depth)
+        flat = [(t[i:], k, i) for k, t in enumerate(texts) for i in range(len(t) + 1)]
+        start = np.cumsum([0] + [len(t) + 1 for t in texts])
+        rows = sorted(flat, key=lambda x: ([b + 1 for b in x[0]] + [0], x[1]))
+        before = [texts[k][i - 1] + 1 if i else 0 for _, k, i in rows]
+        heads = [r for r in range(len(rows)) if r == 0 or before[r] != before[r - 1]]
+        assert list(index.heads) == heads and list(index.chars) == [before[r] for r in heads]
+        place = [int(start[k]) + i for _, k, i in rows]
+        assert list(index.at_head) == [place[r] for r in heads] and list(index.at_last) == [place[r - 1] for r in heads[1:]] + [place[-1]]
+        assert max(len(v) for k, v in vars(index).items() if k in ("heads", "chars", "before", "at_head", "at_last", "above", "below")) == len(heads)
+        # the samples decide: with wrong ones matches are lost
+        right = sum(int(f.sum()) for f in index.repeated(np.arange(len(texts))))
+        index.at_head[:] = index.at_last[:] = index.ends[0]
+        lost.append(right - sum(int(f.sum()) for f in index.repeated(np.arange(len(texts)))))
+    assert min(lost) >= 0 and sum(n > 0 for n in lost) > 15
 
 
 def test_language_model(spark, docs, none):

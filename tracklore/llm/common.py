@@ -96,7 +96,7 @@ def scratch(spark: SparkSession):
 HOT_SHARE, HOT_ROWS = 4096, 1000
 
 
-def join_salted(many: DataFrame, one: DataFrame, keys: list[str], counts: DataFrame, spread: Column) -> DataFrame:
+def join_salted(many: DataFrame, one: DataFrame, keys: list[str], counts: DataFrame, spread: Column, how: str = "inner") -> DataFrame:
     """many joined to one (keys: unique there), where a few keys may hold most rows of many. counts: keys and n, the rows
     of many. Rows of hot keys are dealt out by spread, and one's rows of these keys are repeated for each share; there are
     at most HOT_SHARE hot keys, which are broadcast."""
@@ -105,7 +105,7 @@ def join_salted(many: DataFrame, one: DataFrame, keys: list[str], counts: DataFr
     hot = F.broadcast(counts.where(F.col("n") > limit).select(*keys, F.ceil(F.col("n") / limit).cast("int").alias("__shares")))
     left = many.join(hot, keys, "left").withColumn("__salt", F.coalesce(F.pmod(spread, F.col("__shares")), F.lit(0))).drop("__shares")
     right = one.join(hot, keys, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), F.coalesce("__shares", F.lit(1)) - 1))).drop("__shares")
-    return left.join(right, [*keys, "__salt"]).drop("__salt")
+    return left.join(right, [*keys, "__salt"], how).drop("__salt")
 
 
 def drop_dir(spark: SparkSession, uri: str) -> None:

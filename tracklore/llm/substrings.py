@@ -3,17 +3,20 @@
 Every string of LENGTH bytes that starts at two places, in one text or two, is a repeat; each byte that a repeat covers
 is removed. Texts are compared as UTF-8, matches never cross texts.
 
-1. Each LENGTH-byte window of a text picks the smallest hash among its KGRAM-byte grams (leftmost where equal): its seed.
-   Equal windows pick equal seeds, so all that can match meets at a seed. Consecutive windows that pick the same gram make
-   one segment. Texts give (seed, segment digest, place).
-2. Seeds that occur once end here. Segments that are alike as a whole are counted; where all segments of a seed are
-   alike they are repeats in whole and need no comparison.
+1. Each LENGTH-byte window of a text picks the smallest hash among its grams (leftmost where equal): its seed. Equal
+   windows pick equal seeds, so all that can match meets at a seed. Consecutive windows that pick the same gram make one
+   segment. Texts give (seed, segment digest, place).
+2. Seeds that occur once end here. Segments that are alike as a whole are counted: all their windows are repeats.
 3. The distinct segments of the remaining seeds are dealt out by seed and put into indexes of bounded size: the
-   Burrows-Wheeler transform of their concatenation, stored by its runs with suffix-array samples at the runs' ends.
-   Segments are streamed through the index by LF steps; the matching statistic of a place is the length of the longest
-   match there and its row, whose neighbours that share LENGTH bytes give the number of occurrences.
-   A seed with more than GROUP_BYTES of distinct segments is not gathered: its windows are counted by a 128-bit digest.
+   Burrows-Wheeler transform of their concatenation, stored by its runs, with the suffixes' places sampled at the runs'
+   first and last rows. Segments are streamed backwards through the index by LF steps on the runs. The matching statistic
+   of a place, the longest match with any other place, goes along: it grows by one while the neighbouring row is in the
+   same run, and at a run's border the place sampled at the next run of that byte says what to compare with. Places whose
+   statistic reaches LENGTH are repeats.
+   A seed with more than GROUP_BYTES of distinct segments is not gathered: its segments are taken apart by seeds of longer
+   grams, GRAMS, and go through the same steps; grams of LENGTH bytes are whole windows.
 4. The repeats' places come back to the texts by a join on the text's digest and are cut out.
+Joins whose keys may hold a large share of the rows (a common passage, a text with many copies) deal those keys out.
 
 Defined results: null and empty texts have no bytes; texts shorter than LENGTH have no window; very long texts are handled
 whole; repeated rows are repeats of each other; an empty table gives an empty result; texts are known by a 64-bit hash and
@@ -32,9 +35,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bound_batches, cut, scratch, text_bytes
+from .common import bound_batches, cut, join_salted, scratch, text_bytes
 
-LENGTH, KGRAM = 200, 32
+LENGTH, GRAMS = 200, (32, 64, 128, 200)
 #: An index takes segments up to so many bytes; places then have 21 bits, so three ranks fit into one key.
 INDEX_BYTES = 1_800_000
 GROUP_BYTES = 8 << 20
@@ -46,14 +49,21 @@ def text_key(data: bytes) -> int:
     return xxhash.xxh3_64_intdigest(data) - (1 << 63)
 
 
-def segments(data: bytes, length: int = LENGTH, gram: int = KGRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def segments(data: bytes, length: int = LENGTH, gram: int = GRAMS[0]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """seed, start and end (of its bytes) of each segment of a text."""
     if len(data) < length:
         z = np.zeros(0, np.int64)
         return z, z, z
-    h, s = _GRAM[np.frombuffer(data, np.uint8)], 1
-    while s < gram:
-        h = h[:-s] * np.uint64(pow(_STEP, s, 1 << 64)) + h[s:]
+    # hashes of 1, 2, 4 bytes and so on; those that add up to a gram are put together
+    power, s, h, done = _GRAM[np.frombuffer(data, np.uint8)], 1, None, 0
+    while True:
+        if gram & s:
+            h = power if h is None else h[: len(power) - done] * np.uint64(pow(_STEP, s, 1 << 64)) + power[done : done + len(h)]
+            done += s
+            h = h[: len(data) - done + 1]
+        if s * 2 > gram:
+            break
+        power = power[:-s] * np.uint64(pow(_STEP, s, 1 << 64)) + power[s:]
         s *= 2
     h = h * np.uint64(0xBF58476D1CE4E5B9)
     h ^= h >> np.uint64(32)
@@ -73,25 +83,27 @@ def segments(data: bytes, length: int = LENGTH, gram: int = KGRAM) -> tuple[np.n
 @dataclass
 class RunLengthIndex:
     """Index of texts. heads, chars: first row and byte + 1 of each run of the transform (0: a text's end); before: how
-    often a run's byte stands in earlier runs; first: rows of suffixes that begin with a smaller byte; sampled: place of
-    the suffix at each run's last row; groups: first rows of the groups of suffixes that share `depth` bytes."""
+    often a run's byte stands in earlier runs; first: rows of suffixes that begin with a smaller byte; at_head, at_last:
+    places of the suffixes at each run's first and last row; above, below: nearest runs of the same byte, -1 if none;
+    eight: eight bytes from each place on; ends: places of the texts' ends."""
 
     heads: np.ndarray
     chars: np.ndarray
     before: np.ndarray
     first: np.ndarray
-    sampled: np.ndarray
-    groups: np.ndarray
+    at_head: np.ndarray
+    at_last: np.ndarray
+    above: np.ndarray
+    below: np.ndarray
+    eight: np.ndarray
     ends: np.ndarray
     rows: int
     depth: int
-    #: Ranks of the runs' first rows, made when the index is first read.
-    run_of: np.ndarray | None = None
-    shift: np.ndarray | None = None
 
     @classmethod
     def build(cls, texts: list[bytes], depth: int = LENGTH) -> RunLengthIndex:
-        """Suffixes are ordered by prefix doubling; those alike up to their texts' ends by the texts' order. depth: 7 at least."""
+        """Suffixes are ordered by prefix doubling; those alike up to their texts' ends by the texts' order. depth: how far
+        matches are followed."""
         sizes = np.array([len(t) + 1 for t in texts])
         stop = np.cumsum(sizes)
         # 32 bits where they do: an index of GROUP_BYTES is the most that a task holds
@@ -110,7 +122,7 @@ class RunLengthIndex:
             p = places + k
             ok = p < limit
             key[ok] |= flat[p[ok]]
-        reach, longest, at_depth = 7, int(sizes.max()), None
+        reach, longest = 7, int(sizes.max())
 
         def ranked(key):
             order = np.argsort(key)
@@ -133,23 +145,13 @@ class RunLengthIndex:
         times = 3 if 3 * n.bit_length() <= 63 else 2
         width = n.bit_length() if times == 3 else 31
         while reach < longest:
-            if at_depth is None and times * reach >= depth:
-                # classes of `depth` bytes: of their first, middle and last `reach` bytes
-                at_depth = [rank, *(shifted(rank, k) for k in sorted({min(reach, depth - reach), depth - reach}))]
             key = rank.astype(np.int64)
             for k in range(1, times):
                 key = (key << width) | shifted(rank, k * reach)
             rank = ranked(key)
             reach *= times
-        if at_depth is None:
-            at_depth = [rank]
         # suffixes alike up to their texts' ends, by place
         order = np.sort((rank.astype(np.int64) << 31) | places) & ((1 << 31) - 1)
-        border = np.ones(n, bool)
-        border[1:] = False
-        for x in at_depth:
-            x = x[order]
-            border[1:] |= x[1:] != x[:-1]
         # the first byte before each suffix
         begin = np.concatenate([[0], stop[:-1]])
         last = flat[np.maximum(order - 1, 0)].astype(np.int64)
@@ -166,52 +168,73 @@ class RunLengthIndex:
         before[by] = total - before_char[chars[by]]
         # the ends of texts are the first rows, in the texts' order
         first = np.concatenate([[0], np.cumsum(np.bincount(flat, minlength=257))[:-1]])
-        sampled = order[np.concatenate([heads[1:], [n]]) - 1]
-        return cls(heads, chars, before, first, sampled, np.flatnonzero(border), stop - 1, n, depth)
+        above, below = np.full(len(heads), -1), np.full(len(heads), -1)
+        same = chars[by[1:]] == chars[by[:-1]]
+        above[by[1:][same]], below[by[:-1][same]] = by[:-1][same], by[1:][same]
+        # the first byte lowest
+        eight = np.zeros(n + 8, np.uint64)
+        eight[:n] = np.maximum(flat, 1) - 1
+        for k in (1, 2, 4):
+            eight[: n + 8 - k] |= eight[k:] << np.uint64(8 * k)
+        return cls(heads, chars, before, first, order[heads], order[np.concatenate([heads[1:], [n]]) - 1], above, below, eight, stop - 1, n, depth)
 
     def step(self, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """LF: the byte + 1 before each row's suffix, and the row of the suffix one byte longer."""
-        if self.run_of is None:
-            starts = np.zeros(self.rows, np.int32)
-            starts[self.heads[1:]] = 1
-            self.run_of = np.cumsum(starts, dtype=np.int32)
-            self.shift = self.first[self.chars] + self.before - self.heads
-        run = self.run_of[row]
-        return self.chars[run], self.shift[run] + row
-
-    def repeated(self, weights: np.ndarray, owners_end: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
-        """For each text, whether the `depth` bytes at each of its places occur at least twice, an occurrence in text k
-        counting weights[k] times. All texts are streamed at once, from their ends; owners_end: their last rows."""
-        order = np.argsort(-sizes, kind="stable")
-        row, left = owners_end[order], sizes[order]
-        steps = []
-        for k in range(1, int(sizes.max(initial=0)) + 1):
-            live = int(np.searchsorted(-left, -k, "right"))
-            _, row = self.step(row[:live])
-            if k >= self.depth:
-                steps.append(row)
+        """LF: the run of each row, and the row of the suffix one byte longer."""
+        run = np.searchsorted(self.heads, row, "right") - 1
+        return run, self.first[self.chars[run]] + self.before[run] + row - self.heads[run]
+
+    def common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """How many bytes from places a and b on are alike, up to depth and to the texts' ends."""
+        most = np.minimum(self.ends[np.searchsorted(self.ends, a)] - a, self.ends[np.searchsorted(self.ends, b)] - b)
+        most = np.minimum(most, self.depth)
+        same, open_ = np.zeros(len(a), np.int64), np.flatnonzero(most > 0)
+        while len(open_):
+            d = self.eight[a[open_] + same[open_]] ^ self.eight[b[open_] + same[open_]]
+            lowest = np.frexp((d & (~d + np.uint64(1))).astype(np.float64))[1] - 1
+            same[open_] += np.where(d == 0, 8, lowest >> 3)
+            open_ = open_[(d == 0) & (same[open_] < most[open_])]
+        return np.minimum(same, most)
+
+    def repeated(self, which: np.ndarray) -> list[np.ndarray]:
+        """For each of the texts, whether the matching statistic of each of its places reaches depth: whether the bytes
+        there stand at any other place as well. All texts are streamed at once, from their ends."""
+        sizes = np.diff(self.ends, prepend=-1)[which] - 1
+        by_size = np.argsort(-sizes, kind="stable")
+        left, place = sizes[by_size], self.ends[which][by_size]
+        row = which[by_size].copy()
+        # matches with the suffixes of the rows above and below, a text's end with none
+        up, down = np.zeros(len(row), np.int64), np.zeros(len(row), np.int64)
         n = np.maximum(sizes - self.depth + 1, 0)
         base = np.concatenate([[0], np.cumsum(n)])
         found = np.zeros(int(base[-1]), bool)
-        if steps:
-            lives = [len(r) for r in steps]
-            group = np.searchsorted(self.groups, np.concatenate(steps), "right") - 1
-            who = np.concatenate([order[:m] for m in lives])
-            weight = np.bincount(group, weights[who], len(self.groups))
-            place = base[who] + n[who] - 1 - np.repeat(np.arange(len(steps)), lives)
-            found[place] = weight[group] > 1
+        to = base[by_size] + left  # one past the place in found of a text's next byte
+        for k in range(1, int(sizes.max(initial=0)) + 1):
+            live = int(np.searchsorted(-left, -k, "right"))
+            row, up, down, place = row[:live], up[:live], down[:live], place[:live]
+            run, longer = self.step(row)
+            for match, border, near, sample in ((up, row == self.heads[run], self.above, self.at_last), (down, row == np.append(self.heads[1:], self.rows)[run] - 1, self.below, self.at_head)):
+                match += 1
+                at = np.flatnonzero(border)
+                other = near[run[at]]
+                match[at] = 0
+                at, other = at[other >= 0], other[other >= 0]
+                match[at] = 1 + self.common(place[at], sample[other])
+            place = place - 1
+            if k >= self.depth:
+                found[to[:live] - k] = np.maximum(up, down) >= self.depth
+            row = longer
         return np.split(found, base[1:-1])
 
 
 def repeats_in(texts: list[bytes], weights: list[int], depth: int = LENGTH) -> list[list[tuple[int, int]]]:
-    """Of each text the ranges (first, last + 1) of places whose `depth` bytes occur twice or more in all texts."""
-    index = RunLengthIndex.build(texts, depth)
-    # the rows of the texts' ends are the first ones, in the texts' order
-    found = index.repeated(np.array(weights), np.arange(len(texts)), np.array([len(t) for t in texts]))
-    out = []
-    for f in found:
-        edge = np.flatnonzero(np.diff(np.concatenate([[0], f.astype(np.int8), [0]])))
-        out.append(list(zip(edge[::2].tolist(), edge[1::2].tolist())))
+    """Of each of the different texts the ranges (first, last + 1) of places whose `depth` bytes occur twice or more in all
+    texts. A text that occurs more than once is one such range."""
+    out = [[(0, len(t) - depth + 1)] if w > 1 and len(t) >= depth else [] for t, w in zip(texts, weights)]
+    once = np.flatnonzero(np.array(weights) == 1)
+    if len(once):
+        for k, f in zip(once.tolist(), RunLengthIndex.build(texts, depth).repeated(once)):
+            edge = np.flatnonzero(np.diff(np.concatenate([[0], f.astype(np.int8), [0]])))
+            out[k] = list(zip(edge[::2].tolist(), edge[1::2].tolist()))
     return out
 
 
@@ -242,12 +265,13 @@ def places(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "seed long, segment long, text long, size int, start int, length int")
 
 
-def _fetched(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """seed, weight and bytes of the wanted(seed, segment, weight, text, size, start, length), each from one text."""
+def _fetched(docs: DataFrame, wanted: DataFrame, copies: DataFrame) -> DataFrame:
+    """seed, segment, weight and bytes of the wanted(seed, segment, weight, text, size, start, length), each from one text
+    or a few copies of it. copies: text, size and n of texts that occur more than once."""
     by_text = wanted.groupBy("text", "size").agg(F.collect_list(F.struct("seed", "segment", "weight", "start", "length")).alias("list"))
     texts = docs.select(F.coalesce("text", F.lit("")).cast("binary").alias("data"))
-    keyed = texts.mapInArrow(_with_key, "data binary, text long, size int")
-    met = keyed.join(by_text, ["text", "size"])
+    keyed = texts.mapInArrow(_with_key, "data binary, text long, size int, turn int")
+    met = join_salted(keyed, by_text, ["text", "size"], copies, F.col("turn"))
 
     def run(batches):
         done: set[tuple[int, int]] = set()
@@ -262,10 +286,15 @@ def _fetched(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return met.select("data", "list", "text", "size").mapInArrow(run, "seed long, segment long, weight long, data binary")
 
 
+def _turns(n: int) -> pa.Array:
+    """Numbers that deal copies out: rows in turn."""
+    return pa.array(np.arange(n, dtype=np.int32))
+
+
 def _with_key(batches):
     for b in batches:
         data = [x or b"" for x in b.column(0).to_pylist()]
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([text_key(x) for x in data], pa.int64()), pa.array([len(x) for x in data], pa.int32())], names=["data", "text", "size"])
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([text_key(x) for x in data], pa.int64()), pa.array([len(x) for x in data], pa.int32()), _turns(len(data))], names=["data", "text", "size", "turn"])
 
 
 def _indexed(batches):
@@ -294,55 +323,80 @@ def _indexed(batches):
         yield answer()
 
 
-def _windows(batches):
-    """128-bit digests of all windows of segments, as two numbers."""
-    for b in batches:
-        for seed, segment, weight, data in zip(*(c.to_pylist() for c in b.columns)):
-            n = len(data) - LENGTH + 1
-            raw = np.frombuffer(b"".join(hashlib.md5(data[i : i + LENGTH]).digest() for i in range(n)), np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(raw[:, 0].copy()), pa.array(raw[:, 1].copy()), pa.array(np.full(n, seed)), pa.array(np.full(n, segment)), pa.array(np.full(n, weight)), pa.array(np.arange(n, dtype=np.int32))],
-                names=["x", "y", "seed", "segment", "weight", "first"],
-            )
-
+def _finer(gram: int):
+    """A function of segments' bytes (seed, segment, data) that gives their segments by longer grams: offset and length in
+    them, the finer seed and the finer segment's digest."""
 
-def removals(docs: DataFrame) -> DataFrame:
-    """text hash and size with spans (start, end) of the bytes to remove, of the texts that have any."""
-    found = cut(places(docs), "substrings-places")
-    often = found.groupBy("seed").agg(F.count("*").alias("n")).where("n > 1").select("seed")
-    met = cut(found.join(often, "seed"), "substrings-met")
+    def run(batches):
+        np.seterr(over="ignore")
+        for b in batches:
+            for seed, segment, data in zip(*(c.to_pylist() for c in b.columns)):
+                fine, start, end = segments(data, LENGTH, gram)
+                digests = np.array([xxhash.xxh3_64_intdigest(data[i:j]) for i, j in zip(start.tolist(), end.tolist())], np.uint64).view(np.int64)
+                n = len(start)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(n, seed, np.int64)), pa.array(np.full(n, segment, np.int64)), pa.array(fine), pa.array(digests), pa.array(start.astype(np.int32)), pa.array((end - start).astype(np.int32))],
+                    names=["seed", "segment", "fine", "part", "offset", "part_length"],
+                )
+
+    return run
+
+
+def _level(docs: DataFrame, found: DataFrame, copies: DataFrame, gram: int, finer: int | None) -> tuple[DataFrame, DataFrame | None]:
+    """Of places of segments by one length of gram the ranges of repeats (text, size, start, length and ranges), and the
+    places of the finer segments of seeds that are too large."""
+    often = cut(found.groupBy("seed").agg(F.count("*").alias("n")).where("n > 1"), "substrings-often")
+    met = cut(join_salted(found, often.select("seed"), ["seed"], often, F.xxhash64("segment", "text", "start")), "substrings-met")
     kinds = cut(met.groupBy("seed", "segment").agg(F.count("*").alias("weight"), F.min(F.struct("text", "size", "start", "length")).alias("one")), "substrings-segments")
-    several = kinds.groupBy("seed").agg(F.count("*").alias("kinds"), F.sum("one.length").alias("bytes")).where("kinds > 1")
-    mixed = kinds.join(several, "seed").select("seed", "segment", "weight", "one.*", (F.col("bytes") > GROUP_BYTES).alias("large"))
-    fetched = _fetched(docs, cut(mixed, "substrings-mixed"))
-    normal = mixed.where("not large").select("seed").distinct()
-    large_seeds = [r.seed for r in mixed.where("large").select("seed").distinct().limit(1).collect()]
-    data = fetched if not large_seeds else cut(fetched, "substrings-data")
-    usual = data if not large_seeds else data.join(normal, "seed", "left_semi")
+    several = cut(kinds.groupBy("seed").agg(F.count("*").alias("kinds"), F.sum("one.length").alias("bytes")).where("kinds > 1"), "substrings-several")
+    large = F.col("bytes") > GROUP_BYTES if finer else F.lit(False)
+    mixed = join_salted(kinds, several, ["seed"], several.select("seed", F.col("kinds").alias("n")), F.col("segment")).select("seed", "segment", "weight", "one.*", large.alias("large"))
+    mixed = cut(mixed, "substrings-mixed")
+    usual = _fetched(docs, mixed.where("not large"), copies)
     ranges = usual.repartition("seed").sortWithinPartitions("seed", "segment").mapInArrow(_indexed, T.StructType([T.StructField("seed", T.LongType()), T.StructField("segment", T.LongType()), T.StructField("ranges", _RANGES)]))
-    if large_seeds:
-        rest = data.join(normal, "seed", "left_anti").dropDuplicates(["seed", "segment"])
-        windows = cut(rest.mapInArrow(_windows, "x long, y long, seed long, segment long, weight long, first int"), "substrings-windows")
-        twice = windows.groupBy("seed", "x", "y").agg(F.sum("weight").alias("n")).where("n > 1").select("seed", "x", "y")
-        one = windows.join(twice, ["seed", "x", "y"]).groupBy("seed", "segment").agg(F.transform(F.array_sort(F.collect_list("first")), lambda i: F.struct(i.alias("first"), (i + 1).cast("int").alias("last"))).alias("ranges"))
-        ranges = ranges.unionByName(one)
-    ranges = cut(ranges.where(F.size("ranges") > 0), "substrings-ranges")
-    # segments that all of their seed's places share are repeats from end to end
-    alone = kinds.join(several.select("seed"), "seed", "left_anti").where("weight > 1").select("seed", "segment", F.array(F.struct(F.lit(0).cast("int").alias("first"), (F.col("one.length") - LENGTH + 1).cast("int").alias("last"))).alias("ranges"))
-    spans = met.select("seed", "segment", "text", "size", "start").distinct().join(alone.unionByName(ranges), ["seed", "segment"])
+    # segments that occur twice or more are repeats from end to end; those of seeds without others need no index
+    whole = F.array(F.struct(F.lit(0).cast("int").alias("first"), (F.col("one.length") - LENGTH + 1).cast("int").alias("last")))
+    alone = kinds.where("weight > 1").join(several.select("seed"), "seed", "left_anti").select("seed", "segment", whole.alias("ranges"))
+    ranges = cut(ranges.where(F.size("ranges") > 0).unionByName(alone), "substrings-ranges")
+    of_segment = kinds.select("seed", "segment", F.col("weight").alias("n"))
+    places_of = met.select("seed", "segment", "text", "size", "start").distinct()
+    spans = join_salted(places_of, ranges, ["seed", "segment"], of_segment, F.xxhash64("text", "start")).select("text", "size", "start", "ranges")
+    if not finer or not mixed.where("large").limit(1).count():
+        return spans, None
+    bytes_of = _fetched(docs, mixed.where("large"), copies).dropDuplicates(["seed", "segment"]).select("seed", "segment", "data")
+    parts = cut(bytes_of.mapInArrow(_finer(finer), "seed long, segment long, fine long, part long, offset int, part_length int"), "substrings-finer")
+    # a segment of LENGTH-byte windows has few parts, so they go with it as one row
+    lists = parts.groupBy("seed", "segment").agg(F.collect_list(F.struct("fine", "part", "offset", "part_length")).alias("parts"))
+    again = join_salted(met, lists, ["seed", "segment"], of_segment, F.xxhash64("text", "start")).select("text", "size", "start", F.explode("parts").alias("p"))
+    return spans, cut(again.select(F.col("p.fine").alias("seed"), F.col("p.part").alias("segment"), "text", "size", (F.col("start") + F.col("p.offset")).alias("start"), F.col("p.part_length").alias("length")), "substrings-places")
+
+
+def removals(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """text hash and size with spans (start, end) of the bytes to remove, of the texts that have any; and the texts that
+    occur more than once (text, size, n), of those that have a window."""
+    found = cut(places(docs), "substrings-places")
+    # the first segment of every text begins at 0
+    copies = cut(found.where("start = 0").groupBy("text", "size").agg(F.count("*").alias("n")).where("n > 1"), "substrings-copies")
+    spans: DataFrame | None = None
+    for gram, finer in zip(GRAMS, [*GRAMS[1:], None]):
+        here, found = _level(docs, found, copies, gram, finer)
+        spans = here if spans is None else spans.unionByName(here)
+        if found is None:
+            break
     spans = spans.select("text", "size", F.explode(F.transform("ranges", lambda r: F.struct((F.col("start") + r["first"]).alias("start"), (F.col("start") + r["last"] - 1 + LENGTH).alias("end")))).alias("span"))
-    return spans.groupBy("text", "size").agg(F.array_sort(F.collect_list("span")).alias("spans"))
+    return spans.groupBy("text", "size").agg(F.array_sort(F.collect_list("span")).alias("spans")), copies
 
 
 def dedup(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and the spans (start, end) removed, of each row."""
     bound_batches(docs.sparkSession)
     with scratch(docs.sparkSession) as keep:
-        gone = keep(cut(removals(docs), "substrings-removals"))
+        gone, copies = removals(docs)
+        gone, copies = keep(cut(gone, "substrings-removals")), keep(copies)
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("data"))
     id_kind = docs.schema["doc_id"]
-    keyed = rows.mapInArrow(_row_keys, T.StructType([id_kind, T.StructField("data", T.BinaryType()), T.StructField("text", T.LongType()), T.StructField("size", T.IntegerType())]))
-    met = keyed.join(gone, ["text", "size"], "left").select("doc_id", "data", "spans")
+    keyed = rows.mapInArrow(_row_keys, T.StructType([id_kind, T.StructField("data", T.BinaryType()), T.StructField("text", T.LongType()), T.StructField("size", T.IntegerType()), T.StructField("turn", T.IntegerType())]))
+    met = join_salted(keyed, gone, ["text", "size"], copies, F.col("turn"), "left").select("doc_id", "data", "spans")
     span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
     def run(batches):
@@ -370,4 +424,4 @@ def dedup(docs: DataFrame) -> DataFrame:
 def _row_keys(batches):
     for b in batches:
         data = b.column(1).to_pylist()
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([text_key(x) for x in data], pa.int64()), pa.array([len(x) for x in data], pa.int32())], names=["doc_id", "data", "text", "size"])
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([text_key(x) for x in data], pa.int64()), pa.array([len(x) for x in data], pa.int32()), _turns(len(data))], names=["doc_id", "data", "text", "size", "turn"])
