@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 from pathlib import Path
@@ -177,6 +178,52 @@ def test_html(spark):
     assert html.extract(df.limit(0)).count() == 0
 
 
+ARTICLE = "<h1>Head of it</h1>" + "<p>" + "A long sentence, with some marks. " * 8 + "</p>"
+
+
+@pytest.mark.parametrize("names", ["content has-sidebar", "post related-posts-enabled", "entry tags", "page-share", "left-rail main", "site no-ads", "comments-off", "sidebar"])
+def test_html_names_are_only_a_prior(names):
+    """A name around the whole article takes nothing away; the same name beside it does."""
+    want = " ".join(re.sub("<[^>]+>", " ", ARTICLE * 4).split())
+    assert html.main_text(f"<body><nav>Home</nav><div class='{names}'>{ARTICLE * 4}</div><footer>x</footer></body>") == want
+    assert html.main_text(f"<body><form id=f><div class='{names}'>{ARTICLE * 4}<div class=ad>Buy this, now.</div></div></form></body>") == want
+    assert html.main_text(f"<body><div>{ARTICLE * 4}</div><div class='{names}'><p>Other things, here.</p></div></body>") == want
+
+
+@pytest.mark.parametrize("page", ["<div>" * 50_000 + "deep text, here.", "<p>x" + "<div><li>y" * 30_000, "<td><p>" + "<td><div>z" * 30_000, "<a><b>" * 50_000 + "w", "<table><tr><td>" * 20_000 + "q"])
+def test_html_deep_pages(page):
+    t = time.time()
+    assert html.main_text(page).replace(" ", "") == re.sub("<[^>]+>| ", "", page)
+    assert time.time() - t < 20
+
+
+def test_html_ratios_against_brute_force():
+    rng = np.random.default_rng(1)
+    for n in (1, 2, 9, 40):
+        of = np.unique(rng.integers(0, max(1, n // 2), n), return_inverse=True)[1]
+        size, marks, prior = rng.integers(1, 90, n).astype(float), rng.integers(0, 9, n).astype(float), rng.choice([1.0, 0.02], n)
+        mean = lambda x, k: sum(v for v, p in zip(x, of) if p == k) / sum(p == k for p in of)
+        fused = []
+        for i in range(n):
+            near = [j for j in range(n) if abs(i - j) <= html.REACH]
+            w = [math.exp(-0.5 * ((i - j) / html.SIGMA) ** 2) * prior[j] for j in near]
+            length, punct = (sum(a * mean(x, of[j]) for a, j in zip(w, near)) / sum(w) for x in (size, marks))
+            fused.append(math.sqrt(length * (1 + punct)))
+        got, score = html.path_scores(of, size, marks, prior, of.max() + 1)
+        assert got == pytest.approx(fused)
+        assert score == pytest.approx([mean([f * p for f, p in zip(fused, prior)], k) for k in range(of.max() + 1)])
+
+
+def test_html_chooses_by_ratios():
+    """No element or name tells: short links go, the text stays, and ties fare alike."""
+    links = "".join(f"<section><div><span>{w}</span></div></section>" for w in ["Home", "News", "About", "Help", "More", "Jobs", "Maps"] * 6)
+    body = "".join("<div><p>" + "A sentence of the text, with marks, and more. " * 6 + "</p></div>" for _ in range(5))
+    got = html.main_text(f"<body>{links}{body}{links}</body>")
+    assert "Home" not in got and "Maps" not in got and got.count("A sentence") == 30
+    same = html.main_text("<body>" + "<div><p>Equal text, here.</p></div>" * 2 + "<section><p>Equal text, here.</p></section></body>")
+    assert same == " ".join(["Equal text, here."] * 3)
+
+
 def brute_components(rows):
     sets = {}
     for i, t, *_ in rows:
@@ -417,6 +464,35 @@ def test_linear_time_identity():
     assert m.raw(idx, val, np.array([0]))[0] == pytest.approx(0.1 + float(m.w[idx] @ val) + pairs, rel=1e-4)
 
 
+def test_quality_against_double_sums(spark, docs, none):
+    """Scores by all pairs of features, the threshold, which counts as good, clashing names and repeated ids."""
+    rng = np.random.default_rng(2)
+    model = quality.FactorisationMachine(0.3, rng.normal(0, 0.3, quality.DIM).astype(np.float32), rng.normal(0, 0.3, (quality.DIM, 3)).astype(np.float32))
+
+    def brute(t):
+        idx, val = quality.features((t or "").encode(), None)
+        z = model.w0 + sum(float(model.w[i] * x) for i, x in zip(idx, val))
+        z += sum(float(model.v[i] @ model.v[j]) * float(x) * float(y) for k, (i, x) in enumerate(zip(idx, val)) for j, y in zip(idx[k + 1 :], val[k + 1 :]))
+        return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
+
+    short = docs.where("n_chars is null and length(coalesce(text, '')) < 600")
+    rows = short.collect()
+    want = {r.doc_id: brute(r.text) for r in rows}
+    got = by_id(quality.score(short, model))
+    assert len(got) == len(want) > 3 and all(got[i].score == pytest.approx(w, abs=1e-5) for i, w in want.items())
+    edge = got[rows[0].doc_id].score
+    at = by_id(quality.score(short, model, edge))
+    assert all(r.predicted == (r.score >= edge) for r in at.values()) and at[rows[0].doc_id].predicted == 1
+    clash = docs.selectExpr("*", "1 as __length", "2 as __LENGTH_", "'x' as label")
+    kept = quality.keep_good(clash, model, edge)
+    assert kept.columns == clash.columns and {r.doc_id for r in kept.collect()} == {i for i, r in by_id(quality.score(docs, model, edge)).items() if r.predicted}
+    assert quality.keep_good(none, model).count() == 0
+    many = docs.unionByName(docs).unionByName(docs)
+    labels = docs.selectExpr("doc_id", "cast(doc_id % 2 as int) as quality").distinct()
+    one, three = quality.train(docs, labels), quality.train(many, labels)
+    assert one.rows == three.rows == labels.where("crc32(cast(cast(doc_id as string) as binary)) % 4 <> 2").count() and (one.w == three.w).all()
+
+
 def test_quality_learns(spark):
     rng = random.Random(0)
     rows = [(i, words(rng, 80) if i % 2 else " | ".join(words(rng, 1) + "!!" for _ in range(60)), None, None, None, None, None) for i in range(400)]

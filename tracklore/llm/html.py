@@ -3,19 +3,25 @@
 A page is read as a row of text nodes, each with its root-to-leaf path of block elements. For each path the text length
 and the punctuation of its nodes are summed and divided by their number; both ratios are written back to the nodes,
 smoothed along the page by a Gaussian window, fused by a geometric mean, averaged over each path again, and paths below
-a share of the page's mean are left out. Paths through elements that never hold an article (navigation, forms, scripts,
-and containers named so) start at zero; where a page has article or main elements, so do paths outside of the one with
-the largest fused mass.
+a share of the page's mean are left out. Paths through elements that never hold an article (navigation, footers,
+scripts) start at zero; where a page has article or main elements, so do paths outside of the one with the largest fused
+mass. Names of containers (class, id, role) that are usual for other parts, and forms, are a prior only: each weighs the
+paths below it by PRIOR against the rest of the page, so that a wrapper around all of it changes nothing.
+
+Paths are numbers: a node holds one, which stands for the path above it and its element's name, so a page's memory
+follows its length at any depth.
 
 Defined results: null, empty and text-only html give the text that stands outside of tags (empty if none); unclosed and
 misnested elements are closed by the next block that cannot stand inside them; very long pages are read whole; equal
-pages give equal texts; an empty table gives an empty result; only page_id, url and html are read.
+pages give equal texts, and paths of equal scores fare alike; an empty table gives an empty result; only page_id, url
+and html are read, whatever other columns there are.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,14 +32,17 @@ from pyspark.sql import types as T
 from .common import bound_batches
 
 KEEP = 0.08
+#: Weight of a path for each container above that is named like another part of a page: once where a part of a name says
+#: so (has-sidebar), twice where a whole name does (sidebar).
+PRIOR = 0.02
 SIGMA, REACH = 1.5, 4
 #: Fixed values of HTML: elements whose content is no text, without content, inline, and that close an open paragraph.
 RAW = "script|style|noscript|template|textarea|svg|math|iframe|object|canvas|select|button|title|audio|video"
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var".split())
 ENDS_PARAGRAPH = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section summary table ul".split())
-NO_ARTICLE = frozenset("nav footer aside form menu dialog head".split())
-#: Names (in class, id or role) of containers that hold no part of an article.
+NO_ARTICLE = frozenset("nav footer aside menu dialog head".split())
+#: Names (in class, id or role) of containers that mostly hold no part of an article.
 NAMED = re.compile(
     r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|advertising|banner|sponsor(?:ed)?|promo(?:tion)?s?|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|newsletter|subscribe|subscription|paywall|signup|login"
     r"|sidebar|sidenav|rail|menu|nav|navbar|navigation|breadcrumbs?|pagination|pager|toolbar|share|sharing|social|related|recommended|recommendations|trending|widget|tags|comments?|commentlist|discussion|respond|replies|reply|disqus"
@@ -45,33 +54,78 @@ _TOKEN = re.compile(
     re.S | re.I,
 )
 _NAMES = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+_OTHER_ARTICLE = re.compile(r"comment|related|teaser|promo|sponsor", re.I)
 _PUNCT = re.compile(r"""[.,;:!?…。，、；：！？"'()«»“”-]""")
 
 
-@dataclass
+_LISTED = frozenset(("li", "dt", "dd", "tr", "td", "th", "option"))
+_LISTS = frozenset(("ul", "ol", "dl", "table", "menu", "select"))
+#: Open elements of these kinds end where the next one begins.
+_ALIKE = {"dt": ("dt", "dd"), "dd": ("dt", "dd"), "td": ("td", "th"), "th": ("td", "th"), "tr": ("tr", "td", "th")}
+
+
+@dataclass(slots=True)
 class Node:
-    path: tuple[str, ...]
+    path: int
     main: int
+    named: int
     text: str
     block: int
 
 
+def _naming(label: str) -> int:
+    """2 where one of the names is that of another part as a whole, 1 where one has such a part, else 0."""
+    if not NAMED.search(label):
+        return 0
+    return 2 if any(NAMED.fullmatch(x) for x in label.split()) else 1
+
+
+class _Stack:
+    """Open block elements: of each its name, path, main number and how many named containers it is in."""
+
+    def __init__(self) -> None:
+        self.names: list[str] = []
+        self.state: list[tuple[int, int, int]] = [(0, 0, 0)]
+        self.open: Counter[str] = Counter()
+        self.paths: dict[tuple[int, str], int] = {}
+
+    def push(self, name: str, main: int, named: int) -> None:
+        path = self.paths.setdefault((self.state[-1][0], name), len(self.paths) + 1)
+        self.names.append(name)
+        self.state.append((path, main, named))
+        self.open[name] += 1
+
+    def cut(self, k: int) -> None:
+        """Closes the k-th element and all in it."""
+        for name in self.names[k:]:
+            self.open[name] -= 1
+        del self.names[k:], self.state[k + 1 :]
+
+    def last(self, name: str) -> int:
+        """Place of the innermost open element of the name, -1 if none."""
+        if not self.open[name]:
+            return -1
+        k = len(self.names) - 1
+        while self.names[k] != name:
+            k -= 1
+        return k
+
+
 def nodes_of(page: str) -> list[Node]:
     """Text nodes with their paths of block elements; main: number of the article or main element they are in, -1 where
-    they cannot belong to an article, 0 outside; block: number of the block."""
+    they cannot belong to an article, 0 outside; named: containers around them that are named like other parts; block:
+    number of the block."""
     found: list[Node] = []
-    stack: list[tuple[str, int]] = []  # block elements and their main number
-    names: list[str] = []
+    stack = _Stack()
     block = mains = at = 0
 
-    def text(upto: int) -> None:
-        if upto > at:
-            s = entities.unescape(page[at:upto])
-            if s:
-                found.append(Node(tuple(names), stack[-1][1] if stack else 0, s, block))
+    def text(s: str) -> None:
+        if s:
+            path, main, named = stack.state[-1]
+            found.append(Node(path, main, named, s, block))
 
     for m in _TOKEN.finditer(page):
-        text(m.start())
+        text(entities.unescape(page[at : m.start()]))
         at = m.end()
         name = m["name"]
         if not name:
@@ -82,78 +136,83 @@ def nodes_of(page: str) -> list[Node]:
         if name in VOID:
             block += name in ("br", "hr")
             if name == "br" and at < len(page):
-                found.append(Node(tuple(names), stack[-1][1] if stack else 0, " ", block))
+                text(" ")
             continue
         block += 1
         if m["close"]:
-            if name in names:
-                k = len(names) - 1 - names[::-1].index(name)
-                del names[k:], stack[k:]
+            if (k := stack.last(name)) >= 0:
+                stack.cut(k)
             continue
-        if name in ENDS_PARAGRAPH and "p" in names:
-            k = len(names) - 1 - names[::-1].index("p")
-            if not any(x in ("td", "th", "button", "object") for x in names[k:]):
-                del names[k:], stack[k:]
-        if name in ("li", "dt", "dd", "tr", "td", "th", "option") and names:
+        if name in ENDS_PARAGRAPH and (k := stack.last("p")) >= 0 and not any(x in ("td", "th") for x in stack.names[k:]):
+            stack.cut(k)
+        if name in _LISTED:
             # an open one of the same kind in the same list or table ends here
-            for k in range(len(names) - 1, -1, -1):
-                if names[k] in ("ul", "ol", "dl", "table", "menu", "select"):
-                    break
-                if names[k] == name or {names[k], name} <= {"dt", "dd"} or {names[k], name} <= {"td", "th"} or name == "tr" and names[k] in ("td", "th"):
-                    del names[k:], stack[k:]
-                    if name != "tr":
-                        break
-        if name == "body" and "head" in names:
-            k = names.index("head")
-            del names[k:], stack[k:]
-        above = stack[-1][1] if stack else 0
+            alike = _ALIKE.get(name, (name,))
+            if any(stack.open[x] for x in alike):
+                k = len(stack.names) - 1
+                while k >= 0 and stack.names[k] not in _LISTS:
+                    if stack.names[k] in alike:
+                        stop = name != "tr" or stack.names[k] == "tr"
+                        stack.cut(k)
+                        if stop:
+                            break
+                    k -= 1
+        if name == "body" and (k := stack.last("head")) >= 0:
+            stack.cut(k)
+        _, above, named = stack.state[-1]
         attrs = m["attrs"] or ""
-        if above == -1 or name in NO_ARTICLE or name == "header" and above == 0 or "=" in attrs and name not in ("html", "body", "article", "main") and any(NAMED.search(a or b or c) for a, b, c in _NAMES.findall(attrs)):
-            main = -1
-        elif name in ("article", "main") and "=" in attrs and any(re.search(r"comment|related|teaser|promo|sponsor", a or b or c, re.I) for a, b, c in _NAMES.findall(attrs)):
+        labels = [a or b or c for a, b, c in _NAMES.findall(attrs)] if "=" in attrs else []
+        if name in ("article", "main"):
+            named += any(_OTHER_ARTICLE.search(x) for x in labels)
+        elif name not in ("html", "body"):
+            named += max([int(name == "form"), *map(_naming, labels)])
+        main = above
+        if above == -1 or name in NO_ARTICLE or name == "header" and above == 0:
             main = -1
         elif name in ("article", "main") and above == 0:
             mains += 1
             main = mains
-        else:
-            main = above
-        names.append(name)
-        stack.append((name, main))
-        if m["attrs"] and m["attrs"].rstrip().endswith("/") and name not in ENDS_PARAGRAPH:
-            names.pop()
-            stack.pop()
-    text(len(page))
+        if not (attrs.rstrip().endswith("/") and name not in ENDS_PARAGRAPH):
+            stack.push(name, main, named)
+    text(entities.unescape(page[at:]))
     return found
 
 
+def path_scores(of: np.ndarray, size: np.ndarray, marks: np.ndarray, prior: np.ndarray, paths: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of nodes in page order with their paths' numbers the fused ratio, and of each path the score. size, marks: length
+    and punctuation of each node; prior: its weight."""
+    count = np.bincount(of, minlength=paths)
+    lengths, punct = (np.bincount(of, size, paths) / count)[of], (np.bincount(of, marks, paths) / count)[of]
+    kernel = np.exp(-0.5 * (np.arange(-REACH, REACH + 1) / SIGMA) ** 2)
+    near = lambda x: np.convolve(x, kernel, "full")[REACH:-REACH]
+    weight = near(prior)
+    fused = np.sqrt(near(lengths * prior) / weight * (1 + near(punct * prior) / weight))
+    return fused, np.bincount(of, fused * prior, paths) / count
+
+
 def main_text(page: str) -> str:
     nodes = nodes_of(page)
-    live = [k for k, n in enumerate(nodes) if n.main >= 0 and n.text.strip()]
+    live = [n for n in nodes if n.main >= 0 and n.text.strip()]
     if not live:
         return ""
-    paths: dict[tuple, int] = {}
-    of = np.array([paths.setdefault((nodes[k].path, nodes[k].main), len(paths)) for k in live])
-    size = np.array([len(nodes[k].text.strip()) for k in live], float)
-    marks = np.array([len(_PUNCT.findall(nodes[k].text)) for k in live], float)
-    count = np.bincount(of)
-    lengths, punct = (np.bincount(of, size) / count)[of], (np.bincount(of, marks) / count)[of]
-    kernel = np.exp(-0.5 * (np.arange(-REACH, REACH + 1) / SIGMA) ** 2)
-    weight = np.convolve(np.ones(len(live)), kernel, "full")[REACH:-REACH]
-    smooth = lambda x: np.convolve(x, kernel, "full")[REACH:-REACH] / weight
-    fused = np.sqrt(smooth(lengths) * (1 + smooth(punct)))
-    score = np.bincount(of, fused) / count
-    group = np.array([nodes[k].main for k in live])
+    paths: dict[tuple[int, int, int], int] = {}
+    of = np.array([paths.setdefault((n.path, n.main, n.named), len(paths)) for n in live])
+    size = np.array([len(n.text.strip()) for n in live], float)
+    marks = np.array([len(_PUNCT.findall(n.text)) for n in live], float)
+    # against the least named node, so that a wrapper around the whole page weighs nothing
+    named = np.array([n.named for n in live])
+    prior = PRIOR ** np.minimum(named - named.min(), 8).astype(float)
+    fused, score = path_scores(of, size, marks, prior, len(paths))
+    group = np.array([n.main for n in live])
+    inside = np.ones(len(live), bool)
     if group.max() > 0:
-        mass = np.bincount(group, fused * size, minlength=group.max() + 1)
-        best = 1 + int(np.argmax(mass[1:]))
-        inside = group == best
-    else:
-        inside = np.ones(len(live), bool)
-    keep = inside & (score[of] >= KEEP * fused[inside].mean())
-    chosen = {(nodes[k].path, nodes[k].main) for k, yes in zip(live, keep) if yes}
+        mass = np.bincount(group, fused * size * prior, minlength=group.max() + 1)
+        inside = group == 1 + int(np.argmax(mass[1:]))
+    least = KEEP * (fused * prior)[inside].sum() / prior[inside].sum()
+    chosen = {(n.path, n.main, n.named) for n, yes in zip(live, inside & (score[of] >= least)) if yes}
     out, last = [], None
     for n in nodes:
-        if (n.path, n.main) in chosen:
+        if (n.path, n.main, n.named) in chosen:
             if last is not None and n.block != last:
                 out.append(" ")
             out.append(n.text)

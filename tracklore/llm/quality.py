@@ -144,7 +144,9 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN_ROWS, la
     bound_batches(docs.sparkSession)
     usable = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & (doc_bucket(F.col("doc_id"), 4) != 2))
     sample = usable.groupBy("doc_id").agg(F.max(F.when(F.col(label) > 0, 1).otherwise(0)).alias("_y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
-    rows = docs.select("doc_id", "text", _length(docs).alias("_n")).join(F.broadcast(sample), "doc_id").select("_y", "text", "_n")
+    rows = docs.select("doc_id", "text", _length(docs).alias("_n")).join(F.broadcast(sample), "doc_id")
+    # one row for each id, the least: repeated ids add nothing and are combined before the shuffle
+    rows = rows.groupBy("doc_id").agg(F.min(F.struct("_y", "text", "_n")).alias("r")).select("r.*")
 
     def featurize(batches):
         own_cache("quality")
@@ -154,7 +156,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN_ROWS, la
 
     got = rows.mapInArrow(featurize, "y int, i binary, v binary").collect()
     # a fixed order, whatever order the tasks end in
-    return fit([(r.y, np.frombuffer(r.i, np.int32), np.frombuffer(r.v, np.float32)) for r in sorted(got, key=lambda r: (r.i, r.y))][:max_rows])
+    return fit([(r.y, np.frombuffer(r.i, np.int32), np.frombuffer(r.v, np.float32)) for r in sorted(got, key=lambda r: (r.i, r.v, r.y))])
 
 
 def _length(docs: DataFrame):
@@ -197,7 +199,11 @@ def keep_good(docs: DataFrame, model: FactorisationMachine, threshold: float = T
             s = _scores(shared.value, text_bytes(b.column(at)), b.column(len(names)).to_pylist())
             yield pa.RecordBatch.from_arrays(b.columns[: len(names)], names=names).filter(pa.array(s >= threshold))
 
-    return docs.withColumn("__length", _length(docs)).mapInArrow(run, docs.schema)
+    # a name that no column has; columns are read by place
+    extra = "__length"
+    while extra.lower() in (c.lower() for c in names):
+        extra += "_"
+    return docs.withColumn(extra, _length(docs)).mapInArrow(run, docs.schema)
 
 
 def fitted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> FactorisationMachine:
