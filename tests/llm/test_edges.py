@@ -493,6 +493,17 @@ def test_quality_against_double_sums(spark, docs, none):
     assert one.rows == three.rows == labels.where("crc32(cast(cast(doc_id as string) as binary)) % 4 <> 2").count() and (one.w == three.w).all()
 
 
+def test_quality_on_held_out_labels(spark):
+    """Labels that were not learned from, by a few hundred labels: all good ones before all bad ones, nearly."""
+    d = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("documents", "labels"))
+    rows = quality.score(docs, quality.train(docs, labels)).where("held_out").join(labels, "doc_id").collect()
+    good, bad = ([r.score for r in rows if r.quality == k] for k in (1, 0))
+    assert len(good) > 50 and len(bad) > 10
+    assert np.mean([a > b for a in good for b in bad]) > 0.98
+    assert np.mean([r.predicted == r.quality for r in rows]) > 0.95
+
+
 def test_quality_learns(spark):
     rng = random.Random(0)
     rows = [(i, words(rng, 80) if i % 2 else " | ".join(words(rng, 1) + "!!" for _ in range(60)), None, None, None, None, None) for i in range(400)]

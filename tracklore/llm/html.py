@@ -3,7 +3,7 @@
 A page is read as a row of text nodes, each with its root-to-leaf path of block elements. For each path the text length
 and the punctuation of its nodes are summed and divided by their number; both ratios are written back to the nodes,
 smoothed along the page by a Gaussian window, fused by a geometric mean, averaged over each path again, and paths below
-a share of the page's mean are left out. Paths through elements that never hold an article (navigation, footers,
+a share of the page's mean (by characters) are left out. Paths through elements that never hold an article (navigation, footers,
 scripts) start at zero; where a page has article or main elements, so do paths outside of the one with the largest fused
 mass. Names of containers (class, id, role) that are usual for other parts, and forms, are a prior only: each weighs the
 paths below it by PRIOR against the rest of the page, so that a wrapper around all of it changes nothing.
@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 
 from .common import bound_batches
 
-KEEP = 0.08
+KEEP = 0.1
 #: Weight of a path for each container above that is named like another part of a page: once where a part of a name says
 #: so (has-sidebar), twice where a whole name does (sidebar).
 PRIOR = 0.02
@@ -208,7 +208,9 @@ def main_text(page: str) -> str:
     if group.max() > 0:
         mass = np.bincount(group, fused * size * prior, minlength=group.max() + 1)
         inside = group == 1 + int(np.argmax(mass[1:]))
-    least = KEEP * (fused * prior)[inside].sum() / prior[inside].sum()
+    # the mean by characters: many short nodes don't lower it
+    weight = (prior * size)[inside]
+    least = KEEP * (fused[inside] * weight).sum() / weight.sum()
     chosen = {(n.path, n.main, n.named) for n, yes in zip(live, inside & (score[of] >= least)) if yes}
     out, last = [], None
     for n in nodes:

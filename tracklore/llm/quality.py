@@ -101,8 +101,9 @@ class FactorisationMachine:
         return 1 / (1 + np.exp(-np.clip(self.raw(idx, val, starts).astype(np.float64), -30, 30)))
 
 
-def fit(docs: list[tuple[int, np.ndarray, np.ndarray]], factors: int = 8, epochs: int = 6, rate: float = 0.08, l2: float = 1e-5, batch: int = 32, seed: int = 1) -> FactorisationMachine:
-    """AdaGrad on the logistic loss over (label, feature numbers, values); the rows' order is fixed by the seed."""
+def fit(docs: list[tuple[int, np.ndarray, np.ndarray]], factors: int = 8, epochs: int = 6, updates: int = 600, rate: float = 0.08, l2: float = 1e-5, batch: int = 32, seed: int = 1) -> FactorisationMachine:
+    """AdaGrad on the logistic loss over (label, feature numbers, values); the rows' order is fixed by the seed. Few rows are
+    gone through more often, for as many updates at least."""
     y = np.array([d[0] for d in docs], np.float32)
     rng = np.random.default_rng(seed)
     m = FactorisationMachine(rows=len(docs))
@@ -112,7 +113,7 @@ def fit(docs: list[tuple[int, np.ndarray, np.ndarray]], factors: int = 8, epochs
         return m
     m.v = rng.normal(0, 0.02, (DIM, factors)).astype(np.float32)
     gw, gv, g0 = np.full(DIM, 1e-2, np.float32), np.full((DIM, factors), 1e-2, np.float32), 1e-2
-    for _ in range(epochs):
+    for _ in range(max(epochs, -(-updates * batch // len(docs)))):
         order = rng.permutation(len(docs))
         for at in range(0, len(order), batch):
             rows = order[at : at + batch]
