@@ -6,7 +6,7 @@ it has not seen to a pack file; a Spark aggregation of digests gives every chunk
 rewrites the packs by it, so that each chunk is stored once. Recipes, the ordered chunk lists, are joined to the places
 by digest and rebuild the payloads, which are verified against the digests of their chunks and of the whole.
 
-A pack is a row of compressed frames of about FRAME bytes of chunk records. A record is the chunk's length (4 bytes,
+Packs lie in GROUPS folders. A pack is a row of compressed frames of about FRAME bytes of chunk records. A record is the chunk's length (4 bytes,
 little-endian) and its samples; a payload's stored form is its records in order, as they are read back.
 
 Defined results: null and empty texts are one block of bytes 255; very long texts are cut as any other; equal texts have
@@ -38,7 +38,9 @@ _GEAR = np.random.default_rng(11).integers(0, 1 << 32, 256, dtype=np.uint32)
 _MASK = np.uint32(((1 << MASK_BITS) - 1) << (32 - MASK_BITS))
 #: Digests that a task remembers so as not to write a chunk twice; beyond, the oldest go and compact() drops the copies.
 SEEN = 200_000
-FRAME = 1 << 16
+FRAME = 1 << 18
+#: Packs are in so many groups; compact() rewrites one after the other and can drop each, so that copies never double the disk.
+GROUPS = 6
 
 
 def payload_of(data: bytes) -> bytes:
@@ -77,11 +79,12 @@ def record_of(chunk: bytes) -> bytes:
 class _Pack:
     """A pack that is written: records are held until they make a frame, then their places get its offset and size."""
 
-    def __init__(self, folder: str):
-        self.fs, self.path = local_fs(folder)
+    def __init__(self, folder: str, group: int):
+        self.fs, self.path = local_fs(f"{folder}/{group}")
         self.fs.create_dir(self.path, recursive=True)
-        self.name = uuid.uuid4().hex
-        self.out = self.fs.open_output_stream(f"{self.path}/.{self.name}")
+        self.file = uuid.uuid4().hex
+        self.name = f"{group}/{self.file}"
+        self.out = self.fs.open_output_stream(f"{self.path}/.{self.file}")
         self.size = self.fill = 0
         self.held: list[bytes] = []
         self.places: list[dict] = []
@@ -108,7 +111,7 @@ class _Pack:
     def close(self) -> None:
         self.flush()
         self.out.close()
-        self.fs.move(f"{self.path}/.{self.name}", f"{self.path}/{self.name}.pack")
+        self.fs.move(f"{self.path}/.{self.file}", f"{self.path}/{self.file}.pack")
 
 
 def store(docs: DataFrame, folder: str | None = None) -> tuple[str, DataFrame]:
@@ -123,7 +126,7 @@ def store(docs: DataFrame, folder: str | None = None) -> tuple[str, DataFrame]:
 
         pack, seen, row = None, OrderedDict(), TaskContext.get().partitionId() << 40
         for b in batches:
-            pack = pack or _Pack(folder)
+            pack = pack or _Pack(folder, TaskContext.get().partitionId() % GROUPS)
             cols = [[], [], [], []]
             for data in text_bytes(b.column(1)):
                 payload = payload_of(data)
@@ -173,7 +176,7 @@ def recipes(stored: DataFrame, table: DataFrame) -> DataFrame:
 class PackReader:
     """Chunks by their places; keeps the last frames and open packs."""
 
-    def __init__(self, folder: str, frames: int = 64, files: int = 16):
+    def __init__(self, folder: str, frames: int = 32, files: int = 16):
         self.fs, self.path = local_fs(folder)
         self.files, self.frames, self.most = OrderedDict(), OrderedDict(), (files, frames)
         self.open = zstandard.ZstdDecompressor()
@@ -242,16 +245,19 @@ def rebuild(folder: str, listed: DataFrame) -> DataFrame:
     return near.select("doc_id", "n_bytes", "whole", "list").mapInArrow(run, schema)
 
 
-def compact(folder: str, table: DataFrame) -> tuple[str, DataFrame]:
+def compact(folder: str, table: DataFrame, drop: bool = False) -> tuple[str, DataFrame]:
     """Packs in a new folder that hold each distinct chunk once, in the order of the old ones, and the chunk table with
-    the new places. The old packs are as they were."""
-    target = shared_dir(table.sparkSession, "media-compact")
-    rows = table.select("digest", "length", "n", "place").repartition("place.pack").sortWithinPartitions("place.pack", "place.frame", "place.at")
+    the new places. A group of packs at a time; drop: each is deleted when all of it is rewritten."""
+    spark, target, done = table.sparkSession, shared_dir(table.sparkSession, "media-compact"), None
+    table = cut(table.select("digest", "length", "n", "place"), "media-table")
+    schema = table.schema
 
     def run(batches):
+        from pyspark import TaskContext
+
         reader, pack = PackReader(folder), None
         for b in batches:
-            pack = pack or _Pack(target)
+            pack = pack or _Pack(target, TaskContext.get().partitionId() % GROUPS)
             places = []
             for length, place in zip(b.column(1).to_pylist(), b.column(3).to_pylist()):
                 new = {"pack": pack.name}
@@ -262,16 +268,22 @@ def compact(folder: str, table: DataFrame) -> tuple[str, DataFrame]:
         if pack:
             pack.close()
 
-    return target, cut(rows.mapInArrow(run, rows.schema), "media-chunks")
+    for group in range(GROUPS):
+        rows = table.where(F.startswith("place.pack", F.lit(f"{group}/"))).repartition("place.pack").sortWithinPartitions("place.pack", "place.frame", "place.at")
+        part = cut(rows.mapInArrow(run, schema), "media-chunks")
+        done = part if done is None else done.unionByName(part)
+        if drop:
+            drop_dir(spark, f"{folder}/{group}")
+    return target, done
 
 
 def stored_and_read(docs: DataFrame) -> DataFrame:
-    """rebuild() of docs whose chunks are stored once each. The first packs and all tables but the result are deleted."""
+    """rebuild() of docs whose chunks are stored once each. Packs and all tables but the result are deleted."""
     spark = docs.sparkSession
     with scratch(spark) as keep:
         first, stored = store(docs)
-        packs, table = compact(first, chunk_table(stored))
-        drop_dir(spark, first)
+        packs, table = compact(first, chunk_table(stored), drop=True)
         out = keep(cut(rebuild(packs, recipes(stored, table)), "media-result"))
+        drop_dir(spark, first)
         drop_dir(spark, packs)
         return out
