@@ -1,8 +1,12 @@
 import json
+import os
+import time
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from tracklore.operators import edits, planning
 from tracklore.sources import engines, sheets, subtitles
 
 
@@ -59,6 +63,14 @@ def test_round_trip_of_an_earlier_run(spark, tmp_path):
     assert got == {(k, i): (t, True, True) for k, i, _, _, t in rows} | {(1, 9): ("new", False, False)}
 
 
+def test_sheets_meet_cues_by_two_decimals(spark, tmp_path):
+    cues = spark.createDataFrame([(1, 0, 1.234, 1234, "a"), (1, 1, 2.675, 2675, "b"), (1, 2, 9.0, 9000, "c")], "track_id long, idx long, start_s double, start_ms long, text string")
+    sheets.write_sheet(cues.where("idx < 2").withColumn("new", F.upper("text")), str(tmp_path / "t"), "start", "new")
+    sheet = sheets.for_cues(sheets.read_texts(spark, str(tmp_path / "t"), "new"), cues)
+    got = edits.apply_texts(cues, sheet.drop("file")).orderBy("idx").collect()
+    assert [(r.text, r.matched) for r in got] == [("A", True), ("B", True), ("c", False)]
+
+
 def test_sheets_of_several_tracks(spark, tmp_path):
     for k in "ab":
         (tmp_path / f"{k}.tsv").write_text(f"start\ttext\n1.00\told\n1.00\t{k}\n")
@@ -68,14 +80,92 @@ def test_sheets_of_several_tracks(spark, tmp_path):
 
 def test_engines(spark):
     lines = spark.createDataFrame([(1, 0, "x" * 126, "v", 1.0), (1, 1, "x" * 126, "v", 2.0)], "track_id long, idx long, text string, voice string, speed double")
-    got = engines.spoken(lines, engines.StubEngine, 100).orderBy("idx").collect()
-    assert [r.rendered_dur for r in got] == [10.0, 5.0] and got[0].clip_key != got[1].clip_key
-
-    class Broken(engines.StubEngine):
-        def speak(self, *a, **b):
-            raise OSError("no")
-
-    assert all("no" in r.error for r in engines.spoken(lines, Broken, 100).collect())
+    got = engines.spoken(lines, engines.SilentRenderer).orderBy("idx").collect()
+    assert [(r.rendered_dur, len(r.samples), r.rate, r.error) for r in got] == [(10.0, 1000, 100, None), (5.0, 500, 100, None)] and got[0].clip_key != got[1].clip_key
+
+    class Picky(engines.SilentRenderer):
+        def render(self, batch):
+            if (batch["speed"] > 1.5).any():
+                raise OSError("no")
+            return super().render(batch)
+
+    # a batch that fails is rendered line by line
+    got = engines.spoken(lines, Picky).orderBy("idx").collect()
+    assert got[0].rendered_dur == 10.0 and got[1].samples is None and "no" in got[1].error
     prompts = spark.createDataFrame([("ab",)], "prompt string")
     assert engines.asked(prompts, engines.EchoChat).first().reply == "ba"
-    assert {r.voice for r in engines.unknown(spark.createDataFrame([("af_stub",), ("zz",)], "voice string"), engines.StubEngine()).collect()} == {"zz"}
+    assert {r.voice for r in engines.unknown(spark.createDataFrame([("af_stub",), ("zz",)], "voice string"), engines.SilentRenderer()).collect()} == {"zz"}
+
+
+def test_conversion(spark):
+    class Louder(engines.Converter):
+        def convert(self, samples, rate, reference):
+            if reference == "bad":
+                raise ValueError("bad clip")
+            return samples * 2
+
+    clips = spark.createDataFrame([(1, 0, [0.5, 1.0], 100, "a.wav"), (1, 1, [0.5], 100, None), (1, 2, [0.5], 100, "bad"), (1, 3, None, 100, "a.wav")], "track_id long, idx long, samples array<float>, rate int, reference string")
+    got = engines.converted(clips, Louder).orderBy("idx").collect()
+    assert [r.samples for r in got] == [[1.0, 2.0], [0.5], [0.5], None] and [r.error is None for r in got] == [True, True, False, True]
+
+
+def test_watched_model_is_started_again():
+    class Slow(engines.SilentRenderer):
+        def render(self, batch):
+            if "hang" in batch["text"].iloc[0]:
+                time.sleep(60)
+            if "die" in batch["text"].iloc[0]:
+                os._exit(3)
+            if "fail" in batch["text"].iloc[0]:
+                raise ValueError("this line")
+            return super().render(batch)
+
+    batch = lambda t: pd.DataFrame({"text": [t], "voice": ["v"], "speed": [1.0], "emotion": [0.5]})
+    model = engines.Watched(Slow, seconds=1.0, restarts=2)
+    assert len(model.render(batch("x" * 126))[0]) == 1000
+    for text, why in (("hang", "stopped"), ("fail", "this line"), ("die", "stopped")):
+        with pytest.raises(RuntimeError, match=why):
+            model.render(batch(text))
+        assert len(model.render(batch("x" * 126))[0]) == 1000
+    for _ in range(3):
+        with pytest.raises(RuntimeError, match="stopped"):
+            model.render(batch("die"))
+    with pytest.raises(RuntimeError, match="too often"):
+        model.render(batch("x"))
+
+
+def test_numbered_batches(spark):
+    class Upper(engines.ChatEngine):
+        def ask(self, prompt):
+            head, *rows = prompt.split("\n")
+            return "\n".join(r.upper() for r in rows if "skip" not in r)
+
+    lines = spark.createDataFrame([(k, i, f"line  {i}" + (" skip" if i == 4 else "")) for k in (1, 2) for i in range(7)], "track_id long, idx long, text string")
+    prompts = engines.numbered_prompts(lines, "Translate:", 3).where("track_id = 1 and batch = 1").first()
+    assert prompts.prompt == "Translate:\n1. line 3\n2. line 4 skip\n3. line 5" and prompts.idxs == [3, 4, 5]
+    got = {(r.track_id, r.idx): r.reply for r in engines.asked_in_batches(lines, Upper, "Translate:", 3).collect()}
+    assert got == {(k, i): None if i == 4 else f"LINE {i}" for k in (1, 2) for i in range(7)}
+
+
+def test_manifest_and_records_of_a_run(spark, tmp_path):
+    path = str(tmp_path / "manifest")
+    first = spark.createDataFrame([("a", "k1", {"x": "1"}), ("b", "k2", {})], "artefact string, key string, inputs map<string,string>")
+    assert planning.read_manifest(spark, path).count() == 0
+    planning.write_manifest(planning.merged_manifest(planning.read_manifest(spark, path), first), path)
+    again = spark.createDataFrame([("b", "k9", {"y": "2"}), ("c", "k3", None)], "artefact string, key string, inputs map<string,string>")
+    planning.write_manifest(planning.merged_manifest(planning.read_manifest(spark, path), again, gone=["a"]), path)
+    assert {(r.artefact, r.key) for r in planning.read_manifest(spark, path).collect()} == {("b", "k9"), ("c", "k3")}
+    seen = spark.createDataFrame([("diarize", 10.0, 20.0), ("mux", 4.0, 0.0), ("unheard_of", 1.0, 1.0), ("synth_piper", 3.0, 10.0)], "stage string, seconds double, units double")
+    old = spark.createDataFrame([("diarize", 1.0), ("synth_piper", -1.0)], "stage string, learned double")
+    # 1.0 * 0.6 + 0.5 * 0.4; a rate that is no rate is replaced; no units and unknown stages teach nothing
+    assert {r.stage: round(r.learned, 6) for r in planning.learned_rates(old, seen).collect()} == {"diarize": 0.8, "synth_piper": 0.3}
+    with pytest.raises(ValueError, match="cast"):
+        planning.check_options(cast=True, diarize=False)
+    planning.check_options(cast=True, diarize=True)
+
+
+def test_one_document_a_track(spark, tmp_path):
+    rows = spark.createDataFrame([(1, 0, "subtitles", "ok"), (1, 1, "voices", "weak"), (2, 0, "subtitles", "ok")], "track_id long, idx long, stage string, level string")
+    sheets.write_records(rows, str(tmp_path / "checks"))
+    got = {f.parent.name: json.loads(f.read_text()) for f in (tmp_path / "checks").rglob("*.txt")}
+    assert got == {"track_id=1": [{"idx": 0, "stage": "subtitles", "level": "ok"}, {"idx": 1, "stage": "voices", "level": "weak"}], "track_id=2": [{"idx": 0, "stage": "subtitles", "level": "ok"}]}

@@ -58,6 +58,50 @@ def stale(current: DataFrame, manifest: DataFrame) -> DataFrame:
     return current.join(manifest.select("artefact", "key"), ["artefact", "key"], "left_anti")
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
+MANIFEST = "artefact string, key string, inputs map<string,string>"
+
+
+def read_manifest(spark: SparkSession, path: str) -> DataFrame:
+    """artefact, key and inputs of the last written manifest; no rows where there is none."""
+    if not _exists(spark, path):
+        return spark.createDataFrame([], MANIFEST)
+    rows = spark.read.schema(f"{MANIFEST}, version long").json(path)
+    return rows.where(F.col("version") == rows.agg(F.max("version")).first()[0]).drop("version")
+
+
+def merged_manifest(old: DataFrame, new: DataFrame, gone: list[str] | None = None) -> DataFrame:
+    """The old entries, those of the new ones in their place, without the artefacts that are gone."""
+    kept = old.join(new.select("artefact"), "artefact", "left_anti").unionByName(new)
+    return kept.where(~F.col("artefact").isin(gone)) if gone else kept
+
+
+def write_manifest(rows: DataFrame, path: str) -> None:
+    """A new version beside the old ones, so that a manifest can be read while the next is written from it."""
+    spark = rows.sparkSession
+    last = spark.read.schema("version long").json(path).agg(F.max("version")).first()[0] if _exists(spark, path) else None
+    rows.select("artefact", "key", "inputs", F.lit((last or 0) + 1).alias("version")).write.mode("append").json(path)
+
+
+def learned_rates(old: DataFrame, observed: DataFrame, share: float = 0.6) -> DataFrame:
+    """stage and learned: the old rates with what was observed (stage, seconds, units) of known stages; the old rate counts
+    `share` where it is one."""
+    seen = observed.where(F.col("stage").isin(*STAGES) & (F.col("units") > 0) & (F.col("seconds") > 0)).select("stage", (F.col("seconds") / F.col("units")).alias("_new"))
+    both = old.join(seen, "stage", "full")
+    mixed = F.when(F.col("learned") > 0, F.col("learned") * share + F.col("_new") * (1 - share)).otherwise(F.col("_new"))
+    return both.select("stage", F.coalesce(mixed, F.col("learned")).alias("learned")).where("learned > 0")
+
+
+def check_options(cast: bool, diarize: bool) -> None:
+    """Options that contradict each other are an error before a run begins."""
+    if cast and not diarize:
+        raise ValueError("a cast sheet and no diarization ask for different voices: leave one of them out")
+
+
 def term_candidates(lines: DataFrame, top: int = 120, least: int = 2) -> DataFrame:
     """Capitalised words within sentences, by number: the `top` most frequent of each track, then those that occur
     `least` times. lines(track_id, seq, text)"""

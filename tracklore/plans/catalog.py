@@ -228,9 +228,16 @@ def split_speakers(spark, d):
     return _rounded(cues.split_events(ev.withColumnRenamed("pair", "seq")), "start_s", "end_s").withColumn("part", F.col("part").cast("long"))
 
 
-@query(f"WITH {B.LINES} SELECT track_id, seq FROM lines WHERE regexp_matches(text, '[ыэъЫЭЪ]') OR regexp_matches(text, '(?i)(^|[^\\p{{L}}])(что|это|этот|здесь|сегодня|очень|тебя|меня|вы|его|её|если|когда|где|такой|один|нет|да|только|потому|чтобы)([^\\p{{L}}]|$)')")
+_PLANTED = ["Де це є?", "что это", "Сьогодні гарний день.", "Объект", "нет!", "дактиль", "Вы где", "це не етот", "ДА.", "тільки так"]
+
+
+@query(
+    f"""WITH {B.LINES}, both_lines AS (SELECT track_id, seq, text FROM lines UNION ALL SELECT -1, i, t FROM (SELECT unnest(range(0, {len(_PLANTED)})) AS i, unnest({_PLANTED!r}) AS t))
+SELECT track_id, seq FROM both_lines WHERE regexp_matches(text, '[ыэъЫЭЪ]') OR regexp_matches(text, '(?i)(^|[^\\p{{L}}])(что|это|этот|здесь|сегодня|очень|тебя|меня|вы|его|её|если|когда|где|такой|один|нет|да|только|потому|чтобы)([^\\p{{L}}]|$)')"""
+)
 def rx_language_filter(spark, d):
-    return planning.wrong_language(B.caption_lines(spark, d)).select("track_id", "seq")
+    planted = spark.createDataFrame([(-1, i, t) for i, t in enumerate(_PLANTED)], "track_id long, seq long, text string")
+    return planning.wrong_language(B.caption_lines(spark, d).select("track_id", "seq", "text").unionByName(planted)).select("track_id", "seq")
 
 
 @query(
@@ -807,3 +814,121 @@ q AS (SELECT track_id, idx, row_number() OVER (PARTITION BY track_id ORDER BY id
 def evenly_spaced_sample(spark, d):
     return planning.even_sample(B.cue_track(spark, d), 3).selectExpr("track_id", "idx", "cast(pick as bigint) as pick")
 
+
+# Replies, takes, voices and frames made of the tables
+
+
+@query(f"WITH {B.CUE} SELECT track_id, idx, CASE WHEN speaker = 'user' THEN 0.30::DOUBLE ELSE 0.24::DOUBLE END AS gap, CASE WHEN speaker = 'user' THEN 12::DOUBLE ELSE 5::DOUBLE END AS span FROM cue")
+def merge_policies(spark, d):
+    gap, span = cues.merge_policy(F.col("speaker") == "user")
+    return B.cue_track(spark, d).select("track_id", "idx", gap.alias("gap"), span.alias("span"))
+
+
+@query(
+    f"""WITH {B.CUE}, v AS (SELECT track_id, speaker, 'v' || (idx * idx % 5) AS voice, idx FROM cue), n AS (SELECT track_id, speaker, voice, count(*) AS n, min(idx) AS i FROM v GROUP BY ALL)
+SELECT track_id, speaker, arg_max(voice, (n, -i)) AS voice, count(*) AS voices FROM n GROUP BY ALL"""
+)
+def common_voices(spark, d):
+    return casting.common_voice(B.cue_track(spark, d).withColumn("voice", F.expr("concat('v', idx * idx % 5)")))
+
+
+@query(
+    f"""WITH {B.PITCHES} SELECT track_id, speaker, round(avg((f0 <= 200 AND idx % 4 > 0)::INT), 6) AS voiced, avg((f0 <= 200 AND idx % 4 > 0)::INT) >= 0.004::DOUBLE AS usable FROM pitch GROUP BY ALL"""
+)
+def voiced_references(spark, d):
+    frames_ = B.pitches(spark, d).selectExpr("track_id", "speaker", "if(f0 <= 200, f0, null) as f0", "(idx % 4) * 0.4D + 0.2D as prob")
+    return _rounded(casting.voiced_fraction(frames_, "track_id", "speaker"), "voiced", digits=6)
+
+
+@query(
+    f"""WITH {B.FRAMES}, l AS (SELECT *, max(frame_no) OVER (PARTITION BY track_id) AS last FROM frames) SELECT track_id, arg_min(frame_no, (energy, frame_no)) AS frame_no FROM l WHERE (last - frame_no) * 0.01::DOUBLE < 0.12::DOUBLE GROUP BY track_id"""
+)
+def quietest_cuts(spark, d):
+    return audio.quietest_cut(B.frames(spark, d), 0.12).select("track_id", F.col("frame_no").cast("long").alias("frame_no"))
+
+
+@query(f"WITH {B.FRAMES}, c AS (SELECT *, coalesce(abs(energy * 1000 - lag(energy * 1000) OVER w) > 18, false)::INT AS jump FROM frames WINDOW w AS (PARTITION BY track_id ORDER BY frame_no)) SELECT track_id, frame_no, sum(jump) OVER (PARTITION BY track_id ORDER BY frame_no)::BIGINT AS scene FROM c")
+def shot_cuts(spark, d):
+    return audio.shot_cuts(B.frames(spark, d).withColumn("level", F.col("energy") * 1000)).selectExpr("track_id", "cast(frame_no as bigint) as frame_no", "cast(scene as bigint) as scene")
+
+
+@query(f"WITH {B.PITCHES} SELECT track_id, speaker, round(CASE WHEN count(f0) >= 6 THEN regr_slope(12 * log2(f0), idx * 0.1::DOUBLE) ELSE 0 END, 4) AS f0_end_slope FROM pitch WHERE idx % 7 < 5 AND f0 < 300 GROUP BY ALL")
+def terminal_slopes(spark, d):
+    tail = B.pitches(spark, d).where("idx % 7 < 5 and f0 < 300").selectExpr("track_id", "speaker", "idx * 0.1D as t", "f0")
+    return _rounded(audio.terminal_slope(tail, "track_id", "speaker"), "f0_end_slope")
+
+
+@query(
+    f"""WITH {B.PITCHES}, t AS (SELECT track_id, speaker, idx, f0 / (100 + idx % 90) AS ratio FROM pitch),
+m AS (SELECT *, quantile_cont(ratio, 0.5) OVER (PARTITION BY track_id, speaker ORDER BY idx ROWS BETWEEN 15 PRECEDING AND CURRENT ROW) AS r FROM t)
+SELECT track_id, idx, round(r, 4) AS ratio, round(CASE WHEN abs(greatest(-6, least(6, 12 * log2(r)))) < 0.75::DOUBLE THEN 0 ELSE greatest(-6, least(6, 12 * log2(r))) END, 4) AS shift FROM m"""
+)
+def register_shifts(spark, d):
+    takes = B.pitches(spark, d).selectExpr("track_id", "speaker", "idx", "f0 as target_f0", "100D + idx % 90 as median_f0")
+    return _rounded(timing.register_ratio(takes), "ratio", "shift").selectExpr("track_id", "cast(idx as bigint) as idx", "ratio", "shift")
+
+
+_TAKES = "takes AS (SELECT track_id, idx // 4 AS idx, (idx % 4)::INT AS take, f0 / 50 AS liveliness, (idx % 3) * 0.25::DOUBLE AS register_off, (idx % 5) * 0.1::DOUBLE AS dead_s, idx % 6 = 0 AS broken FROM pitch)"
+
+
+@query(f"WITH {B.PITCHES}, {_TAKES}, s AS (SELECT *, liveliness - 2 * register_off - 3 * dead_s AS score FROM takes WHERE NOT broken) SELECT track_id, idx, arg_max(take, (score, -take))::INT AS take, round(max(score), 4) AS score FROM s GROUP BY ALL")
+def best_takes(spark, d):
+    takes = B.pitches(spark, d).selectExpr("track_id", "idx div 4 as idx", "cast(idx % 4 as int) as take", "f0 / 50 as liveliness", "(idx % 3) * 0.25D as register_off", "(idx % 5) * 0.1D as dead_s", "idx % 6 = 0 as broken")
+    return _rounded(timing.best_take(takes), "score")
+
+
+@query(
+    f"""WITH {B.CUE}, r AS (SELECT track_id, idx // 3 AS idx, idx % 3 AS round, text, idx % 4 > 0 AS acceptable FROM cue) SELECT track_id, idx, arg_min(text, (length(text), round)) AS text FROM r WHERE acceptable AND text <> '' GROUP BY ALL"""
+)
+def best_translations(spark, d):
+    replies = B.cue_track(spark, d).selectExpr("track_id", "idx div 3 as idx", "idx % 3 as round", "text", "idx % 4 > 0 as acceptable")
+    return edits.best_translation(replies)
+
+
+@query(
+    rf"""WITH {B.CUE}, r AS (SELECT track_id, idx, CASE idx % 4 WHEN 0 THEN '"' || text || '"' WHEN 1 THEN 'Line: ' || text WHEN 2 THEN '«' || text || '»' || chr(10) || 'Note' ELSE ' ' || text END AS reply FROM cue),
+q AS (SELECT *, regexp_replace(regexp_replace(trim(reply), '^["''“”«»]+|["''“”«»]+$', '', 'g'), '^[^:
+]{{0,24}}:\s*(\S)', '\1') AS t FROM r) SELECT track_id, idx, trim(string_split(t, chr(10))[1]) AS said FROM q"""
+)
+def clean_replies(spark, d):
+    reply = F.expr("case idx % 4 when 0 then concat('\"', text, '\"') when 1 then concat('Line: ', text) when 2 then concat('«', text, '»\\nNote') else concat(' ', text) end")
+    return B.cue_track(spark, d).select("track_id", "idx", X.clean_reply(reply).alias("said"))
+
+
+@query(
+    f"""WITH {B.CUE}, g AS (SELECT track_id, idx // 5 AS part, idx % 5 AS k, trim(regexp_replace(text, '\s+', ' ', 'g')) AS t FROM cue), n AS (SELECT track_id, part, CASE WHEN k = 4 THEN 2 WHEN k = 3 THEN 9 ELSE k + 1 END AS number, k, t FROM g WHERE t <> '' AND k <> 1)
+SELECT track_id, part, number::INT AS number, arg_max(t, k) AS said FROM n WHERE number BETWEEN 1 AND 5 GROUP BY ALL"""
+)
+def numbered_replies(spark, d):
+    lines = B.cue_track(spark, d).withColumn("t", X.squeeze(F.col("text"))).where("t <> ''")
+    line = F.expr("case when idx % 5 = 1 then concat('x ', t) else concat(case idx % 5 when 4 then '2) ' when 3 then '9. ' else concat(idx % 5 + 1, ': ') end, t) end")
+    reply = lines.groupBy("track_id", F.expr("idx div 5").alias("part")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", line.alias("t")))), lambda x: x["t"]), "\n").alias("reply"))
+    return reply.select("track_id", "part", F.explode(X.numbered_replies(F.col("reply"), F.lit(5))).alias("number", "said"))
+
+
+@query("SELECT item_id, 'about ' || item_id AS summary, 'n' AS notes, CASE WHEN item_id % 3 = 0 THEN 0 ELSE 1 END::INT AS terms FROM benchmark WHERE item_id % 4 <> 0")
+def briefs(spark, d):
+    body = F.expr("concat('{\"summary\": \"about ', item_id, '\", \"notes\": \"n\", \"glossary\": [{\"term\": \"a\", \"target\": \"', if(item_id % 3 = 0, ' ', 'b'), '\", \"why\": \"w\"}]}')")
+    reply = F.expr("case item_id % 4 when 0 then 'no json here' when 1 then body when 2 then concat('```json\\n', body, '\\n```') else concat('Here it is: ', body) end")
+    rows = B.read(spark, d, "benchmark").withColumn("body", body).select("item_id", X.brief_of(reply).alias("b")).where("b is not null")
+    return rows.select("item_id", "b.summary", "b.notes", F.size("b.glossary").alias("terms"))
+
+
+@query(
+    """WITH r AS (SELECT item_id, item_id % 11 <> 0 AS has_video, item_id % 7 <> 0 AS installed, item_id % 5 <> 0 AS scanned, item_id % 4 AS faces, item_id % 3 AS characters, (item_id % 6) / 20::DOUBLE AS silhouette, (item_id % 9) / 10::DOUBLE AS labelled, (item_id % 10) / 10::DOUBLE AS top_share FROM benchmark)
+SELECT item_id, CASE WHEN NOT has_video THEN 'no video' WHEN NOT installed THEN 'no scanner' WHEN NOT scanned THEN 'scan failed' WHEN faces = 0 THEN 'no faces' WHEN characters < 2 THEN 'one character' WHEN silhouette < 0.10::DOUBLE THEN 'characters alike' WHEN labelled < 0.25::DOUBLE THEN 'few lines labelled' WHEN top_share > 0.80::DOUBLE THEN 'one character in most lines' END AS reject FROM r"""
+)
+def reject_ladder(spark, d):
+    rows = B.read(spark, d, "benchmark").selectExpr(
+        "item_id", "item_id % 11 <> 0 as has_video", "item_id % 7 <> 0 as installed", "item_id % 5 <> 0 as scanned", "item_id % 4 as faces", "item_id % 3 as characters", "(item_id % 6) / 20D as silhouette", "(item_id % 9) / 10D as labelled", "(item_id % 10) / 10D as top_share"
+    )
+    return audio.reject_reason(rows).select("item_id", "reject")
+
+
+@query(
+    """WITH f AS (SELECT vec_id, vec_id % 7 AS track_id, vec_id // 7 % 3 AS scene, (vec_id // 21) * 1::DOUBLE AS t FROM embeddings) SELECT track_id, scene, t, (row_number() OVER (PARTITION BY track_id, scene ORDER BY t) - 1)::INT AS face FROM f"""
+)
+def face_numbers(spark, d):
+    """Detections too far apart in time to be one face: each is a new one."""
+    rows = B.read(spark, d, "embeddings").selectExpr("vec_id % 7 as track_id", "vec_id div 7 % 3 as scene", "(vec_id div 21) * 1D as t", "array(0D, 0D, 10D, 10D) as bbox", "cast(embedding as array<double>) as sface")
+    return speakers.face_tracks(rows)

@@ -49,6 +49,13 @@ def read_cast(spark: SparkSession, path: str) -> DataFrame:
     return _last(rows.select(_key(False), checked.alias("new_speaker"), F.trim(F.coalesce("voice", F.lit(""))).alias("new_voice"), "row", "file"))
 
 
+def for_cues(sheet: DataFrame, cues: DataFrame) -> DataFrame:
+    """Rows of a sheet with the start_ms of the cues that they are for. A sheet has starts with two decimals, so a cue is
+    met by its start as the sheet writes it, whatever its milliseconds."""
+    key = F.round(two_decimals(F.col("start_s")).cast("double") * 1000).cast("long")
+    return sheet.join(cues.select(key.alias("_sheet_ms"), F.col("start_ms").alias("_cue_ms")).distinct(), F.col("start_ms") == F.col("_sheet_ms")).withColumn("start_ms", F.col("_cue_ms")).drop("_sheet_ms", "_cue_ms")
+
+
 def write_sheet(rows: DataFrame, path: str, *columns: str) -> None:
     """A sheet of one file, for people to edit. The rows are computed by as many tasks as before and gathered after."""
     out = rows.select(*[two_decimals(F.col("start_s")).alias("start") if c == "start" else F.col(c) for c in columns])
