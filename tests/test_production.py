@@ -1,3 +1,6 @@
+import hashlib
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -43,6 +46,34 @@ def test_samples(spark):
     assert one(P.tail_level(s, 1000, 2)) == pytest.approx(0.5)
 
 
+def test_cap_and_tail_by_hand(spark):
+    rng = np.random.default_rng(0)
+    for n, rate, seconds in ((900, 1000, 0.5), (900, 1000, 0.1), (900, 1000, 2.0), (900, 1000, 0.0), (120, 100, 0.02), (900, 50, 3.0)):
+        x = rng.uniform(-1, 1, n)
+        want, limit = x, int(seconds * rate)
+        if 0 < limit < n:
+            frame, back = max(1, rate // 100), min(rate // 4, limit)
+            cut = limit
+            if back > frame:
+                window = np.abs(x[limit - back : limit])
+                cut = limit - back + (int(np.argmin([window[k : k + frame].sum() for k in range(0, back // frame * frame, frame)])) + 1) * frame
+            want, fade = x[:cut].copy(), min(rate // 50, cut)
+            if fade > 1:
+                want[-fade:] *= np.linspace(1, 0, fade)
+        df = spark.createDataFrame([(x.tolist(),)], "s array<double>")
+        assert df.select(P.capped(F.col("s"), rate, F.lit(seconds))).first()[0] == pytest.approx(want.tolist())
+        start = seconds / 2
+        low, first = 10 ** (-12 / 20), int(start * rate)
+        ramp = max(0, min(rate * 60 // 1000, n - first))
+        tail = x.copy()
+        tail[first : first + ramp] *= np.linspace(1, low, ramp)
+        tail[first + ramp :] *= low
+        assert df.select(P.ducked_tail(F.col("s"), rate, F.lit(start), -12.0)).first()[0] == pytest.approx(tail.tolist())
+    df = spark.createDataFrame([(None, "mix.wav", 30.0), ("voc.wav", "mix.wav", 1.0)], "v string, m string, d double")
+    assert [tuple(r) for r in df.select(P.analysis_audio(F.col("v"), F.col("m")), P.voice_duck_ratio(F.col("d"))).collect()] == [("mix.wav", 20.0), ("voc.wav", 2.0)]
+    assert df.select(N.packed_line(F.col("m"), F.lit("hi")), N.packed_line(F.col("m"), F.lit("")), N.voice_id(F.lit("af"), F.lit(None).cast("binary")), N.voice_id(F.lit("f.wav"), F.lit(b"x"))).first()[:4] == ("mix.wav||hi", "mix.wav", "af", hashlib.sha1(b"x").hexdigest()[:12])
+
+
 def test_names(spark):
     df = spark.createDataFrame([("https://x/y", "af_heart", "a: b?/c", None), ("/tmp/x", "bm_x", "ok", "ref.wav")], "u string, v string, t string, r string")
     rows = df.select(N.is_url(F.col("u")), N.voice_gender(F.col("v")), N.title_name(F.col("t")), N.packed_voice(F.col("v"), F.col("r")), N.clip_name(F.lit(7))).collect()

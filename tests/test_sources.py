@@ -137,12 +137,15 @@ def test_watched_model_is_started_again():
 def test_numbered_batches(spark):
     class Upper(engines.ChatEngine):
         def ask(self, prompt):
-            head, *rows = prompt.split("\n")
+            rows = prompt.split("Lines:\n")[1].split("\n")
             return "\n".join(r.upper() for r in rows if "skip" not in r)
 
     lines = spark.createDataFrame([(k, i, f"line  {i}" + (" skip" if i == 4 else "")) for k in (1, 2) for i in range(7)], "track_id long, idx long, text string")
     prompts = engines.numbered_prompts(lines, "Translate:", 3).where("track_id = 1 and batch = 1").first()
-    assert prompts.prompt == "Translate:\n1. line 3\n2. line 4 skip\n3. line 5" and prompts.idxs == [3, 4, 5]
+    assert prompts.prompt == "Translate:\nAround them:\n- line 0\n- line 1\n- line 2\n- line 6\nLines:\n1. line 3\n2. line 4 skip\n3. line 5" and prompts.idxs == [3, 4, 5]
+    known = lines.selectExpr("*", "if(idx = 2, 'zwei', null) as translated", "12 as limit")
+    prompt = engines.numbered_prompts(known, "T", 3, 1).where("track_id = 2 and batch = 1").first().prompt
+    assert prompt == "T\nAround them:\n- zwei\n- line 6\nLines:\n1. (at most 12) line 3\n2. (at most 12) line 4 skip\n3. (at most 12) line 5"
     got = {(r.track_id, r.idx): r.reply for r in engines.asked_in_batches(lines, Upper, "Translate:", 3).collect()}
     assert got == {(k, i): None if i == 4 else f"LINE {i}" for k in (1, 2) for i in range(7)}
 

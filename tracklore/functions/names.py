@@ -36,6 +36,16 @@ def unpacked_voice(c: Column) -> Column:
     return F.struct(part[0].alias("preset"), F.try_element_at(part, F.lit(2)).alias("reference"))
 
 
+def packed_line(reference: Column, line: Column) -> Column:
+    """A reference clip and the line it speaks, in one name."""
+    return F.when(line.isNull() | (line == ""), reference).otherwise(F.concat_ws("||", reference, line))
+
+
+def voice_id(voice: Column, content: Column) -> Column:
+    """A voice in the key of a clip: a name as it is, a file by twelve digits of its content's SHA-1."""
+    return F.when(content.isNull(), voice).otherwise(F.substring(F.sha1(content), 1, 12))
+
+
 def voice_gender(name: Column) -> Column:
     """Gender of a preset voice by the second letter of its name; null where it says nothing."""
     letter = F.lower(F.substring(name, 2, 1))

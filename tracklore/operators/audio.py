@@ -75,6 +75,14 @@ def moving_mean(frames: DataFrame, k: int) -> DataFrame:
     return frames.withColumn("mean", F.sum("energy").over(w) / k)
 
 
+def speech_gate(frames: DataFrame, step: float = STEP, attack: float = 0.05, share: float = 0.12) -> DataFrame:
+    """gate: 0 to 1 as the voice's energy comes up to a share of its peak, as a mean over the attack; 0 without sound."""
+    peak = F.max("energy").over(Window.partitionBy("track_id"))
+    level = F.when(peak > 0, F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("energy") / F.greatest(peak * share, F.lit(1e-6))))).otherwise(0.0)
+    rows = frames.withColumn("_energy", F.col("energy")).withColumn("energy", level)
+    return moving_mean(rows, max(1, int(attack / step))).withColumnRenamed("mean", "gate").drop("energy").withColumnRenamed("_energy", "energy")
+
+
 def detrended(rows: DataFrame, value: str = "value", order: str = "t", *keys: str) -> DataFrame:
     """value less the median of the seven rows around it."""
     w = Window.partitionBy("track_id", *keys).orderBy(order).rowsBetween(-3, 3)

@@ -117,6 +117,33 @@ def crossfaded(a: Column, b: Column, n: int) -> Column:
     return F.concat(F.slice(a, F.lit(1), F.size(a) - k), mixed, F.slice(b, k + 1, F.size(b) - k))
 
 
+def capped(samples: Column, rate: int, seconds: Column) -> Column:
+    """A clip of at most so many seconds: cut after the quietest 10 ms of the last 250 ms before the limit, the first of
+    equal ones, and faded out over 20 ms. A limit of nothing leaves a clip as it is."""
+    limit = (F.greatest(seconds, F.lit(0.0)) * rate).cast("int")
+    frame, reach = max(1, rate // 100), F.least(F.lit(rate // 4), limit)
+    at = F.sequence(F.lit(0), F.greatest(F.floor(reach / frame).cast("int") - 1, F.lit(0)))
+    level = F.transform(at, lambda k: F.struct(F.aggregate(F.slice(samples, limit - reach + k * frame + 1, F.lit(frame)), F.lit(0.0), lambda s, x: s + F.abs(x)).alias("sum"), k.alias("k")))
+    cut = F.when(reach > frame, limit - reach + (F.array_min(level)["k"] + 1) * frame).otherwise(limit)
+    short = F.slice(samples, F.lit(1), cut)
+    n = F.least(F.lit(rate // 50), cut)
+    faded = F.transform(short, lambda x, i: F.when((i >= cut - n) & (n > 1), x * (F.lit(1.0) - (i - (cut - n)) / (n - 1))).otherwise(x))
+    return F.when((limit <= 0) | (F.size(samples) <= limit), samples).otherwise(faded)
+
+
+def ducked_tail(samples: Column, rate: int, start: Column, gain_db: float) -> Column:
+    """What runs past `start` seconds falls over 60 ms to a gain and stays there."""
+    first, target = (F.greatest(start, F.lit(0.0)) * rate).cast("int"), 10.0 ** (gain_db / 20.0)
+    ramp = F.least(F.lit(rate * 60 // 1000), F.size(samples) - first)
+    falling = lambda i: F.lit(1.0) + (i - first) / F.greatest(ramp - 1, F.lit(1)) * F.lit(target - 1.0)
+    return F.transform(samples, lambda x, i: F.when(i < first, x).when(i < first + ramp, x * falling(i)).otherwise(x * target))
+
+
+def analysis_audio(vocals: Column, mix: Column) -> Column:
+    """What voices and pitch are measured on: the vocal stem where there is one."""
+    return F.coalesce(vocals, mix)
+
+
 def tail_level(samples: Column, rate: int, ms: int = 30) -> Column:
     """Mean magnitude of the last milliseconds."""
     n = F.least(F.lit(rate * ms // 1000), F.size(samples))
@@ -128,6 +155,11 @@ def duck_ratio(duck: Column, bed: Column) -> Column:
     return clip(F.when(bed, duck * 0.55).otherwise(duck), 2.0, 20.0)
 
 
+def voice_duck_ratio(duck: Column) -> Column:
+    """The same of the original voices."""
+    return clip(duck, 2.0, 20.0)
+
+
 def rms_weighted(rms: Column, seconds: Column) -> Column:
     """Worth of a line as a reference: loud, and up to 6 s long."""
     return rms * F.least(seconds, F.lit(6.0))

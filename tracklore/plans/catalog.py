@@ -753,6 +753,14 @@ def moving_gate(spark, d):
     return _rounded(audio.moving_mean(B.frames(spark, d), 5), "mean", digits=6).selectExpr("track_id", "cast(frame_no as bigint) as frame_no", "mean")
 
 
+@query(
+    f"""WITH {B.FRAMES}, p AS (SELECT *, max(energy) OVER (PARTITION BY track_id) AS peak FROM frames), l AS (SELECT *, CASE WHEN peak > 0 THEN least(1, greatest(0, energy / greatest(peak * 0.12::DOUBLE, 1e-6::DOUBLE))) ELSE 0 END AS level FROM p)
+SELECT track_id, frame_no, round((level + coalesce(lag(level) OVER (PARTITION BY track_id ORDER BY frame_no), 0)) / 2, 6) AS gate FROM l"""
+)
+def speech_gate(spark, d):
+    return _rounded(audio.speech_gate(B.frames(spark, d)), "gate", digits=6).selectExpr("track_id", "cast(frame_no as bigint) as frame_no", "gate")
+
+
 # Planning, artefacts, terms
 
 

@@ -203,13 +203,21 @@ def asked(prompts: DataFrame, make: Callable[[], ChatEngine]) -> DataFrame:
     return prompts.mapInPandas(run, schema)
 
 
-def numbered_prompts(lines: DataFrame, head: str, size: int) -> DataFrame:
-    """lines(track_id, idx, text) as prompts of `size` numbered lines, in order: track_id, batch, prompt and the idx of each."""
-    at = F.row_number().over(Window.partitionBy("track_id").orderBy("idx")) - 1
-    rows = lines.select("track_id", "idx", F.regexp_replace("text", r"\s+", " ").alias("text"), at.alias("_at")).withColumn("batch", F.floor(F.col("_at") / size)).withColumn("_k", F.pmod("_at", F.lit(size)) + 1)
-    by = rows.groupBy("track_id", "batch").agg(F.array_sort(F.collect_list(F.struct("_k", "idx", "text"))).alias("l"))
-    numbered = F.array_join(F.transform("l", lambda x: F.concat(x["_k"].cast("string"), F.lit(". "), x["text"])), "\n")
-    return by.select("track_id", "batch", F.concat(F.lit(head + "\n"), numbered).alias("prompt"), F.transform("l", lambda x: x["idx"]).alias("idxs"))
+def numbered_prompts(lines: DataFrame, head: str, size: int, around: int = 3) -> DataFrame:
+    """lines(track_id, idx, text[, limit, translated]) as prompts of `size` numbered lines, in order: track_id, batch, prompt
+    and the idx of each. Before the lines stand the `around` lines before them, translated where they are, and after
+    them, in the original; limit: characters that a reply may have."""
+    order = Window.partitionBy("track_id").orderBy("idx")
+    flat = F.regexp_replace("text", r"\s+", " ")
+    done = F.coalesce(F.col("translated"), flat) if "translated" in lines.columns else flat
+    limit = F.concat(F.lit("(at most "), F.col("limit").cast("string"), F.lit(") ")) if "limit" in lines.columns else F.lit("")
+    near = lambda c, a, b: F.collect_list(c).over(order.rowsBetween(a, b))
+    rows = lines.select("track_id", "idx", F.concat(limit, flat).alias("line"), near(done, -around, -1).alias("before"), near(flat, 1, around).alias("after"), (F.row_number().over(order) - 1).alias("_at"))
+    rows = rows.withColumn("batch", F.floor(F.col("_at") / size)).withColumn("_k", F.pmod("_at", F.lit(size)) + 1)
+    by = rows.groupBy("track_id", "batch").agg(F.array_sort(F.collect_list(F.struct("_k", "idx", "line", "before", "after"))).alias("l"))
+    scene = F.array_join(F.transform(F.concat(F.col("l")[0]["before"], F.element_at("l", -1)["after"]), lambda x: F.concat(F.lit("- "), x)), "\n")
+    numbered = F.array_join(F.transform("l", lambda x: F.concat(x["_k"].cast("string"), F.lit(". "), x["line"])), "\n")
+    return by.select("track_id", "batch", F.concat_ws("\n", F.lit(head), F.when(scene != "", F.concat(F.lit("Around them:\n"), scene)), F.lit("Lines:"), numbered).alias("prompt"), F.transform("l", lambda x: x["idx"]).alias("idxs"))
 
 
 def asked_in_batches(lines: DataFrame, make: Callable[[], ChatEngine], head: str, size: int = 12) -> DataFrame:
