@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bound_batches, cut, text_bytes
+from .common import bound_batches, cut, scratch, text_bytes
 
 WINDOW = 10
 #: Windows of an automaton: some 100 bytes for each of the ten nodes that a window adds at most.
@@ -153,7 +153,8 @@ def report(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, block_wind
     first, second = next(parts, []), next(parts, None)
     if second is None:
         return _reports(docs, first, size, spans)
-    return _in_blocks(docs, chain([first, second], parts), size, spans)
+    with scratch(docs.sparkSession) as keep:
+        return keep(cut(_in_blocks(docs, chain([first, second], parts), size, spans), "decontaminate-report"))
 
 
 def _in_blocks(docs: DataFrame, items: Iterator[list[tuple[object, bytes]]], size: int, spans: bool) -> DataFrame:
