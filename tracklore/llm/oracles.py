@@ -19,6 +19,19 @@ reach(doc_id, root) AS (SELECT doc_id, doc_id FROM documents UNION SELECT l.b, r
 SELECT d.doc_id, coalesce(any_value(n.n), 0)::BIGINT AS n_shingles, min(r.root) AS component_id, d.doc_id = min(r.root) AS kept FROM documents d JOIN reach r ON r.doc_id = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id GROUP BY d.doc_id"""
 
 
+def repeats() -> str:
+    """Every 200-byte window of every text by its digest; removed runs are windows that overlap or touch."""
+    return """WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
+hs AS (SELECT doc_id, list_transform(range(1, octet_length(b) - 198), lambda k: md5(array_slice(b, k, k + 199))) AS hs FROM d WHERE octet_length(b) >= 200),
+h AS (SELECT doc_id, unnest(hs) AS h, generate_subscripts(hs, 1) AS k FROM hs),
+hit AS (SELECT doc_id, k FROM h WHERE h IN (SELECT h FROM h GROUP BY h HAVING count(*) > 1)),
+isl AS (SELECT doc_id, k, sum(CASE WHEN before IS NULL OR k > before + 200 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY k) AS g FROM (SELECT *, lag(k) OVER (PARTITION BY doc_id ORDER BY k) AS before FROM hit)),
+runs AS (SELECT doc_id, g, min(k) AS a, max(k) + 199 AS z FROM isl GROUP BY ALL),
+gaps AS (SELECT doc_id, g, coalesce(lag(z) OVER w, 0) + 1 AS from_at, a - 1 AS to_at, z - a + 1 AS gone, g = max(g) OVER (PARTITION BY doc_id) AS last, z FROM runs WINDOW w AS (PARTITION BY doc_id ORDER BY g)),
+kept AS (SELECT doc_id, sum(gone)::BIGINT AS n_removed, count(*) AS n_spans, string_agg(CASE WHEN to_at >= from_at THEN hex(array_slice(b, from_at, to_at)) ELSE '' END || CASE WHEN last AND z < octet_length(b) THEN hex(array_slice(b, z + 1, octet_length(b))) ELSE '' END, '' ORDER BY g) AS x FROM gaps JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, octet_length(b)::BIGINT AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(coalesce(unhex(x), b)) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)"""
+
+
 def secrets() -> str:
     """Every rule on every text; offsets are sums of the lengths before."""
     parts, lists = [], []
@@ -71,4 +84,4 @@ off AS (SELECT max(abs(s - g)) AS off FROM (SELECT sum(w) AS s, any_value(goal_s
 SELECT doc_id, source, lang, topic, n_tokens, round(weight, 5) AS weight, round(p, 5) AS probability, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT / 4294967296::DOUBLE < p AS kept, round(coalesce((SELECT off FROM off), 0), 5) AS marginal_error FROM docs JOIN p USING (source, lang, topic)"""
 
 
-ORACLES = {"op4_neardup": near_duplicates(), "op7_secrets": secrets(), "op8_decontaminate": contamination(), "op9_mixing": mixture()}
+ORACLES = {"op1_substrings": repeats(), "op4_neardup": near_duplicates(), "op7_secrets": secrets(), "op8_decontaminate": contamination(), "op9_mixing": mixture()}
