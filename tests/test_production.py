@@ -5,8 +5,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from tracklore.functions import names as N
+from tracklore.operators import faces, planning
 from tracklore.operators import production as P
-from tracklore.sources import engines
+from tracklore.sources import engines, recordings
 
 
 def test_load(spark):
@@ -90,9 +91,46 @@ def test_artefacts(spark, tmp_path):
 
 
 def test_lists_and_counts(spark):
-    assert P.stage_list(True, False, True, "kokoro") == ["separate", "diarize", "translate_llm", "prosody", "synth_kokoro", "mux"]
+    runs = spark.createDataFrame([(True, False, True, "kokoro"), (False, True, False, "kokoro"), (False, True, True, "chatterbox")], "t boolean, c boolean, d boolean, e string")
+    assert [r[0] for r in runs.select(P.stage_list(F.col("t"), F.col("c"), F.col("d"), F.col("e"))).collect()] == [
+        ["separate", "diarize", "translate_llm", "prosody", "synth_kokoro", "mux"], ["separate", "prosody", "references", "synth_kokoro", "convert", "mux"], ["separate", "diarize", "prosody", "references", "synth_chatterbox", "mux"],
+    ]
     e = spark.createDataFrame([("a", None), ("b", ["uk"]), ("c", ["en"])], "name string, langs array<string>")
     assert {r.name for r in P.engines_for(e, "uk").collect()} == {"a", "b"}
     before = spark.createDataFrame([(1, "a b c"), (1, "b c d")], "track_id long, text string")
     assert P.repaired_words(before, before.limit(1)).first().removed_words == 3
     assert spark.range(1).select(P.broken_take(F.lit(0.5), F.lit(0.0), F.lit("x" * 50))).first()[0]
+
+
+def test_faces_by_hand(spark, tmp_path):
+    rows = [(1, 0.5, 100.0, 50.0, [10.0, 30.0, 15.0, 25.0, 20.0, 20.0], [10.0, 20.0, 12.0, 12.0, 15.0, 16.5], {"jawOpen": 0.4, "mouthClose": 0.1}, 1.3, [3.0, 4.0]), (1, 0.6, 100.0, 50.0, [5.0, 5.0, 5.0, 5.0, 5.0, 5.0], [1.0, 2.0, 3.0, 4.0, 5.0, 6.0], None, None, [1.0, 0.0]), (1, 0.7, 100.0, 50.0, [10.0, 30.0, 15.0, 15.0, 20.0, 20.0], [10.0, 20.0, 12.0, 12.0, 15.0, 16.5], None, None, [1.0, 0.0])]
+    df = spark.createDataFrame(rows, "track_id long, t double, width double, height double, xs array<double>, ys array<double>, blend map<string,double>, facing double, sface array<double>")
+    got = faces.measured(df.selectExpr("*", "2 as right_eye", "3 as left_eye", "4 as lip_upper", "5 as lip_lower")).orderBy("t").collect()
+    # lips 1.5 apart, eyes 10: 0.15 of an eye distance is open; expressions 0.3; the second face has no extent
+    assert len(got) == 2 and got[0].mouth == pytest.approx(0.5 + 0.15) and got[0].bbox == pytest.approx([0.1, 0.2, 0.3, 0.4])
+    assert (got[0].frontality, got[1].frontality) == (1.0, 0.5) and got[0].sface == pytest.approx([0.6, 0.8]) and got[0].face_size == pytest.approx((200 / 5000) ** 0.5)
+    assert got[1].mouth == 0.0  # eyes at one point
+    np.savez(tmp_path / "a.npz", track_id=np.array([0, 1], "int32"), t=np.array([0.5, 1.0], "f4"), bbox=np.zeros((2, 4), "f4"), face_size=np.ones(2, "f4"), frontality=np.ones(2, "f4"), sface=np.ones((2, 128), "f4"), mouth=np.array([0.25, 0.5], "f4"), fps=np.array([25.0]))
+    scan = recordings.read_scans(spark, str(tmp_path / "a.npz"))
+    assert [(r.face, r.t, r.mouth, len(r.sface), len(r.bbox)) for r in scan.collect()] == [(0, 0.5, 0.25, 128, 4), (1, 1.0, 0.5, 128, 4)]
+    recordings.write_faces(scan.withColumn("track_id", F.lit(7)).drop("path"), str(tmp_path / "faces"))
+    assert recordings.read_faces(spark, str(tmp_path / "faces")).where("track_id = 7 and mouth = 0.5").count() == 1
+
+
+def test_wav_round_trip(spark):
+    df = spark.createDataFrame([([0.0, 0.5, -0.5, 2.0], 8000), (None, 8000), ([], 8000)], "s array<double>, r int")
+    got = df.select("s", recordings.wav_bytes(F.col("s"), F.col("r")).alias("w")).withColumn("back", recordings.wav_samples(F.col("w"))).collect()
+    assert got[0].back == pytest.approx([0.0, 0.5, -0.5, 1.0], abs=1e-4) and bytes(got[0].w)[:4] == b"RIFF" and len(got[0].w) == 44 + 8
+    assert got[1].w is None and got[1].back is None and got[2].back == []
+
+
+def test_metadata_and_guards(spark):
+    text = '{"title": "T", "license": "cc-by", "duration": 12.5, "subtitles": {"en-GB": [{"ext": "srt"}], "de": []}, "automatic_captions": {}, "x": 1}'
+    a, b = spark.createDataFrame([(text,), ("broken",)], "j string").select(recordings.source_metadata(F.col("j")).alias("m")).collect()
+    assert a.m.asDict() == {"title": "T", "license": "cc-by", "duration": 12.5, "language": None, "manual": ["de", "en-GB"], "automatic": []} and b.m is None
+    with pytest.raises(ValueError, match="stem"):
+        planning.check_options(cast=False, diarize=True, clone=True, stem=False)
+    some = spark.createDataFrame([(1, "a"), (2, None)], "track_id long, text string")
+    with pytest.raises(ValueError, match="track 2"):
+        planning.check_cues(some)
+    assert planning.check_cues(some.where("track_id = 1")).count() == 1

@@ -96,10 +96,20 @@ def learned_rates(old: DataFrame, observed: DataFrame, share: float = 0.6) -> Da
     return both.select("stage", F.coalesce(mixed, F.col("learned")).alias("learned")).where("learned > 0")
 
 
-def check_options(cast: bool, diarize: bool) -> None:
+def check_options(cast: bool, diarize: bool, clone: bool = False, stem: bool = True) -> None:
     """Options that contradict each other are an error before a run begins."""
     if cast and not diarize:
         raise ValueError("a cast sheet and no diarization ask for different voices: leave one of them out")
+    if clone and not stem:
+        raise ValueError("voices are cut from the vocal stem: separate it, or choose a preset voice")
+
+
+def check_cues(cues: DataFrame) -> DataFrame:
+    """cues, with an error for tracks of which none is left; tracks are named by a left join, so give all of them."""
+    empty = cues.groupBy("track_id").agg(F.count("text").alias("n")).where("n = 0").select("track_id").limit(5).collect()
+    if empty:
+        raise ValueError(f"no lines to speak in track {', '.join(str(r.track_id) for r in empty)}")
+    return cues
 
 
 def term_candidates(lines: DataFrame, top: int = 120, least: int = 2) -> DataFrame:

@@ -32,9 +32,13 @@ def choose_source(given: Column, fetched: Column, embedded: Column) -> Column:
     return F.coalesce(given, fetched, embedded)
 
 
-def stage_list(translate: bool, clone: bool, diarize: bool, engine: str, target: str = "llm") -> list[str]:
-    """Stages of a run by its options."""
-    return [s for s in ("separate", "diarize" if diarize else None, f"translate_{target}" if translate else None, "prosody", "references" if clone else None, f"synth_{engine}", "convert" if clone and engine != "chatterbox" else None, "mux") if s]
+def stage_list(translate: Column, clone: Column, diarize: Column, engine: Column, target: str = "llm") -> Column:
+    """Stages of a run by its options, in order."""
+    picked = [
+        F.lit("separate"), F.when(diarize, "diarize"), F.when(translate, f"translate_{target}"), F.lit("prosody"), F.when(clone, "references"),
+        F.concat(F.lit("synth_"), engine), F.when(clone & (engine != "chatterbox"), "convert"), F.lit("mux"),
+    ]
+    return F.filter(F.array(*picked), lambda s: s.isNotNull())
 
 
 def engines_for(engines: DataFrame, lang: str) -> DataFrame:
