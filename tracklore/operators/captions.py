@@ -25,7 +25,9 @@ def inspect(events: DataFrame) -> DataFrame:
     w = X.words(F.col("text"))
     rows = events.select("track_id", "seq", w.alias("w"), F.rtrim("text").rlike("[.!?]$").alias("ends")).withColumn("prev", F.lag("w").over(_ordered()))
     usable = (F.size("prev") > 0) & (F.size("w") > 0)
-    over = (X.shared_tail(F.col("prev"), F.col("w")) > 0) | (X.shared_prefix(F.col("prev"), F.col("w")) >= F.least(F.lit(3), F.size("prev")))
+    # three equal first words (all of a shorter line) say as much as the whole common beginning
+    few = F.least(F.lit(3), F.size("prev"))
+    over = (F.slice("prev", F.lit(1), few) == F.slice("w", F.lit(1), few)) | (X.shared_tail(F.col("prev"), F.col("w")) > 0)
     one = rows.groupBy("track_id").agg(
         F.count("*").alias("events"),
         F.count_if("ends").alias("ended"),
