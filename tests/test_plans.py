@@ -23,7 +23,7 @@ def test_no_nested_loops(spark, name):
     assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
 
 
-@pytest.mark.parametrize("name", [n for n in sorted(catalog.QUERIES) if n not in {"dedupe_rolling", "merge_fragments", "cluster_by_pitch", "agglomerative", "character_clusters", "cluster_speakers", "merge_close", "auto_k"}])
+@pytest.mark.parametrize("name", [n for n in sorted(catalog.QUERIES) if n not in {"dedupe_rolling", "merge_fragments", "cluster_by_pitch", "agglomerative", "character_clusters", "cluster_speakers", "diarized_speakers", "merge_close", "merge_to_characters", "face_numbers", "auto_k"}])
 def test_python_only_where_a_fold_or_cluster_needs_it(spark, name):
     text = plan(catalog.QUERIES[name](spark, SF))
     assert "Python" not in text and "Pandas" not in text
