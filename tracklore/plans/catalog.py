@@ -236,7 +236,8 @@ _PLANTED = ["Де це є?", "что это", "Сьогодні гарний д
 SELECT track_id, seq FROM both_lines WHERE regexp_matches(text, '[ыэъЫЭЪ]') OR regexp_matches(text, '(?i)(^|[^\\p{{L}}])(что|это|этот|здесь|сегодня|очень|тебя|меня|вы|его|её|если|когда|где|такой|один|нет|да|только|потому|чтобы)([^\\p{{L}}]|$)')"""
 )
 def rx_language_filter(spark, d):
-    planted = spark.createDataFrame([(-1, i, t) for i, t in enumerate(_PLANTED)], "track_id long, seq long, text string")
+    rows = [F.struct(F.lit(-1).cast("long").alias("track_id"), F.lit(i).cast("long").alias("seq"), F.lit(t).alias("text")) for i, t in enumerate(_PLANTED)]
+    planted = spark.range(1).select(F.inline(F.array(*rows)))
     return planning.wrong_language(B.caption_lines(spark, d).select("track_id", "seq", "text").unionByName(planted)).select("track_id", "seq")
 
 
