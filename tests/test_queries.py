@@ -1,4 +1,9 @@
+import datetime
+
+import duckdb
 import oracle
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 from tracklore.plans import catalog
@@ -26,3 +31,17 @@ def test_entry(spark):
 
     assert e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def same_on(spark, tmp_path, name, **tables):
+    c = duckdb.connect()
+    for t, rows in tables.items():
+        pq.write_table(pa.Table.from_pylist(rows), tmp_path / f"{t}.parquet")
+        c.execute(f"create view {t} as select * from '{tmp_path}/{t}.parquet'")
+    oracle.check(spark, c, catalog.QUERIES[name], catalog.ORACLES[name], str(tmp_path))
+
+
+def test_marks_where_a_word_goes_on_beyond_ascii(spark, tmp_path):
+    said = ["doó os", "doñ. rrci", "wasé.", "who\u00a0", "ok, no\u00a0", "is it\u2028", "do", "done", "a, oké", "ſhall we", "", None]
+    rows = [{"conv_id": 1, "turn": k, "role": "user", "text": t} for k, t in enumerate(said)]
+    same_on(spark, tmp_path, "punctuated_cues", conversations=rows)

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from tracklore.functions import measure as M
 from tracklore.functions import text as X
+from tracklore.functions.rx import re2
 
 
 def one(spark, f, *values):
@@ -61,6 +62,13 @@ def test_marks_by_delivery(spark):
     assert [r[0] for r in rows.select(X.punctuate(F.col("t"), F.col("s"), F.col("i"))).collect()] == ["who are you?", "who are you.", "who are you?", "get out!", "done!", "calm."]
 
 
+def test_marks_by_classes(spark):
+    rows = spark.createDataFrame([("doó os",), ("do os",), ("doe os",)], "t string")
+    marks = lambda **k: [r[0] for r in rows.select(X.punctuate(F.col("t"), F.lit(0.0), F.lit(0.0), **k)).collect()]
+    assert marks() == ["doó os", "do os?", "doe os"]
+    assert marks(classes=re2) == ["doó os?", "do os?", "doe os"]
+
+
 def test_bands_and_durations(spark):
     rows = spark.createDataFrame([(0.9,), (0.85,), (0.7,), (0.6,), (0.5,)], "v double")
     assert [r[0] for r in rows.select(M.band(F.col("v"), 0.85, 0.60)).collect()] == ["ok", "ok", "weak", "weak", "unreliable"]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -121,16 +123,16 @@ def brief_of(c: Column) -> Column:
     return F.when(got["summary"].isNotNull() | got["notes"].isNotNull() | got["glossary"].isNotNull(), F.struct(got["summary"].alias("summary"), got["notes"].alias("notes"), F.filter(got["glossary"], lambda g: (F.trim(g["term"]) != "") & (F.trim(g["target"]) != "")).alias("glossary")))
 
 
-def punctuate(text: Column, slope: Column, intensity: Column, use_pitch: bool = True) -> Column:
+def punctuate(text: Column, slope: Column, intensity: Column, use_pitch: bool = True, classes: Callable[..., str] = rx) -> Column:
     """The line with the mark that its delivery asks for: a question mark for questions that rise or have no mark, an
-    exclamation mark for short loud lines."""
-    t = F.regexp_replace(text, rx(r"\s+$"), "")
-    asks = t.rlike(rx(QUESTION, True)) | t.rlike(rx(TAG_QUESTION, True))
+    exclamation mark for short loud lines. classes: what letters and white space are (rx or re2)."""
+    t = F.regexp_replace(text, classes(r"\s+$"), "")
+    asks = t.rlike(classes(QUESTION, True)) | t.rlike(classes(TAG_QUESTION, True))
     rising = (slope >= 2.0) if use_pitch else F.lit(False)
-    bare = F.regexp_replace(t, "[.,]+$", "")
+    bare = F.regexp_replace(t, classes("[.,]+$"), "")
     return (
-        F.when((t == "") | t.rlike("[?!]$"), text)
-        .when(asks & (rising | ~t.rlike("(?:[.,]|…)$")), F.concat(bare, F.lit("?")))
+        F.when((t == "") | t.rlike(classes("[?!]$")), text)
+        .when(asks & (rising | ~t.rlike(classes("(?:[.,]|…)$"))), F.concat(bare, F.lit("?")))
         .when((intensity >= 5.0) & (F.char_length(t) < 60), F.concat(bare, F.lit("!")))
         .otherwise(text)
     )

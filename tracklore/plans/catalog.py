@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import measure as M
 from ..functions import text as X
+from ..functions.rx import re2
 from ..operators import audio, captions, casting, cues, edits, intervals, planning, rules, speakers, timing
 from . import bindings as B
 
@@ -248,7 +249,8 @@ q AS (SELECT *, regexp_matches(s, '(?i)^\s*(who|what|when|where|why|how|which|wh
 SELECT track_id, idx, CASE WHEN s = '' OR regexp_matches(s, '[?!]$') THEN text WHEN asks AND (slope >= 2 OR NOT regexp_matches(s, '([.,]|…)$')) THEN bare || '?' WHEN loud >= 5 AND length(s) < 60 THEN bare || '!' ELSE text END AS marked FROM q"""
 )
 def punctuated_cues(spark, d):
-    return B.cue_track(spark, d).select("track_id", "idx", X.punctuate(F.col("text"), F.expr("cast(idx % 5 as double)"), F.expr("cast(idx % 7 as double)")).alias("marked"))
+    # words end as in the SQL, by ASCII letters ("doó" begins with "do"); the operator's own default is Unicode
+    return B.cue_track(spark, d).select("track_id", "idx", X.punctuate(F.col("text"), F.expr("cast(idx % 5 as double)"), F.expr("cast(idx % 7 as double)"), classes=re2).alias("marked"))
 
 
 # Repair of captions
