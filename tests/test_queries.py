@@ -45,3 +45,14 @@ def test_marks_where_a_word_goes_on_beyond_ascii(spark, tmp_path):
     said = ["doó os", "doñ. rrci", "wasé.", "who\u00a0", "ok, no\u00a0", "is it\u2028", "do", "done", "a, oké", "ſhall we", "", None]
     rows = [{"conv_id": 1, "turn": k, "role": "user", "text": t} for k, t in enumerate(said)]
     same_on(spark, tmp_path, "punctuated_cues", conversations=rows)
+
+
+def levels_at_the_floor():
+    # 0.02 is the floor itself: no level
+    values = [0.02, 0.03, 5.0, 40.0, 0.02, 700.0, 1.5, 0.02, 0.01, 0.0, -3.0, 0.02, 0.05, None]
+    start = datetime.datetime(2024, 1, 1)
+    return [{"user_id": 1 + k // 28, "event_id": k, "event_type": "view", "value": v, "ts": start + datetime.timedelta(seconds=k)} for k, v in enumerate(values * 4)]
+
+
+def test_a_level_at_the_floor_is_none(spark, tmp_path):
+    same_on(spark, tmp_path, "intensity_by_speaker", events=levels_at_the_floor())

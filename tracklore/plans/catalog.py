@@ -463,7 +463,8 @@ loud AS (SELECT track_id, idx, speaker, CASE WHEN c >= 3 AND db IS NOT NULL THEN
 
 
 def _loud(spark, d):
-    rows = B.pitches(spark, d).selectExpr("*", "(f0 - 60) / 2000D as rms", "(idx % 10) * 0.15D as dur_s")
+    # of the value itself: f0 less 60 is off by rounding, and a level at the floor would be above it
+    rows = B.pitches(spark, d, "value / 2000D as rms").selectExpr("*", "(idx % 10) * 0.15D as dur_s")
     return audio.intensity(rows, "track_id", "speaker")
 
 
