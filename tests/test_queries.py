@@ -56,3 +56,7 @@ def levels_at_the_floor():
 
 def test_a_level_at_the_floor_is_none(spark, tmp_path):
     same_on(spark, tmp_path, "intensity_by_speaker", events=levels_at_the_floor())
+
+
+def test_gain_of_a_level_at_the_floor(spark, tmp_path):
+    same_on(spark, tmp_path, "gain_emotion", events=levels_at_the_floor())
