@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import pickle
 import random
 import re
 import time
@@ -591,6 +592,18 @@ def test_language_model_costs_against_brute_force(monkeypatch):
     assert end == pytest.approx(w, rel=1e-3)
 
 
+def test_language_model_parts_that_travel():
+    """Workers get the words only where they meet them, and lay out the codes only where they use them."""
+    coder = lm.Coder([b"w%d" % k for k in range(30)] + [b""], [*range(400, 370, -1), 90], 13_000, 60)
+    there, light = pickle.loads(pickle.dumps(coder)), pickle.loads(pickle.dumps(coder.without_words()))
+    assert "tokens" not in vars(there) and "tokens" not in vars(light) and not light.index and there.index == coder.index
+    for c in (there, light):
+        assert (c.tokens.flat == coder.tokens.flat).all() and (c.tokens.rank == coder.tokens.rank).all() and c.tokens.node is None
+    held = np.zeros(300_000, np.int32)
+    held[[0, 65_535, 65_536, 299_999]] = [1, 2, 3, 4]
+    assert [(r["slot"], r["n"]) for b in lm._slot_rows(held) for r in b.to_pylist()] == [(0, 1), (65_535, 2), (65_536, 3), (299_999, 4)]
+
+
 def test_language_model_does_not_depend_on_parts(spark, monkeypatch):
     """Frequent tokens are dealt out by classes; blocks and partitions change no score, and copies are known."""
     rng = random.Random(4)
