@@ -139,6 +139,19 @@ def test_run_length_index():
     assert min(lost) >= 0 and sum(n > 0 for n in lost) > 15
 
 
+def test_index_sorts_only_suffixes_that_are_alike(monkeypatch):
+    """Rounds of prefix doubling leave alone what earlier ones have told apart; the rows are those of sorted suffixes."""
+    rng, sorted_, argsort = random.Random(5), [], np.argsort
+    texts = [rng.randbytes(300) for _ in range(40)] + [b"x" * 300]
+    monkeypatch.setattr(substrings.np, "argsort", lambda a, **k: sorted_.append(len(a)) or argsort(a, **k))
+    index = substrings.RunLengthIndex.build(texts)
+    rows = index.rows
+    assert sorted_[0] == rows and sum(n for n in sorted_[1:] if n != len(index.heads)) < rows / 4
+    start = np.cumsum([0] + [len(t) + 1 for t in texts])
+    suffixes = sorted(((([b + 1 for b in t[i:]] + [0]), k, int(start[k]) + i) for k, t in enumerate(texts) for i in range(len(t) + 1)), key=lambda x: x[:2])
+    assert [suffixes[r][2] for r in index.heads] == list(index.at_head) and [suffixes[r][2] for r in index.lasts] == list(index.at_last)
+
+
 def test_language_model(spark, docs, none):
     tok = lambda t: (t or "").encode().lower().split() + [b""]
     held = lambda i: zlib.crc32(str(i).encode()) % 10 == 0

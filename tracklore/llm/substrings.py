@@ -85,7 +85,8 @@ class RunLengthIndex:
     """Index of texts. heads, chars: first row and byte + 1 of each run of the transform (0: a text's end); before: how
     often a run's byte stands in earlier runs; first: rows of suffixes that begin with a smaller byte; at_head, at_last:
     places of the suffixes at each run's first and last row; above, below: nearest runs of the same byte, -1 if none;
-    eight: eight bytes from each place on; ends: places of the texts' ends."""
+    eight: eight bytes from each place on; ends: places of the texts' ends; lasts: last row of each run; run_of: run of
+    each row; left: bytes from each place to its text's end (these two spare a search in heads and in ends at each step)."""
 
     heads: np.ndarray
     chars: np.ndarray
@@ -97,6 +98,9 @@ class RunLengthIndex:
     below: np.ndarray
     eight: np.ndarray
     ends: np.ndarray
+    lasts: np.ndarray
+    run_of: np.ndarray
+    left: np.ndarray
     rows: int
     depth: int
 
@@ -115,43 +119,49 @@ class RunLengthIndex:
         n = len(flat)
         limit = np.repeat(stop.astype(np.int32), sizes)  # where the text of a place ends
         places = np.arange(n, dtype=np.int32)
-        # seven bytes at first (9 bits each), then twice as many each time
-        key = np.zeros(n, np.int64)
-        for k in range(7):
-            key <<= 9
-            p = places + k
-            ok = p < limit
-            key[ok] |= flat[p[ok]]
-        reach, longest = 7, int(sizes.max())
+        left = limit - places
 
-        def ranked(key):
-            order = np.argsort(key)
-            new = np.empty(n, bool)
-            new[0] = True
-            sorted_key = key[order]
-            np.not_equal(sorted_key[1:], sorted_key[:-1], out=new[1:])
-            rank = np.empty(n, np.int32)
-            rank[order] = np.cumsum(new, dtype=np.int32)
-            return rank
-
-        def shifted(rank, by):
-            out = np.zeros(n, np.int32)
+        def shifted(of, by):
+            out = np.zeros(n, of.dtype)
             m = max(0, n - by)
-            np.multiply(rank[by:], places[:m] + np.int32(by) < limit[:m], out=out[:m])
+            np.multiply(of[by:], left[:m] > by, out=out[:m])
             return out
 
-        rank = ranked(key)
+        # seven bytes at first (9 bits each), then two or three times as many each time
+        one = flat.astype(np.int64)
+        two = one << 9 | shifted(one, 1)
+        key = (two << 18 | shifted(two, 2)) << 27 | shifted(two, 4) << 9 | shifted(one, 6)
+        reach, longest = 7, int(sizes.max())
+
+        def fresh(key):
+            new = np.ones(len(key) + 1, bool)
+            np.not_equal(key[1:], key[:-1], out=new[1:-1])
+            return new
+
+        # a rank is the row, from 1 on, at which the suffixes that are alike so far begin; only those are sorted again
+        order = np.argsort(key).astype(np.int32)
+        at, new = np.arange(n, dtype=np.int32), fresh(key[order])
+        live, rank = order, np.empty(n, np.int32)
         # three ranks in a key where they fit, so that each round triples what is compared; else two
         times = 3 if 3 * n.bit_length() <= 63 else 2
         width = n.bit_length() if times == 3 else 31
-        while reach < longest:
-            key = rank.astype(np.int64)
+        while True:
+            begin = np.flatnonzero(new[:-1])
+            rank[live] = np.repeat(at[begin] + np.int32(1), np.diff(begin, append=len(live)))
+            alike = np.flatnonzero(~(new[:-1] & new[1:]))
+            live, at = live[alike], at[alike]
+            if reach >= longest or not len(live):
+                break
+            key, room = rank[live].astype(np.int64), left[live]
             for k in range(1, times):
-                key = (key << width) | shifted(rank, k * reach)
-            rank = ranked(key)
+                key = (key << width) | rank.take(live + np.int32(k * reach), mode="clip") * (room > k * reach)
+            by = np.argsort(key)
+            live, new = live[by], fresh(key[by])
+            order[at] = live
             reach *= times
         # suffixes alike up to their texts' ends, by place
-        order = np.sort((rank.astype(np.int64) << 31) | places) & ((1 << 31) - 1)
+        order[at] = np.sort((rank[live].astype(np.int64) << 31) | live) & ((1 << 31) - 1)
+        order = order.astype(np.int64)
         # the first byte before each suffix
         begin = np.concatenate([[0], stop[:-1]])
         last = flat[np.maximum(order - 1, 0)].astype(np.int64)
@@ -176,23 +186,27 @@ class RunLengthIndex:
         eight[:n] = np.maximum(flat, 1) - 1
         for k in (1, 2, 4):
             eight[: n + 8 - k] |= eight[k:] << np.uint64(8 * k)
-        return cls(heads, chars, before, first, order[heads], order[np.concatenate([heads[1:], [n]]) - 1], above, below, eight, stop - 1, n, depth)
+        lasts = np.append(heads[1:], n) - 1
+        run_of = np.repeat(np.arange(len(heads), dtype=np.int32), lasts - heads + 1)
+        return cls(heads, chars, before, first, order[heads], order[lasts], above, below, eight, stop - 1, lasts, run_of, left - 1, n, depth)
 
     def step(self, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """LF: the run of each row, and the row of the suffix one byte longer."""
-        run = np.searchsorted(self.heads, row, "right") - 1
+        run = self.run_of[row]
         return run, self.first[self.chars[run]] + self.before[run] + row - self.heads[run]
 
     def common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """How many bytes from places a and b on are alike, up to depth and to the texts' ends."""
-        most = np.minimum(self.ends[np.searchsorted(self.ends, a)] - a, self.ends[np.searchsorted(self.ends, b)] - b)
-        most = np.minimum(most, self.depth)
+        most = np.minimum(np.minimum(self.left[a], self.left[b]), self.depth)
         same, open_ = np.zeros(len(a), np.int64), np.flatnonzero(most > 0)
+        x, y, room, k = a[open_], b[open_], most[open_], 0
         while len(open_):
-            d = self.eight[a[open_] + same[open_]] ^ self.eight[b[open_] + same[open_]]
-            lowest = np.frexp((d & (~d + np.uint64(1))).astype(np.float64))[1] - 1
-            same[open_] += np.where(d == 0, 8, lowest >> 3)
-            open_ = open_[(d == 0) & (same[open_] < most[open_])]
+            d = self.eight[x + k] ^ self.eight[y + k]
+            # zero bits below the lowest one, all 64 where there is none
+            same[open_] = k + (np.bitwise_count(~d & (d - np.uint64(1))) >> 3)
+            k += 8
+            on = np.flatnonzero((d == 0) & (room > k))
+            open_, x, y, room = open_[on], x[on], y[on], room[on]
         return np.minimum(same, most)
 
     def repeated(self, which: np.ndarray) -> list[np.ndarray]:
@@ -212,7 +226,7 @@ class RunLengthIndex:
             live = int(np.searchsorted(-left, -k, "right"))
             row, up, down, place = row[:live], up[:live], down[:live], place[:live]
             run, longer = self.step(row)
-            for match, border, near, sample in ((up, row == self.heads[run], self.above, self.at_last), (down, row == np.append(self.heads[1:], self.rows)[run] - 1, self.below, self.at_head)):
+            for match, border, near, sample in ((up, row == self.heads[run], self.above, self.at_last), (down, row == self.lasts[run], self.below, self.at_head)):
                 match += 1
                 at = np.flatnonzero(border)
                 other = near[run[at]]
