@@ -60,3 +60,17 @@ def test_a_level_at_the_floor_is_none(spark, tmp_path):
 
 def test_gain_of_a_level_at_the_floor(spark, tmp_path):
     same_on(spark, tmp_path, "gain_emotion", events=levels_at_the_floor())
+
+
+def test_gain_within_rounding_of_the_floor(spark, tmp_path):
+    # 60 more than these rounds to the floor of 60.02 or to the next number
+    values = [5.0, 0.02 + 1e-15, 40.0, 0.02 + 5e-15, 700.0, 0.02 + 9e-15, 1.5, 0.02 - 2e-15, 9.0, 2.0, 3.0]
+    rows = [r | {"value": values[k % 11]} for k, r in enumerate(levels_at_the_floor())]
+    same_on(spark, tmp_path, "gain_emotion", events=rows)
+
+
+def test_gain_of_rows_without_user_event_or_time(spark, tmp_path):
+    rows = levels_at_the_floor()
+    for k, column in ((3, "user_id"), (9, "event_id"), (16, "ts"), (35, "ts"), (44, "user_id")):
+        rows[k][column] = None
+    same_on(spark, tmp_path, "gain_emotion", events=rows)

@@ -132,9 +132,11 @@ def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
 FRAMES = SAMPLES + ",\nframes AS (SELECT track_id, row_number() OVER (PARTITION BY track_id ORDER BY t, event_id) - 1 AS frame_no, value / 1000::DOUBLE AS energy FROM samples)"
 
 
-def pitches(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
-    """Values as pitch of lines; two speakers a track. more: columns of the samples to add."""
-    return samples(spark, sf_dir).selectExpr("track_id", "row_number() over (partition by track_id order by t, event_id) - 1 as idx", "value + 60D as f0", "'S0' || cast(event_id % 2 as string) as speaker", "cast(event_id % 3 as int) as label", *more)
+def pitches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values as pitch of lines; two speakers a track."""
+    return samples(spark, sf_dir).selectExpr(
+        "track_id", "row_number() over (partition by track_id order by t nulls last, event_id nulls last) - 1 as idx", "value + 60D as f0", "'S0' || cast(event_id % 2 as string) as speaker", "cast(event_id % 3 as int) as label"
+    )
 
 
 PITCHES = SAMPLES + ",\npitch AS (SELECT track_id, row_number() OVER (PARTITION BY track_id ORDER BY t, event_id) - 1 AS idx, value + 60::DOUBLE AS f0, 'S0' || (event_id % 2)::VARCHAR AS speaker, (event_id % 3)::INT AS label FROM samples)"
