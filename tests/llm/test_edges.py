@@ -635,6 +635,57 @@ def test_language_model_does_not_depend_on_parts(spark, monkeypatch):
     assert all(math.isfinite(v) and v < 0 for v in score(df).values())
 
 
+def test_language_model_counts_do_not_depend_on_how_tokens_are_dealt(monkeypatch):
+    """By the same weights tokens of frequent contexts cost the same in many parts as in one."""
+    rng = np.random.default_rng(3)
+    symbol = np.minimum(rng.geometric(0.3, 6000) - 1, 11)
+    symbol[2000:3500] = 1
+    begin = np.array([0, 900, 1800, 4000])
+    coder = lm.Coder([b"w%d" % k for k in range(12)], sorted(np.bincount(symbol, minlength=12).tolist(), reverse=True), 6000, 12)
+    before, second, third = coder.contexts(symbol, begin)
+    taught = (rng.integers(0, 9, 6000) > 0).astype(np.int64)
+    monkeypatch.setattr(lm, "RATE", 0.0)
+
+    def costs(part_tokens, parts):
+        monkeypatch.setattr(lm, "PART_TOKENS", part_tokens)
+        pairs, triples = (Counter(zip(*(x.tolist() for x in keys))) for keys in ((before, second), (before, second, third)))
+        deal = lm.Dealing(np.bincount(before, minlength=coder.known + 2), pairs, triples, parts)
+        dealt, given = np.empty(6000, np.int64), {}
+        for block in range(6):
+            at = slice(block * 1000, block * 1000 + 1000)
+            dealt[at], marks = deal.deal(before[at], second[at], third[at], block)
+            for part, rows in deal.counted(marks, symbol[at], taught[at]).items():
+                given.setdefault(part, []).append(rows)
+        sums = lm.summed_rows([lm.summed_rows(x) for x in given.values()])
+        out = np.empty(6000)
+        for part in np.unique(dealt):
+            o = np.flatnonzero(dealt == part)
+            brought = sums[:, [int(part) in deal.holders(c) for c in sums[0].tolist()]]
+            out[o] = lm.part_costs(coder, deal, [x[o] for x in (before, second, third, symbol, taught)], brought)
+        return out, deal, len(np.unique(dealt))
+
+    one, deal, _ = costs(1 << 20, 1)
+    assert not deal.any
+    for part_tokens, parts in ((4000, 3), (600, 20), (100, 120)):
+        many, deal, used = costs(part_tokens, parts)
+        assert used > parts // 2 and deal.any and np.abs(many - one).max() <= 1
+    assert len(deal.pairs) and len(deal.triples) and deal.triple_slots.max() > 3
+
+
+def test_language_model_of_frequent_tokens_in_many_parts(spark, monkeypatch):
+    rng = random.Random(5)
+    words = lambda n: " ".join(rng.choice(["a", "b", "a b", "c", "d e"]) for _ in range(n))
+    rows = [(k, words(rng.randint(1, 60))) for k in range(300)] + [(900, "the " * 3000), (901, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    read = lambda: {r.doc_id: r for r in lm.score(df).collect()}
+    one = read()
+    monkeypatch.setattr(lm, "PART_TOKENS", 2000)
+    many = read()
+    # weights are refined in each part, so costs differ a little; all else does not
+    assert sum(r.score for r in many.values()) == pytest.approx(sum(r.score for r in one.values()), rel=0.1)
+    assert [(k, *many[k][1:6]) for k in one] == [(k, *one[k][1:6]) for k in one] and len(many) == len(rows)
+
+
 def test_mixing_is_not_thinned_by_a_stray_source(spark):
     text = " ".join(["word"] * 100)
     rows = [(i, text, "en", "ab"[i % 2]) for i in range(2000)]
