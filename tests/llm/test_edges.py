@@ -672,6 +672,18 @@ def test_language_model_counts_do_not_depend_on_how_tokens_are_dealt(monkeypatch
     assert len(deal.pairs) and len(deal.triples) and deal.triple_slots.max() > 3
 
 
+def test_language_model_counts_that_are_given_by_node():
+    code = lm.Code.huffman([5, 1, 1, 9, 3, 2, 40])
+    code.lay_out()
+    given = lm.Given(code, np.array([[4, 9, 9, 9, 9, 12], [1, 0, 2, 3, 6, 5], [8, 7, 1, 20, 300, 6]]))
+    for context, n in ((9, {0: 7, 2: 1, 3: 20, 6: 300}), (4, {1: 8}), (5, {})):
+        want = Counter()
+        for s, k in n.items():
+            for node, bit in zip(code.node[s, : code.length[s]].tolist(), code.bit[s, : code.length[s]].tolist()):
+                want[node] += k + (k * bit << lm.ALL)
+        assert given.nodes(context).tolist() == [want[node] for node in range(6)]
+
+
 def test_language_model_of_frequent_tokens_in_many_parts(spark, monkeypatch):
     rng = random.Random(5)
     words = lambda n: " ".join(rng.choice(["a", "b", "a b", "c", "d e"]) for _ in range(n))
