@@ -672,6 +672,38 @@ def test_language_model_counts_do_not_depend_on_how_tokens_are_dealt(monkeypatch
     assert len(deal.pairs) and len(deal.triples) and deal.triple_slots.max() > 3
 
 
+def test_parts_that_are_encoded_in_one_text(monkeypatch):
+    """Each part has the ids that the library gives it alone, and the library is called once for many."""
+    encoder = tokens.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    rng = random.Random(9)
+    odd = [" ", "  ", " \n", "\n ", "\n", " '", " 's", "'s", "'", " _", " __", " 12", "12", " !?", " \x00", "\x1b", " é", "é", " ſ"[:2], " don", " " + "x" * 5000, " Ω", "\t"]
+    parts = odd + sorted({" " + "".join(rng.choice("abcdeé") for _ in range(rng.randint(1, 14))) for _ in range(2000)})
+    rng.shuffle(parts)
+    alone = {w: np.array(encoder.library.encode(w, add_special_tokens=False).ids, encoder.dtype).tobytes() for w in parts}
+    assert dict(encoder._each(parts)) == alone
+    calls = []
+
+    class Library:
+        def encode(self, text, **more):
+            calls.append(text)
+            return library.encode(text, **more)
+
+        def encode_batch_fast(self, texts, **more):
+            calls.extend(texts)
+            return library.encode_batch_fast(texts, **more)
+
+    library, encoder.library = encoder.library, Library()
+    # the library takes " 's" for two parts: those of its text are encoded alone
+    assert dict(encoder._each(parts)) == alone and len(calls) < len(odd) + tokens._JOINED + 10
+    calls.clear()
+    parts.remove(" 's")
+    assert dict(encoder._each(parts)).keys() == alone.keys() - {" 's"} and len(calls) < len(odd) + 10
+    # a special token with a space could lie across parts
+    encoder.special = ["<a b>"]
+    calls.clear()
+    assert {**alone, **dict(encoder._each(parts))} == alone and calls == parts
+
+
 def test_language_model_counts_that_are_given_by_node():
     code = lm.Code.huffman([5, 1, 1, 9, 3, 2, 40])
     code.lay_out()

@@ -40,6 +40,8 @@ _PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+
 _PLAIN = re.compile(r"[\x00-\x1b!-~\x20À-ÖØ-öø-ʯͰ-ͳΆΈ-ϿЀ-ҁҊ-ԯ]*")
 #: Parts that a process keeps, some 150 bytes each, and their longest. Bytes of text encoded at a time.
 _KEPT, _SHORT, _AT_ONCE = 450_000, 12, 1 << 20
+#: New parts that the library is given as one text.
+_JOINED = 256
 
 
 class Encoder:
@@ -62,13 +64,32 @@ class Encoder:
     def _whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
+    def _each(self, parts: list[str]) -> Iterator[tuple[str, bytes]]:
+        """Ids of different parts. Where each begins with its only space the library parts their text as it was, so that
+        they need no call each."""
+        spaced, rest = [], []
+        for w in parts:
+            (spaced if w[0] == " " and len(w) > 1 and not w[1].isspace() else rest).append(w)
+        if any(" " in s for s in self.special):
+            spaced, rest = [], parts
+        for k in range(0, len(spaced), _JOINED):
+            words = spaced[k : k + _JOINED]
+            found = self.library.encode("".join(words), add_special_tokens=False)
+            n = np.bincount(np.array(found.word_ids, np.int64), minlength=len(words))
+            if len(n) != len(words) or not n.all():
+                rest += words
+                continue
+            ids, stop = np.array(found.ids, self.dtype).tobytes(), (np.cumsum(n) * np.dtype(self.dtype).itemsize).tolist()
+            yield from zip(words, (ids[a:b] for a, b in zip([0, *stop], stop)))
+        yield from ((w, array(self.code, e.ids).tobytes()) for w, e in zip(rest, self.library.encode_batch_fast(rest, add_special_tokens=False)))
+
     def many(self, texts: list[str]) -> list[bytes]:
         if not self.by_parts:
             return [self._whole(t) for t in texts]
         parts = [None if any(s in t for s in self.special) or not _PLAIN.fullmatch(t) else _PARTS.findall(t) for t in texts]
         # short parts stay, as they come again; long ones and those beyond the bound last for this call
         new = list(set().union(*(p for p in parts if p)).difference(self.cache))
-        self.cache.update((w, array(self.code, e.ids).tobytes()) for w, e in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False)))
+        self.cache.update(self._each(new))
         get = self.cache.__getitem__
         out = [self._whole(t) if p is None else b"".join(map(get, p)) for t, p in zip(texts, parts)]
         full = len(self.cache) - len(new) >= _KEPT
