@@ -12,6 +12,7 @@ from pathlib import Path
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import zstandard
 from pyspark.sql import functions as F
@@ -740,3 +741,49 @@ def test_mixing_is_not_thinned_by_a_stray_source(spark):
     # a cell that is not negligible sets the rate, so that targets hold
     even = mixing.sample(plain.where("source = 'a' or doc_id < 1000"), {"source": {"a": 1.0, "b": 1.0}}).groupBy("source").agg(F.max("probability").alias("p")).collect()
     assert {r.source: r.p for r in even} == {"a": 0.5, "b": 1.0}
+
+
+def test_language_model_looks_for_each_word_once():
+    """Words are parted as bytes.split() does, and only distinct ones are looked for in Python."""
+    every = bytes(range(256))
+    texts = [b"", b" ", None, b" A b\x0bB ", every, b"x" + every[::-1] * 2, b"\x00", "É ſ İ ß\x85".encode(), b"the end " * 50_000, b"a"]
+    words, token, sizes = lm.tokens_of(pa.array(texts, pa.binary()))
+    held = [*words.to_pylist(), lm.END]
+    want = [[*(t or b"").lower().split(), lm.END] for t in texts]
+    assert [held[k] for k in token] == sum(want, []) and sizes.tolist() == [len(w) for w in want]
+    assert len(set(held)) == len(held) and lm._bytes_of(words) == held[:-1] and lm._bytes_of(words[:0]) == []
+    looked = []
+
+    class Index(dict):
+        def get(self, word, *other):
+            looked.append(word)
+            return super().get(word, *other)
+
+    coder = lm.Coder([b"the", b"end", lm.END, b"b"], [50_000, 50_000, 10, 2], 100_020, 20)
+    coder.index = Index(coder.index)
+    batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.binary())], names=["text"])
+    blocks = list(lm._groups(batch, 0, coder.numbers, 300))
+    assert [b[0] for b in blocks] == [0, 5, 6, 9] and [n for b in blocks for n in b[-1]] == [len(t or b"") for t in texts]
+    assert [words[k] for _, words, _, token, *_ in blocks for k in token] == sum(want, []) and len(looked) == len(held)
+    number = np.concatenate([numbers.take(token) for _, _, numbers, token, *_ in blocks])
+    assert number.tolist() == [coder.index.get(w, -1) for w in sum(want, [])]
+    known = {b"the": 0, b"end": 1, lm.END: coder.end}
+    assert coder.symbols(number, sizes).tolist() == [known.get(w, coder.escape) for w in sum(want, [])]
+
+
+def test_language_model_counts_words_and_samples(spark, monkeypatch):
+    rng = random.Random(8)
+    rows = [(k, " ".join(rng.choice(["a", "B", "c\x0b", "é" * 3]) for _ in range(rng.randint(0, 40))) + " " * (k % 2)) for k in range(200)] + [(1000, None), (1001, "")]
+    monkeypatch.setattr(lm, "SAMPLED", 7)
+    monkeypatch.setattr(lm, "LOOKED_FOR", 500)
+    got = {r.word: r.n for r in lm.word_counts(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()}
+    want, place = Counter(), 0
+    for k, text in rows:
+        if zlib.crc32(str(k).encode()) % 10:
+            words = [*(text or "").encode().lower().split(), lm.END]
+            want.update(words)
+            for at in range(len(words)):
+                if place % 7 == 0:
+                    want[b" ".join([lm.END] * (3 - at) + words[max(0, at - 3) : at])] += 1
+                place += 1
+    assert got == want
