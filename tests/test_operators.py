@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -169,6 +170,39 @@ def test_clusters_against_brute_force():
     assert speakers.choose_k(same, 5) == best == 3
 
 
+def peak_mb(f):
+    tracemalloc.start()
+    f()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    return peak / 1e6
+
+
+def many_voices(n=3000):
+    rng = np.random.default_rng(4)
+    return np.repeat(rng.normal(size=(30, 8)), n // 30, axis=0) + rng.normal(size=(n, 8)) * 0.4
+
+
+def test_linkage_holds_no_matrix_of_all_pairs():
+    # 3,000 rows squared are 72 MB
+    assert peak_mb(lambda: speakers.agglomerate(many_voices(), 6)) < 20
+
+
+def test_linkage_by_rounds_and_by_chains():
+    rng = np.random.default_rng(9)
+    plain = [rng.normal(size=(60, 3)), np.abs(rng.normal(size=(50, 6))), np.repeat(rng.normal(size=(9, 4)), 5, axis=0)]
+    tied = [np.eye(12), np.zeros((6, 3)), np.vstack([np.eye(4), np.zeros((2, 4))])]
+    for x in plain + tied:
+        chained = speakers.Linkage(x)
+        chained.chain()
+        merges = [np.concatenate(c) for c in zip(*chained.merges)]
+        order = np.argsort(merges[0], kind="stable")
+        one, two = speakers.Tree(len(x), *(c[order] for c in merges)), speakers.Tree.of(x)
+        assert len(two.height) == len(x) - 1 and one.height == pytest.approx(two.height, abs=1e-9)
+        for k in (1, 2, 3, 5) if len(x) > 12 else ():
+            assert list(one.labels(k)) == list(two.labels(k)) == list(brute_linkage(x, k))
+
+
 def test_an_emptied_label_is_gone():
     x = np.array([[1.0, 0.0], [0.9, 0.1], [-1.0, 0.0], [0.0, 1.0]])
     label = speakers.settled(x, np.array([5, 5, 7, 9]))
