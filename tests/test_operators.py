@@ -192,6 +192,10 @@ def test_number_of_clusters_holds_no_matrix_of_all_pairs():
     assert peak_mb(lambda: speakers.choose_k(many_voices(), 6)) < 20
 
 
+def test_clusters_by_threshold_hold_no_matrix_of_all_pairs():
+    assert peak_mb(lambda: speakers.agglomerate(many_voices(), threshold=0.60)) < 20
+
+
 def test_linkage_by_rounds_and_by_chains():
     rng = np.random.default_rng(9)
     plain = [rng.normal(size=(60, 3)), np.abs(rng.normal(size=(50, 6))), np.repeat(rng.normal(size=(9, 4)), 5, axis=0)]
