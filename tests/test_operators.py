@@ -101,6 +101,20 @@ def test_nearest_label(spark):
     assert [r.label for r in intervals.nearest_filled(rows).orderBy("idx").collect()] == [5, 5, 5, 7, 7, 7]
 
 
+def test_nearest_label_as_a_search(spark):
+    random.seed(6)
+    # some rows twice: those with a label are nearest to those without
+    rows = [(t, i, random.choice([None, None, 1, 2, 3])) for t in range(3) for i in random.sample(range(90), 60)]
+    rows += [(9, 4, None), (9, 4, 7), (9, 0, 1), (9, 6, 2), (8, 1, None), (8, 2, None)]
+    got = intervals.nearest_filled(spark.createDataFrame(rows, "track_id int, idx int, label int")).collect()
+
+    def want(t, i, label):
+        known = sorted((abs(j - i), j, m) for k, j, m in rows if k == t and m is not None)
+        return label if label is not None or not known else known[0][2]
+
+    assert sorted(map(str, got)) == sorted(f"Row(track_id={t}, idx={i}, label={want(t, i, m)})" for t, i, m in rows)
+
+
 def brute_linkage(x, k=1, threshold=None):
     """Average linkage pair by pair from all distances of members."""
     u = x / np.linalg.norm(x, axis=1, keepdims=True)

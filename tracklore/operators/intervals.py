@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 
 def _cells(windows: DataFrame, bucket: float, start: str, end: str) -> DataFrame:
@@ -35,16 +36,21 @@ def interval_semi(points: DataFrame, windows: DataFrame, bucket: float, pad: flo
     return inside.unionByName(outside.where(F.pmod(F.col(frame), F.lit(every)) == 0))
 
 
+def _from_start(*order: Column) -> WindowSpec:
+    """The rows of a track up to the present one. What lies ahead is looked up in falling order by it as well: Spark goes
+    through all following rows anew for each row where a window ends with the last one."""
+    return Window.partitionBy("track_id").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+
+
 def interpolated(samples: DataFrame, at: DataFrame, t: str = "t", value: str = "value") -> DataFrame:
     """value at the times of `at` (track_id, t), linear between the samples before and after, held at the edges; both
     sides go through one window of the track, so neither is joined to the other."""
     known = samples.groupBy("track_id", t).agg(F.avg(value).alias("_v")).select("track_id", t, "_v", F.lit(None).cast("boolean").alias("_ask"), F.col(t).alias("_t"))
     asked = at.select("track_id", t, F.lit(None).cast("double").alias("_v"), F.lit(True).alias("_ask"), F.lit(None).cast("double").alias("_t"))
     both = known.unionByName(asked)
-    # of equal times the sample comes first, so it is found in either direction
-    w = Window.partitionBy("track_id").orderBy(t, F.col("_ask").asc_nulls_first())
-    back, ahead = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
-    rows = both.select("track_id", t, "_ask", F.last("_v", True).over(back).alias("v0"), F.last("_t", True).over(back).alias("t0"), F.first("_v", True).over(ahead).alias("v1"), F.first("_t", True).over(ahead).alias("t1"))
+    # of equal times the sample comes first, so what is asked at it finds it behind
+    back, ahead = _from_start(F.col(t).asc(), F.col("_ask").asc_nulls_first()), _from_start(F.col(t).desc(), F.col("_ask").desc_nulls_last())
+    rows = both.select("track_id", t, "_ask", F.last("_v", True).over(back).alias("v0"), F.last("_t", True).over(back).alias("t0"), F.last("_v", True).over(ahead).alias("v1"), F.last("_t", True).over(ahead).alias("t1"))
     between = F.col("v0") + (F.col("v1") - F.col("v0")) * (F.col(t) - F.col("t0")) / (F.col("t1") - F.col("t0"))
     exact = F.col("t0") == F.col(t)
     return rows.where("_ask").select("track_id", t, F.when(exact, F.col("v0")).when(F.col("v0").isNull(), F.col("v1")).when(F.col("v1").isNull(), F.col("v0")).otherwise(between).alias(value))
@@ -52,10 +58,11 @@ def interpolated(samples: DataFrame, at: DataFrame, t: str = "t", value: str = "
 
 def nearest_filled(rows: DataFrame, label: str = "label", order: str = "idx") -> DataFrame:
     """Labels of rows without one from the labelled row next in order; the earlier of two as near."""
-    w = Window.partitionBy("track_id").orderBy(order)
-    back, ahead = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
+    # of equal ones those with a label come first in both directions
+    known = F.col(label).asc_nulls_last()
+    back, ahead = _from_start(F.col(order).asc(), known), _from_start(F.col(order).desc(), known)
     at = F.when(F.col(label).isNotNull(), F.col(order))
-    rows = rows.withColumns({"_l0": F.last(label, True).over(back), "_i0": F.last(at, True).over(back), "_l1": F.first(label, True).over(ahead), "_i1": F.first(at, True).over(ahead)})
+    rows = rows.withColumns({"_l0": F.last(label, True).over(back), "_i0": F.last(at, True).over(back), "_l1": F.last(label, True).over(ahead), "_i1": F.last(at, True).over(ahead)})
     before = F.col("_i1").isNull() | (F.col(order) - F.col("_i0") <= F.col("_i1") - F.col(order))
     return rows.withColumn(label, F.when(before, F.coalesce("_l0", "_l1")).otherwise(F.col("_l1"))).drop("_l0", "_i0", "_l1", "_i1")
 
