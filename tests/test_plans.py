@@ -39,7 +39,7 @@ def test_one_exchange_for_windows_of_a_track(spark):
     assert plan(catalog.QUERIES["fit_outcomes"](spark, SF)).count("+- Exchange") <= 1
 
 
-@pytest.mark.parametrize("name", ["nearest_label_fill", "envelope_interp"])
+@pytest.mark.parametrize("name", ["nearest_label_fill", "anchors_assign", "envelope_interp"])
 def test_no_window_from_each_row_to_the_last(spark, name):
     # Spark goes through all following rows anew for each row
     assert "currentrow$(), unboundedfollowing$()" not in plan(catalog.QUERIES[name](spark, SF))
