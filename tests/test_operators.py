@@ -217,6 +217,13 @@ def test_speakers_hold_no_matrix_of_all_pairs(monkeypatch):
     assert made == [3000]
 
 
+def test_diarized_speakers_hold_no_matrix_of_all_pairs(monkeypatch):
+    made = []
+    monkeypatch.setattr(speakers.Tree, "of", classmethod(lambda cls, x, of=speakers.Tree.of: made.append(len(x)) or of(x)))
+    assert peak_mb(lambda: speakers.diarized_labels(many_voices(), np.ones(3000, bool), np.full(3000, np.nan))) < 20
+    assert made == [3000]
+
+
 def test_linkage_by_rounds_and_by_chains():
     rng = np.random.default_rng(9)
     plain = [rng.normal(size=(60, 3)), np.abs(rng.normal(size=(50, 6))), np.repeat(rng.normal(size=(9, 4)), 5, axis=0)]
