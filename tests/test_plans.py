@@ -43,3 +43,9 @@ def test_one_exchange_for_windows_of_a_track(spark):
 def test_no_window_from_each_row_to_the_last(spark, name):
     # Spark goes through all following rows anew for each row
     assert "currentrow$(), unboundedfollowing$()" not in plan(catalog.QUERIES[name](spark, SF))
+
+
+def test_fragments_are_folded_in_one_pass(spark):
+    text = plan(catalog.QUERIES["merge_fragments"](spark, SF))
+    assert text.count("+- Scan parquet") + text.count(": Scan parquet") == text.count("Scan parquet") // 2 == 1
+    assert "FlatMapGroups" not in text

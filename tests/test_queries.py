@@ -74,3 +74,10 @@ def test_gain_of_rows_without_user_event_or_time(spark, tmp_path):
     for k, column in ((3, "user_id"), (9, "event_id"), (16, "ts"), (35, "ts"), (44, "user_id")):
         rows[k][column] = None
     same_on(spark, tmp_path, "gain_emotion", events=rows)
+
+
+def test_fragments_of_turns_without_text(spark, tmp_path):
+    # long runs of lines that go on, with turns that have no text between, before and after
+    rows = [{"conv_id": c, "turn": k, "role": "user", "text": None if (k + c) % 3 == 0 else "and so it goes on and on " * (k % 5 + 1)} for c in range(6) for k in range(12)]
+    rows += [{"conv_id": 7, "turn": 0, "role": "user", "text": None}]
+    same_on(spark, tmp_path, "merge_fragments", conversations=rows)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -37,37 +39,48 @@ def split_events(events: DataFrame) -> DataFrame:
     return parts.select("track_id", "seq", "part", "text", (F.col("start_s") + span * (upto - n) / total).alias("start_s"), (F.col("start_s") + span * upto / total).alias("end_s"))
 
 
-_MERGED = T.StructType([T.StructField("track_id", T.LongType()), T.StructField("first", T.LongType()), T.StructField("start_s", T.DoubleType()), T.StructField("end_s", T.DoubleType()), T.StructField("text", T.StringType()), T.StructField("members", T.ArrayType(T.LongType()))])
+_MERGED = T.StructType([T.StructField("track_id", T.LongType()), T.StructField("first", T.LongType()), T.StructField("start_s", T.DoubleType()), T.StructField("end_s", T.DoubleType()), T.StructField("text", T.StringType()), T.StructField("members", T.ArrayType(T.LongType())), T.StructField("idx", T.LongType())])
+_ARROW = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.string(), pa.list_(pa.int64()), pa.int64()]
+
+
+def _fold(batches: Iterator[pa.RecordBatch], max_span: float) -> Iterator[pa.RecordBatch]:
+    """Rows come by track and idx; only the line that is being put together is held."""
+    line: list | None = None  # track, first, start, end, texts, members, idx
+
+    def batch(lines: list[list]) -> pa.RecordBatch:
+        for x in lines:
+            x[4] = " ".join(x[4]) if x[4] else None
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*lines), _ARROW)], names=_MERGED.names)
+
+    for b in batches:
+        out: list[list] = []
+        for track_id, idx, start, end, text, new in zip(*(c.to_pylist() for c in b.columns)):
+            said = [] if text is None else [text]
+            same = line is not None and line[0] == track_id
+            if same and not new and None not in (end, line[2]) and end - line[2] <= max_span:
+                line[3] = end
+                line[4] += said
+                line[5].append(idx)
+            else:
+                if line is not None:
+                    out.append(line)
+                line = [track_id, idx, start, end, said, [idx], line[6] + 1 if same else 0]
+        if out:
+            yield batch(out)
+    if line is not None:
+        yield batch([line])
 
 
 def merge_fragments(cues: DataFrame, max_gap: float = 0.30, max_span: float = 12.0) -> DataFrame:
     """Unfinished lines joined with the next ones: near in time, without an end of sentence between (or the next in
     lower case), the whole no longer than max_span.
 
-    The pairwise conditions part a track into islands by window functions; islands within max_span are aggregated, only
-    longer ones are folded in order, one island at a time."""
+    Which pairs may be joined is found by window functions; where a line ends for its span depends on all before, so the
+    rows of a track are read in order by one function."""
     prev_end, prev_text = F.lag("end_s").over(in_order()), F.lag("text").over(in_order())
     joins = (F.col("start_s") - prev_end <= max_gap) & (~X.is_terminal(prev_text) | X.starts_lower(F.col("text")))
-    rows = cues.select("track_id", "idx", "start_s", "end_s", "text").withColumn("_new", (~F.coalesce(joins, F.lit(False))).cast("int"))
-    rows = rows.withColumn("_island", F.sum("_new").over(in_order()))
-    by = Window.partitionBy("track_id", "_island")
-    rows = rows.withColumn("_long", F.max("end_s").over(by) - F.min("start_s").over(by) > max_span)
-    short = rows.where("not _long").groupBy("track_id", "_island").agg(F.array_sort(F.collect_list(F.struct("idx", "start_s", "end_s", "text"))).alias("m"))
-    short = short.select("track_id", F.col("m")[0]["idx"].alias("first"), F.col("m")[0]["start_s"].alias("start_s"), F.element_at("m", -1)["end_s"].alias("end_s"), F.array_join(F.transform("m", lambda x: x["text"]), " ").alias("text"), F.transform("m", lambda x: x["idx"]).alias("members"))
-
-    def fold(part: pd.DataFrame) -> pd.DataFrame:
-        out: list[list] = []
-        for r in part.sort_values("idx").itertuples(index=False):
-            if out and r.end_s - out[-1][2] <= max_span:
-                out[-1][3], out[-1][4] = r.end_s, f"{out[-1][4]} {r.text}"
-                out[-1][5].append(r.idx)
-            else:
-                out.append([r.track_id, r.idx, r.start_s, r.end_s, r.text, [r.idx]])
-        return pd.DataFrame(out, columns=_MERGED.names)
-
-    folded = rows.where("_long").groupBy("track_id", "_island").applyInPandas(fold, _MERGED)
-    merged = short.unionByName(folded)
-    return merged.withColumn("idx", F.row_number().over(Window.partitionBy("track_id").orderBy("first")).cast("long") - 1)
+    rows = cues.select("track_id", "idx", "start_s", "end_s", "text", (~F.coalesce(joins, F.lit(False))).alias("_new"))
+    return rows.repartition("track_id").sortWithinPartitions("track_id", "idx").mapInArrow(lambda batches: _fold(batches, max_span), _MERGED)
 
 
 def gaps(cues: DataFrame, total: str = "total_s") -> DataFrame:
